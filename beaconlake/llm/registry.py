@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconlake.llm import bpe, mixing, ngram_join, shards
+from beaconlake.llm import bpe, mixing, ngram_join, quality, records, shards
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -19,6 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     docs = lambda spark, sf_dir: table(spark, sf_dir, "documents")
     return {
+        "op2_records": lambda spark, sf_dir: records.op2_records(docs(spark, sf_dir), TOKENIZER),
+        "op4_quality": lambda spark, sf_dir: quality.op4_quality(docs(spark, sf_dir)),
         "op6_ngram_join": lambda spark, sf_dir: ngram_join.op6_ngram_join(docs(spark, sf_dir)),
         "op8_shards": lambda spark, sf_dir: shards.op8_shards(docs(spark, sf_dir)),
         "op9_mixing": lambda spark, sf_dir: mixing.op9_mixing(docs(spark, sf_dir)),
