@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconlake.llm import bpe, mixing, ngram_join, quality, records, shards
+from beaconlake.llm import bpe, embed_dedup, mixing, ngram_join, quality, records, shards, substring, token_rollup
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     docs = lambda spark, sf_dir: table(spark, sf_dir, "documents")
     return {
+        "op1_embed_dedup": lambda spark, sf_dir: embed_dedup.op1_embed_dedup(table(spark, sf_dir, "embeddings")),
         "op2_records": lambda spark, sf_dir: records.op2_records(docs(spark, sf_dir), TOKENIZER),
         "op4_quality": lambda spark, sf_dir: quality.op4_quality(docs(spark, sf_dir)),
+        "op5_substring": lambda spark, sf_dir: substring.op5_substring(docs(spark, sf_dir)),
         "op6_ngram_join": lambda spark, sf_dir: ngram_join.op6_ngram_join(docs(spark, sf_dir)),
+        "op7_token_rollup": lambda spark, sf_dir: token_rollup.op7_token_rollup(docs(spark, sf_dir)),
         "op8_shards": lambda spark, sf_dir: shards.op8_shards(docs(spark, sf_dir)),
         "op9_mixing": lambda spark, sf_dir: mixing.op9_mixing(docs(spark, sf_dir)),
         "op10_bpe": lambda spark, sf_dir: bpe.token_digests(docs(spark, sf_dir), TOKENIZER),
@@ -29,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_token_rollup": token_rollup.OP7_SQL}
