@@ -210,28 +210,34 @@ def _map_column(docs: DataFrame, source: str, target: str, kind: str, work) -> D
     return kept.mapInArrow(run, schema)
 
 
-def token_digests(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, n_tokens, ids_sha256, decoded_sha256, round_trip.
+def token_digests(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
+    """One row per document: key, the columns ``keep``, n_tokens, ids_sha256, decoded_sha256, round_trip.
 
-    Encodes and decodes in the same task, so neither ids nor text leave it.  ``round_trip`` says
-    whether the decoded text equals the input (null counts as empty).
+    Encodes and decodes in the same task, so no text leaves it, and ids only ``with_ids`` (column
+    token_ids).  ``round_trip`` says whether the decoded text equals the input (null counts as
+    empty).  Rows that repeat a key each give a row; an empty table gives none.
     """
-    few = docs.select(key, text)
-    schema = few.select(key).schema
-    for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), ("round_trip", "boolean")):
-        schema = schema.add(name, kind)
+    few = docs.select(key, *keep, text)
+    schema = few.select(key, *keep).schema
+    for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), ("round_trip", "boolean"), ("token_ids", "binary")):
+        if with_ids or name != "token_ids":
+            schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
         for batch in batches:
-            rows = []
-            values = batch.column(1).to_pylist()
+            n, sha_ids, sha_text, same, ids = [], [], [], [], []
+            values = batch.column(batch.num_columns - 1).to_pylist()
             for value, packed in zip(values, bpe.memo.encode_all(values)):
                 back = bpe.decode(packed)
-                rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == (value or "")))
-            n, a, b, same = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_())], names=schema.names
-            )
+                n.append(len(packed) // 4)
+                sha_ids.append(hashlib.sha256(packed).hexdigest())
+                sha_text.append(hashlib.sha256(back.encode()).hexdigest())
+                same.append(back == (value or ""))
+                if with_ids:
+                    ids.append(packed)
+            made = [pa.array(n, pa.int64()), pa.array(sha_ids, pa.string()), pa.array(sha_text, pa.string()), pa.array(same, pa.bool_())]
+            made += [pa.array(ids, pa.binary())] if with_ids else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=schema.names)
 
     return few.mapInArrow(run, schema)

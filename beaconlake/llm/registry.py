@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconlake.llm import bpe, embed_dedup, mixing, ngram_join, quality, records, shards, substring, token_rollup
+from beaconlake.llm import bpe, embed_dedup, line_dedup, mixing, ngram_join, quality, records, shards, substring, token_rollup
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embed_dedup": lambda spark, sf_dir: embed_dedup.op1_embed_dedup(table(spark, sf_dir, "embeddings")),
         "op2_records": lambda spark, sf_dir: records.op2_records(docs(spark, sf_dir), TOKENIZER),
+        "op3_line_dedup": lambda spark, sf_dir: line_dedup.op3_line_dedup(docs(spark, sf_dir)),
         "op4_quality": lambda spark, sf_dir: quality.op4_quality(docs(spark, sf_dir)),
         "op5_substring": lambda spark, sf_dir: substring.op5_substring(docs(spark, sf_dir)),
         "op6_ngram_join": lambda spark, sf_dir: ngram_join.op6_ngram_join(docs(spark, sf_dir)),
