@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from beaconlake.plans import relational
+from beaconlake.plans import joins, relational, text
 from beaconlake.plans.core import Query
 
-QUERIES: dict[str, Query] = {**relational.QUERIES}
+QUERIES: dict[str, Query] = {**relational.QUERIES, **joins.QUERIES, **text.QUERIES}
