@@ -2,8 +2,8 @@
 
 The published scheme (Kiveris et al., 2014): a large-star step links every larger neighbour of
 a node to the smallest node near it, a small-star step does so for the smaller ones, until the
-edges form stars around the smallest node of each component.  Minima and edges are written
-between steps, so a hot centre is a skewed join that Spark may split, never one task's list.
+edges form stars around the smallest node of each component.  A step joins edges with minima
+(one row per node), so a hot centre is never gathered into a list; edges are written between steps.
 """
 
 from __future__ import annotations
@@ -26,17 +26,15 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
     step = 0
     while not _settled(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        least = scratch.table(least, f"{name}-{step}-large")
-        large = both.join(least, F.col("u") == F.col("c")).filter("v > u AND v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.table(large, f"{name}-{step}-star")
+        least = both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).select("c", F.least("c", "m").alias("m"))
+        large = both.filter("v > u").join(least, F.col("u") == F.col("c")).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch.table(large, f"{name}-{step}-large")
         least = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
-        least = scratch.table(least, f"{name}-{step}-small")
         moved = large.join(least, F.col("u") == F.col("c")).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = moved.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
         stars = scratch.table(after, f"{name}-{step + 1}")
-        for old in (f"{name}-{step}", f"{name}-{step}-large", f"{name}-{step}-star", f"{name}-{step}-small"):
-            scratch.drop(old)
+        scratch.drop(f"{name}-{step}")
+        scratch.drop(f"{name}-{step}-large")
         step += 1
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

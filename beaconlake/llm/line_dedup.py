@@ -183,7 +183,7 @@ def similar_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n
         wanted = scratch.table(wanted.groupBy(F.col("place.key").alias("_k"), F.col("place.digest").alias("_g")).agg(F.collect_list("cls").alias("_wanted")), "wanted")
         texts = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_digest"), F.col(text).alias("_text"))
         found = texts.join(small_enough(wanted), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_g")))
-        return found.select("_wanted", "_text").mapInArrow(_line_sets(want), "cls bigint, n int, data binary").dropDuplicates(["cls"])
+        return found.select("_wanted", "_text").mapInArrow(_line_sets(want), "cls bigint, n int, data binary")
 
     links = JaccardLinks(load, scratch, num, den).links(postings)
     parts = connected_components(links, scratch, "components")

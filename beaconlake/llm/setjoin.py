@@ -29,6 +29,9 @@ from beaconlake.llm.scratch import Scratch
 
 SHORT_LIST = 32
 PIVOT_LEVELS = 3
+#: From the second level on, lists that make at most so many pairs for each row are paired out at
+#: once; what is known of the overlaps with the pivot rules most of them out inside the join.
+PAIRS_PER_ROW = 500
 BROADCAST_ROWS = 500_000
 
 
@@ -82,81 +85,83 @@ class JaccardLinks:
         """
         t = self.scratch.table
         found: list[DataFrame] = []
-        labels: DataFrame | None = None
+        postings = postings.withColumn("label", F.col("cls")).withColumn("inside", F.lit(0))
         level = 0
         while True:
             name = f"level{level}"
-            lists = postings.groupBy("token").agg(F.count("*").alias("cnt"), F.max(F.struct("rank", "cls", "n")).alias("top"))
-            lists = t(lists.filter("cnt > 1").select(F.col("token").alias("_t"), "cnt", F.col("top.cls").alias("pivot"), F.col("top.n").alias("pivot_n")), f"{name}-lists")
+            lists = postings.groupBy("token").agg(F.count("*").alias("cnt"), F.max(F.struct("rank", "cls")).alias("top"))
+            lists = t(lists.filter("cnt > 1").select(F.col("token").alias("_t"), "cnt", F.col("top.cls").alias("pivot")), f"{name}-lists")
+            short = f"cnt <= {SHORT_LIST}"
+            if level:
+                size = lists.agg(F.sum(F.expr("cnt * (cnt - 1) / 2")).alias("pairs"), F.sum("cnt").alias("rows")).first()
+                if not size.rows:
+                    break
+                if level >= PIVOT_LEVELS or size.pairs <= PAIRS_PER_ROW * size.rows:
+                    short = "true"
             listed = t(postings.join(lists, F.col("token") == F.col("_t")).drop("_t"), f"{name}-listed")
-            # The last level pairs out what is left, however long the list.
-            short = f"cnt <= {SHORT_LIST}" if level < PIVOT_LEVELS else "true"
-            pairs = t(self._short_pairs(listed.filter(short), labels), f"{name}-pairs")
-            found.append(t(self._verified(pairs, bounded=True, name=f"{name}-short").filter(self.enough(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b"), f"{name}-links"))
+            pairs = t(self._short_pairs(listed.filter(short), level), f"{name}-pairs")
+            found.append(self._linked(pairs, f"{name}-short", bits=level == 0))
+            if short == "true":
+                break
             long = listed.filter(f"NOT ({short})").filter(F.col("cls") != F.col("pivot"))
-            star = t(long.select(F.col("pivot").alias("a"), F.col("cls").alias("b"), "rank").groupBy("a", "b").agg(F.max("rank").alias("rank")), f"{name}-stars")
+            star = t(long.groupBy(F.col("pivot").alias("a"), F.col("cls").alias("b")).agg(F.max("rank").alias("rank")), f"{name}-stars")
             if star.isEmpty():
                 break
-            compared = t(self._verified(star, bounded=False, name=f"{name}-long"), f"{name}-compared")
+            compared = t(self._verified(star, ["rank"], f"{name}-long", rest=True), f"{name}-compared")
             found.append(compared.filter(self.enough(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
-            edges = found[0]
-            for more in found[1:]:
-                edges = edges.unionByName(more)
-            labels = t(connected_components(edges, self.scratch, f"{name}-cc"), f"{name}-labels")
-            members = t(self._open_members(compared, star, labels), f"{name}-members")
+            labels = connected_components(_union(found), self.scratch, f"{name}-cc")
+            members = t(self._open_members(compared, labels), f"{name}-members")
             direct = t(self._inside_pivot(members), f"{name}-direct")
-            found.append(t(self._verified(direct, bounded=True, name=f"{name}-inside").filter(self.enough(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b"), f"{name}-more"))
+            if not direct.isEmpty():
+                found.append(self._linked(direct, f"{name}-inside", bits=False))
             postings = t(self._residual_postings(members), f"{name}-rest")
-            if postings.isEmpty():
-                break
             level += 1
-        edges = found[0]
-        for more in found[1:]:
-            edges = edges.unionByName(more)
-        return edges
-
-    def _short_pairs(self, short: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """Candidate pairs (a < b) from short lists: pairs of groups, filtered, then their members."""
-        groups = short.groupBy("token", "gid", "n").agg(F.min("pos").alias("pos"))
+        return _union(found)
+
+    def _linked(self, pairs: DataFrame, name: str, *, bits: bool) -> DataFrame:
+        """The pairs (a, b) that link; with ``bits`` those that bitmaps rule out are not compared further."""
+        if bits:
+            num, den = self.num, self.den
+            keep = lambda x, y, n, m: overlap_bound(x, y, n, m) * (num + den) >= num * (n + m)
+            sketches = self.scratch.table(self.load(_ends(pairs), "bits"), f"{name}-bits")
+            pairs = self.scratch.table(_beside(pairs, [], sketches).mapInArrow(_chosen(keep), "a bigint, b bigint"), f"{name}-near")
+        checked = self._verified(pairs, [], name, rest=False)
+        return self.scratch.table(checked.filter(self.enough(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b"), f"{name}-links")
+
+    def _short_pairs(self, short: DataFrame, level: int) -> DataFrame:
+        """Candidate pairs (a < b): pairs of groups, filtered, then their members; from level 1 on every
+        set is its own group and only different components are paired."""
+        groups = short.groupBy("token", "gid", "n", "inside", *(["label"] if level else [])).agg(F.min("pos").alias("pos"))
         x, y = groups.alias("x"), groups.alias("y")
         behind = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") <= F.col("y.gid")) & self.sizes_fit(F.col("x.n"), F.col("y.n")) & self.enough(behind, F.col("x.n"), F.col("y.n")))
-        met = met.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
+        fits = (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") <= F.col("y.gid")) & self.sizes_fit(F.col("x.n"), F.col("y.n")) & self.enough(behind, F.col("x.n"), F.col("y.n"))
+        if level:
+            both = F.least("x.inside", "y.inside") + F.least(F.col("x.n") - F.col("x.inside"), F.col("y.n") - F.col("y.inside"))
+            met = x.join(y, fits & (F.col("x.label") != F.col("y.label")) & self.enough(both, F.col("x.n"), F.col("y.n")))
+            return met.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
+        met = x.join(y, fits).select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
         members = short.select("gid", "cls").distinct()
         a = members.select(F.col("gid").alias("ga"), F.col("cls").alias("ca"))
         b = members.select(F.col("gid").alias("gb"), F.col("cls").alias("cb"))
         both = met.join(a, "ga").join(b, "gb").filter(F.col("ca") != F.col("cb"))
-        pairs = both.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
-        if labels is not None:
-            pairs = _across(pairs, labels)
-        return pairs
-
-    def _verified(self, pairs: DataFrame, *, bounded: bool, name: str) -> DataFrame:
-        """Pairs with their sizes and exact overlap: a, b, n_a, n_b, overlap, rest.
+        return both.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
 
-        With ``bounded``, pairs that their bitmaps rule out are left out and rest is empty; without,
-        every pair is there and rest holds the packed tokens of b outside a.
-        """
-        num, den = self.num, self.den
-        if bounded:
-            ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-            bits = self.scratch.table(self.load(ids, "bits"), f"{name}-bits")
-            keep = lambda x, y, n, m: overlap_bound(x, y, n, m) * (num + den) >= num * (n + m)
-            pairs = self.scratch.table(_beside(pairs, bits).mapInArrow(_chosen(keep), "a bigint, b bigint"), f"{name}-near")
-        ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        sets = self.scratch.table(self.load(ids, "tokens"), f"{name}-sets")
-        return _beside(pairs, sets).mapInArrow(_overlaps(not bounded), "a bigint, b bigint, n_a int, n_b int, overlap int, rest binary")
+    def _verified(self, pairs: DataFrame, keep: list[str], name: str, *, rest: bool) -> DataFrame:
+        """Pairs with the columns ``keep``, their sizes and exact overlap, and with ``rest`` the packed tokens of b outside a."""
+        sets = self.scratch.table(self.load(_ends(pairs), "tokens"), f"{name}-sets")
+        kinds = "".join(f"{c} {pairs.schema[c].dataType.simpleString()}, " for c in keep)
+        return _beside(pairs, keep, sets).mapInArrow(_overlaps(keep, rest), f"a bigint, b bigint, {kinds}n_a int, n_b int, overlap int, rest binary")
 
-    def _open_members(self, compared: DataFrame, star: DataFrame, labels: DataFrame) -> DataFrame:
+    def _open_members(self, compared: DataFrame, labels: DataFrame) -> DataFrame:
         """Members of pivots in whose lists different components meet: pivot, cls, n, inside, rest, rank, label, home."""
         own = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
         home = labels.select(F.col("node").alias("_p"), F.col("component").alias("_h"))
-        rows = compared.join(star.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "rank"), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
-        rows = rows.join(own, F.col("b") == F.col("_n"), "left").join(home, F.col("a") == F.col("_p"), "left")
+        rows = compared.join(own, F.col("b") == F.col("_n"), "left").join(home, F.col("a") == F.col("_p"), "left")
         rows = rows.select(
             F.col("a").alias("pivot"), F.col("b").alias("cls"), F.col("n_b").alias("n"), F.col("overlap").alias("inside"), "rest", "rank",
             F.coalesce("_c", "b").alias("label"), F.coalesce("_h", "a").alias("home"),
         )
+        rows = self.scratch.table(rows, "labelled")
         mixed = rows.filter("label != home").select(F.col("pivot").alias("_m")).distinct()
         return rows.join(mixed, F.col("pivot") == F.col("_m"), "left_semi")
 
@@ -174,27 +179,32 @@ class JaccardLinks:
     def _residual_postings(self, members: DataFrame) -> DataFrame:
         """Keys of the next level: tokens outside the pivot, where different components share one."""
         num, den = self.num, self.den
-        rows = members.select("pivot", "cls", "n", "inside", "rest", "rank", "label").mapInArrow(_residuals(num, den), "pivot bigint, cls bigint, n int, rank double, label bigint, token bigint")
+        rows = members.select("pivot", "cls", "n", "inside", "rest", "rank", "label").mapInArrow(_residuals(num, den), "pivot bigint, cls bigint, n int, inside int, rank double, label bigint, token bigint")
         rows = rows.withColumn("token", F.xxhash64("pivot", "token"))
         meets = rows.groupBy(F.col("token").alias("_t")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
         kept = rows.join(meets, F.col("token") == F.col("_t"), "left_semi")
-        return kept.groupBy("token", "cls").agg(F.first("n").alias("n"), F.max("rank").alias("rank")).select("token", "cls", "n", F.lit(0).alias("pos"), F.col("cls").alias("gid"), "rank")
+        return kept.groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("inside").alias("inside"), F.max("rank").alias("rank"), F.first("label").alias("label")).select(
+            "token", "cls", "n", F.lit(0).alias("pos"), F.col("cls").alias("gid"), "rank", "label", "inside"
+        )
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    a = labels.select(F.col("node").alias("_na"), F.col("component").alias("_ca"))
-    b = labels.select(F.col("node").alias("_nb"), F.col("component").alias("_cb"))
-    rows = pairs.join(a, F.col("a") == F.col("_na"), "left").join(b, F.col("b") == F.col("_nb"), "left")
-    return rows.filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.unionByName(more)
+    return whole
 
 
-def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+
+
+def _beside(pairs: DataFrame, keep: list[str], sets: DataFrame) -> DataFrame:
     """Pairs with the data of both ends.  The possibly hot end a is joined first, while rows are short."""
     a = sets.select(F.col("cls").alias("_a"), F.col("n").alias("n_a"), F.col("data").alias("data_a"))
     b = sets.select(F.col("cls").alias("_b"), F.col("n").alias("n_b"), F.col("data").alias("data_b"))
-    rows = pairs.select("a", "b").join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b"))
-    return rows.select("a", "b", "n_a", "n_b", "data_a", "data_b")
+    rows = pairs.select("a", "b", *keep).join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b"))
+    return rows.select("a", "b", *keep, "n_a", "n_b", "data_a", "data_b")
 
 
 def _chosen(keep):
@@ -207,7 +217,9 @@ def _chosen(keep):
     return run
 
 
-def _overlaps(with_rest: bool):
+def _overlaps(keep: list[str], with_rest: bool):
+    names = ["a", "b", *keep, "n_a", "n_b"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = batch.to_pydict()
@@ -219,8 +231,8 @@ def _overlaps(with_rest: bool):
                 overlap.append(int(same.sum()))
                 rest.append(b[~same].tobytes() if with_rest else b"")
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in ("a", "b", "n_a", "n_b")), pa.array(overlap, pa.int32()), pa.array(rest, pa.binary())],
-                names=["a", "b", "n_a", "n_b", "overlap", "rest"],
+                [*(batch.column(k) for k in names), pa.array(overlap, pa.int32()), pa.array(rest, pa.binary())],
+                names=[*names, "overlap", "rest"],
             )
 
     return run
@@ -242,6 +254,6 @@ def _residuals(num: int, den: int):
                 tokens.append(own)
             at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.int64())
             token = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in ("pivot", "cls", "n", "rank", "label")), token], names=["pivot", "cls", "n", "rank", "label", "token"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in ("pivot", "cls", "n", "inside", "rank", "label")), token], names=["pivot", "cls", "n", "inside", "rank", "label", "token"])
 
     return run
