@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from beaconlake.llm import kernels
 from beaconlake.llm.components import connected_components
-from beaconlake.llm.scratch import Scratch
+from beaconlake.llm.scratch import Scratch, unused
 from beaconlake.llm.setjoin import JaccardLinks, bitmap, small_enough
 
 WIDTH = 10
@@ -201,11 +201,12 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     The columns of ``docs`` in order.  Documents that lose nothing, null texts among them, stay as they are.
     """
     found = similar_lines(docs, key=key, text=text)
-    lost = found.groupBy(F.col(key).alias("_k"), F.col("digest").alias("_d")).agg(F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("line_no")))).alias("_lost"), F.max("kept").alias("_any"))
-    lost = lost.filter(F.size("_lost") > 0)
-    joined = docs.join(lost, F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(text) == F.col("_d")), "left").filter("_any IS NULL OR _any")
-    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(F.col("_lost"), i)), "\n")
-    return joined.withColumn(text, F.when(F.size("_lost") > 0, left).otherwise(F.col(text))).select(*docs.columns)
+    k, d, gone, some = unused(docs, "_k", "_d", "_lost", "_any")
+    lost = found.groupBy(F.col(key).alias(k), F.col("digest").alias(d)).agg(F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("line_no")))).alias(gone), F.max("kept").alias(some))
+    lost = lost.filter(F.size(gone) > 0)
+    joined = docs.join(lost, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(d)), "left").filter(F.coalesce(some, F.lit(True)))
+    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(F.col(gone), i)), "\n")
+    return joined.withColumn(text, F.when(F.size(gone) > 0, left).otherwise(F.col(text))).select(*docs.columns)
 
 
 def op3_line_dedup(docs: DataFrame) -> DataFrame:

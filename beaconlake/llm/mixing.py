@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from beaconlake.llm.scratch import unused
+
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3.0
 
@@ -98,13 +100,12 @@ def plan_copies(
 def mix(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """The mixed documents: every row of ``docs`` as often as planned, all columns kept.
 
-    ``docs`` must not hold columns named ``_key`` or ``_copies``.  The plan travels by ``key``;
-    rows that share a key take the largest count planned for it.
+    The plan travels by ``key``; rows that share a key take the largest count planned for it.
     """
-    plan = plan_copies(docs, key=key, **options).groupBy(F.col(key).alias("_key")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(plan.filter("_copies > 0"), F.col(key).eqNullSafe(F.col("_key")))
-    repeats = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
-    return repeats.select(*docs.columns)
+    k, n, copy = unused(docs, "_key", "_copies", "_copy")
+    plan = plan_copies(docs, key=key, **options).groupBy(F.col(key).alias(k)).agg(F.max("copies").alias(n))
+    joined = docs.join(plan.filter(F.col(n) > 0), F.col(key).eqNullSafe(F.col(k)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n)))).select(*docs.columns)
 
 
 def op9_mixing(docs: DataFrame) -> DataFrame:

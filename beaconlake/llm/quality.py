@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beaconlake.llm import kernels
-from beaconlake.llm.scratch import Scratch
+from beaconlake.llm.scratch import Scratch, unused
 
 MIN_DOCS = 10
 SHARE = 0.002
@@ -146,11 +146,12 @@ def judge(
 
 def clean(docs: DataFrame, *, key: str = "doc_id", host: str = "source", text: str = "text", **options) -> DataFrame:
     """The documents that pass, without their boilerplate lines; the columns of ``docs`` in order."""
-    verdict = judge(docs, key=key, host=host, text=text, **options).filter("kept").groupBy(F.col(key).alias("_k"), F.col(host).alias("_s"), F.col("digest").alias("_d")).agg(F.first("lost_lines").alias("_gone"))
+    k, s, d, gone = unused(docs, "_k", "_s", "_d", "_gone")
+    verdict = judge(docs, key=key, host=host, text=text, **options).filter("kept").groupBy(F.col(key).alias(k), F.col(host).alias(s), F.col("digest").alias(d)).agg(F.first("lost_lines").alias(gone))
     digest = F.xxhash64(F.coalesce(text, F.lit("")))
-    rows = docs.join(verdict, F.col(key).eqNullSafe(F.col("_k")) & F.col(host).eqNullSafe(F.col("_s")) & (digest == F.col("_d")))
-    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    return rows.withColumn(text, F.when(F.size("_gone") > 0, left).otherwise(F.col(text))).select(*docs.columns)
+    rows = docs.join(verdict, F.col(key).eqNullSafe(F.col(k)) & F.col(host).eqNullSafe(F.col(s)) & (digest == F.col(d)))
+    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(F.col(gone), i)), "\n")
+    return rows.withColumn(text, F.when(F.size(gone) > 0, left).otherwise(F.col(text))).select(*docs.columns)
 
 
 def op4_quality(docs: DataFrame) -> DataFrame:

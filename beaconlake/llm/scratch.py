@@ -24,6 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """A fresh subfolder of the shared folder for the tables of one run of one operator."""
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from beaconlake.llm.scratch import unused
+
 FINE_PER_SHARD = 64
 SAMPLES_PER_FINE = 16
 _UNIT = float(1 << 52)
@@ -63,37 +65,38 @@ def assign_shards(
 ) -> DataFrame:
     """``records`` with two more columns: shard (0 to n_shards - 1) and slot (gapless from 0 in each shard).
 
-    ``key`` is a non-null bigint column along which shards are contiguous, ``size`` a bigint
+    A column of those names is replaced.  ``key`` is a non-null bigint column along which shards are contiguous, ``size`` a bigint
     weight, ``tie`` an orderable column that tells records of one key apart (nulls first; rows
     equal in both are interchangeable).  Records of one key share a shard unless their range
     holds more than its part, when it is subdivided by a hash of ``tie``.  An empty table returns
     no rows.  The driver holds one number per fine range, a count fixed by the parameters.
     """
+    range_, piece, row, first = unused(records, "_range", "_piece", "_row", "_first")
+    kept = [c for c in records.columns if c.lower() not in ("shard", "slot")]
     n_fine = n_shards * fine_per_shard
     total = records.agg(F.sum(size)).first()[0] or 0
     bounds = splitters(records, n_fine, key=key, size=size, tie=tie, total=total)
-    ranged = records.withColumn("_range", range_of(F.col(key), bounds))
-    weights = {r._range: r._w for r in ranged.groupBy("_range").agg(F.sum(size).alias("_w")).collect()}
+    ranged = records.withColumn(range_, range_of(F.col(key), bounds))
+    weights = {r[0]: r[1] for r in ranged.groupBy(range_).agg(F.sum(size)).collect()}
     fair = max(total / n_fine, 1.0)
     parts = {r: min(n_fine, max(1, round(w / fair))) if w > 2 * fair else 1 for r, w in weights.items()}
-    pieces = F.create_map(*[F.lit(x) for r, p in sorted(parts.items()) if p > 1 for x in (r, p)]) if any(p > 1 for p in parts.values()) else None
     split = F.lit(0)
-    if pieces is not None:
-        many = F.coalesce(pieces[F.col("_range")], F.lit(1))
+    if any(p > 1 for p in parts.values()):
+        pieces = F.create_map(*[F.lit(x) for r, p in sorted(parts.items()) if p > 1 for x in (r, p)])
+        many = F.coalesce(pieces[F.col(range_)], F.lit(1))
         split = F.pmod(F.xxhash64(F.col(tie), F.col(size), F.lit(5)), many).cast("int")
-    fine = ranged.withColumn("_piece", split)
-    measured = fine.groupBy("_range", "_piece").agg(F.sum(size).alias("w"), F.count("*").alias("n")).collect()
+    fine = ranged.withColumn(piece, split)
+    measured = fine.groupBy(range_, piece).agg(F.sum(size).alias("w"), F.count("*").alias("n")).collect()
     rows, filled, next_slot = [], 0, dict.fromkeys(range(n_shards), 0)
-    for m in sorted(measured, key=lambda m: (m._range, m._piece)):
+    for m in sorted(measured, key=lambda m: (m[0], m[1])):
         shard = min(n_shards - 1, int((filled + m.w / 2) * n_shards / max(total, 1)))
-        rows.append((m._range, m._piece, shard, next_slot[shard]))
+        rows.append((m[0], m[1], shard, next_slot[shard]))
         filled += m.w
         next_slot[shard] += m.n
-    table = records.sparkSession.createDataFrame(rows, "_range int, _piece int, shard int, _first bigint")
-    inside = Window.partitionBy("_range", "_piece").orderBy(key, tie)
-    numbered = fine.withColumn("_row", F.row_number().over(inside))
-    placed = numbered.join(F.broadcast(table), ["_range", "_piece"])  # at most 2 * n_fine rows
-    return placed.select(*records.columns, "shard", (F.col("_first") + F.col("_row") - 1).cast("bigint").alias("slot"))
+    table = records.sparkSession.createDataFrame(rows, f"{range_} int, {piece} int, shard int, {first} bigint")
+    numbered = fine.select(*kept, range_, piece, F.row_number().over(Window.partitionBy(range_, piece).orderBy(key, tie)).alias(row))
+    placed = numbered.join(F.broadcast(table), [range_, piece])  # at most 2 * n_fine rows
+    return placed.select(*kept, "shard", (F.col(first) + F.col(row) - 1).cast("bigint").alias("slot"))
 
 
 def write_shards(records: DataFrame, path: str, **options) -> None:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from beaconlake.llm import kernels
 from beaconlake.llm.quality import sequence_hashes
-from beaconlake.llm.scratch import Scratch
+from beaconlake.llm.scratch import Scratch, unused
 
 MIN_WORDS = 8
 _STOP = np.zeros(256, dtype=bool)
@@ -94,12 +94,13 @@ def remove_spans(docs: DataFrame, spans: DataFrame, *, key: str = "doc_id", text
 
     Spans are gathered per document, as many as it has units.  Rows that repeat a key all lose them.
     """
-    cuts = spans.groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_cuts"))
-    joined = docs.join(cuts, F.col(key).eqNullSafe(F.col("_k")), "left")
-    at = F.concat(F.array(F.lit(0).cast("bigint")), F.col("_cuts.end"))
-    upto = F.concat(F.col("_cuts.start"), F.array(F.char_length(text).cast("bigint")))
+    k, gone = unused(docs, "_k", "_cuts")
+    cuts = spans.groupBy(F.col(key).alias(k)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(gone))
+    joined = docs.join(cuts, F.col(key).eqNullSafe(F.col(k)), "left")
+    at = F.concat(F.array(F.lit(0).cast("bigint")), F.col(f"{gone}.end"))
+    upto = F.concat(F.col(f"{gone}.start"), F.array(F.char_length(text).cast("bigint")))
     parts = F.zip_with(at, upto, lambda a, b: F.substring(F.col(text), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")))
-    return joined.withColumn(text, F.when(F.size("_cuts") > 0, F.array_join(parts, "")).otherwise(F.col(text))).select(*docs.columns)
+    return joined.withColumn(text, F.when(F.size(gone) > 0, F.array_join(parts, "")).otherwise(F.col(text))).select(*docs.columns)
 
 
 def op5_substring(docs: DataFrame) -> DataFrame:
