@@ -7,9 +7,11 @@ a key are candidates:
   bounded by bitmaps and verified.
 * In a long list every set is compared with one pivot.  What that leaves open is settled by the
   rest of the sets: two sets x, y of a pivot P that are to overlap in more than
-  ``min(|x & P|, |y & P|)`` tokens must share a token outside P.  Those tokens are the keys of the
-  next level, kept only where sets of different components meet, and the level repeats the two
-  steps (after PIVOT_LEVELS levels whatever is left is paired out).  The few pairs that may overlap enough inside P alone are compared directly.
+  ``min(|x & P|, |y & P|)`` tokens must share the rest outside P.  Only tokens outside P in which
+  sets of different components meet can count for that; a set that holds fewer of them than it
+  needs is done, and of the others the rarest, as many as a partner must meet one of, are the keys
+  of the next level, which repeats the two steps (after PIVOT_LEVELS levels whatever is left is
+  paired out).  The few pairs that may overlap enough inside P alone are compared directly.
 
 So links inside a large group of near copies cost one comparison per member, and no pair that
 could join two components is lost.
@@ -31,7 +33,7 @@ SHORT_LIST = 32
 PIVOT_LEVELS = 3
 #: From the second level on, lists that make at most so many pairs for each row are paired out at
 #: once; what is known of the overlaps with the pivot rules most of them out inside the join.
-PAIRS_PER_ROW = 500
+PAIRS_PER_ROW = 64
 BROADCAST_ROWS = 500_000
 
 
@@ -153,7 +155,8 @@ class JaccardLinks:
         return _beside(pairs, keep, sets).mapInArrow(_overlaps(keep, rest), f"a bigint, b bigint, {kinds}n_a int, n_b int, overlap int, rest binary")
 
     def _open_members(self, compared: DataFrame, labels: DataFrame) -> DataFrame:
-        """Members of pivots in whose lists different components meet: pivot, cls, n, inside, rest, rank, label, home."""
+        """Members of pivots in whose lists different components meet: pivot, cls, n, inside, rest, rank, label, home
+        and most, the largest ``inside`` of those that are not of the pivot's own component (home)."""
         own = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
         home = labels.select(F.col("node").alias("_p"), F.col("component").alias("_h"))
         rows = compared.join(own, F.col("b") == F.col("_n"), "left").join(home, F.col("a") == F.col("_p"), "left")
@@ -162,8 +165,8 @@ class JaccardLinks:
             F.coalesce("_c", "b").alias("label"), F.coalesce("_h", "a").alias("home"),
         )
         rows = self.scratch.table(rows, "labelled")
-        mixed = rows.filter("label != home").select(F.col("pivot").alias("_m")).distinct()
-        return rows.join(mixed, F.col("pivot") == F.col("_m"), "left_semi")
+        mixed = rows.filter("label != home").groupBy(F.col("pivot").alias("_m")).agg(F.max("inside").alias("most"))
+        return rows.join(small_enough(self.scratch.table(mixed, "mixed")), F.col("pivot") == F.col("_m")).drop("_m")
 
     def _inside_pivot(self, members: DataFrame) -> DataFrame:
         """Pairs of different components that may overlap enough in the tokens of their pivot alone."""
@@ -177,15 +180,20 @@ class JaccardLinks:
         return met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
 
     def _residual_postings(self, members: DataFrame) -> DataFrame:
-        """Keys of the next level: tokens outside the pivot, where different components share one."""
-        num, den = self.num, self.den
-        rows = members.select("pivot", "cls", "n", "inside", "rest", "rank", "label").mapInArrow(_residuals(num, den), "pivot bigint, cls bigint, n int, inside int, rank double, label bigint, token bigint")
+        """Keys of the next level: the rarest tokens outside the pivot that sets of different components share.
+
+        A partner shares ``need`` such tokens at least; a set of the pivot's own component finds
+        partners only among the others, which have ``most`` tokens of the pivot at most.
+        """
+        within = F.when(F.col("label") == F.col("home"), F.least("inside", "most")).otherwise(F.col("inside"))
+        need = F.greatest(F.lit(1), F.ceil(F.col("n") * self.num / self.den).cast("int") - within)
+        rows = members.select("pivot", "cls", "n", "inside", "rank", "label", need.alias("need"), "rest").mapInArrow(_residuals, "pivot bigint, cls bigint, n int, inside int, rank double, label bigint, need int, token bigint")
         rows = rows.withColumn("token", F.xxhash64("pivot", "token"))
-        meets = rows.groupBy(F.col("token").alias("_t")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
-        kept = rows.join(meets, F.col("token") == F.col("_t"), "left_semi")
-        return kept.groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("inside").alias("inside"), F.max("rank").alias("rank"), F.first("label").alias("label")).select(
-            "token", "cls", "n", F.lit(0).alias("pos"), F.col("cls").alias("gid"), "rank", "label", "inside"
-        )
+        meets = rows.groupBy(F.col("token").alias("_t")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held")).filter("lo != hi")
+        kept = rows.join(meets.drop("lo", "hi"), F.col("token") == F.col("_t"))
+        own = kept.groupBy("pivot", "cls", "n", "inside", "rank", "label", "need").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("own")).filter(F.size("own") >= F.col("need"))
+        keys = F.explode(F.slice("own", F.lit(1), F.size("own") - F.col("need") + 1).getField("token"))
+        return own.select(keys.alias("token"), "cls", "n", F.lit(0).alias("pos"), F.col("cls").alias("gid"), "rank", "label", "inside")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -238,22 +246,11 @@ def _overlaps(keep: list[str], with_rest: bool):
     return run
 
 
-def _residuals(num: int, den: int):
-    """Of the tokens outside the pivot as many as a partner must meet one of: it shares at least
-    ``ceil(num / den * n) - inside`` of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = batch.to_pydict()
-            rows, tokens = [], []
-            for i, (n, inside, rest) in enumerate(zip(c["n"], c["inside"], c["rest"])):
-                own = np.frombuffer(rest, np.int64)
-                shared = max(1, -(-num * n // den) - inside)
-                own = own[: max(0, len(own) - shared + 1)]
-                rows.append(np.full(len(own), i))
-                tokens.append(own)
-            at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.int64())
-            token = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in ("pivot", "cls", "n", "inside", "rank", "label")), token], names=["pivot", "cls", "n", "inside", "rank", "label", "token"])
-
-    return run
+def _residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each token of the last column, which holds packed tokens."""
+    for batch in batches:
+        rest = batch.column("rest").to_pylist()
+        at = pa.array(np.repeat(np.arange(len(rest)), [len(r) // 8 for r in rest]))
+        token = pa.array(np.frombuffer(b"".join(rest), np.int64))
+        names = batch.schema.names[:-1]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in names), token], names=[*names, "token"])

@@ -68,7 +68,8 @@ def assign_shards(
     A column of those names is replaced.  ``key`` is a non-null bigint column along which shards are contiguous, ``size`` a bigint
     weight, ``tie`` an orderable column that tells records of one key apart (nulls first; rows
     equal in both are interchangeable).  Records of one key share a shard unless their range
-    holds more than its part, when it is subdivided by a hash of ``tie``.  An empty table returns
+    holds more than its part; it is then subdivided by a hash of ``tie`` and its keys
+    lie in a few neighbouring shards.  An empty table returns
     no rows.  The driver holds one number per fine range, a count fixed by the parameters.
     """
     range_, piece, row, first = unused(records, "_range", "_piece", "_row", "_first")

@@ -100,7 +100,7 @@ class Rollup:
 def op7_token_rollup(docs: DataFrame) -> DataFrame:
     """Totals after four batches over all documents: all are inserted with their counts under words@1,
     the same documents under words@2, texts that a smaller doc_id also has are deleted from both, and
-    the first batch is delivered again."""
+    the first batch is delivered again.  Null texts count as empty; without a doc_id no row is a copy."""
     scratch = Scratch(docs.sparkSession, "rollup")
     text = F.col("text")
     counted = docs.select("doc_id", "source", "lang", F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"), *(token_count(text, v).alias(v) for v in PATTERNS))
