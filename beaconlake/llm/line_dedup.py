@@ -25,6 +25,8 @@ from beaconlake.llm.setjoin import JaccardLinks, bitmap, small_enough
 WIDTH = 10
 BINS = 64
 BANDS = 16
+#: Lines that are signed at once.
+CHUNK = 1 << 12
 _BIN_BITS = BINS.bit_length() - 1
 _LINE_BITS = 22
 _HASH_BITS = 64 - _BIN_BITS - _LINE_BITS
@@ -122,8 +124,8 @@ def _band_postings(docs: DataFrame, text: str) -> DataFrame:
                 fresh = np.array([c not in seen for c in classes.tolist()], dtype=bool)
                 seen.update(classes[fresh].tolist())
                 chosen = at[fresh]
-                for k in range(0, len(chosen), 1 << 16):
-                    part = chosen[k : k + (1 << 16)]
+                for k in range(0, len(chosen), CHUNK):
+                    part = chosen[k : k + CHUNK]
                     sig, sizes = signatures(*lines.shingles(part), len(part))
                     keys = _band_keys(sig)
                     yield pa.RecordBatch.from_arrays(
