@@ -187,11 +187,13 @@ class JaccardLinks:
         """
         within = F.when(F.col("label") == F.col("home"), F.least("inside", "most")).otherwise(F.col("inside"))
         need = F.greatest(F.lit(1), F.ceil(F.col("n") * self.num / self.den).cast("int") - within)
-        rows = members.select("pivot", "cls", "n", "inside", "rank", "label", need.alias("need"), "rest").mapInArrow(_residuals, "pivot bigint, cls bigint, n int, inside int, rank double, label bigint, need int, token bigint")
-        rows = rows.withColumn("token", F.xxhash64("pivot", "token"))
+        members = members.withColumn("need", need).withColumn("member", F.xxhash64("pivot", "cls"))
+        rows = members.select("pivot", "member", "label", "rest").mapInArrow(_residuals, "pivot bigint, member bigint, label bigint, token bigint")
+        rows = rows.select(F.xxhash64("pivot", "token").alias("token"), "member", "label")
         meets = rows.groupBy(F.col("token").alias("_t")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held")).filter("lo != hi")
-        kept = rows.join(meets.drop("lo", "hi"), F.col("token") == F.col("_t"))
-        own = kept.groupBy("pivot", "cls", "n", "inside", "rank", "label", "need").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("own")).filter(F.size("own") >= F.col("need"))
+        kept = rows.drop("label").join(meets.drop("lo", "hi"), F.col("token") == F.col("_t"))
+        own = kept.groupBy(F.col("member").alias("_m")).agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("own"))
+        own = members.drop("rest").join(own, F.col("member") == F.col("_m")).filter(F.size("own") >= F.col("need"))
         keys = F.explode(F.slice("own", F.lit(1), F.size("own") - F.col("need") + 1).getField("token"))
         return own.select(keys.alias("token"), "cls", "n", F.lit(0).alias("pos"), F.col("cls").alias("gid"), "rank", "label", "inside")
 
