@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -63,7 +62,6 @@ def test_publish(spark, tmp_path):
 def drop(folder, name, items):
     folder.mkdir(exist_ok=True)
     (folder / name).write_text("\n".join(json.dumps(i) for i in items))
-    os.utime(folder / name, (ord(name[0]),) * 2)  # streams take the oldest file first
 
 
 def drain(df, name, spark, mode="append"):
@@ -88,14 +86,15 @@ def test_ingest(spark, tmp_path):
 
 
 def test_hours_are_sealed_once(spark, tmp_path):
-    landing = tmp_path / "in"
-    drop(landing, "a.json", [item(i, i) for i in range(50)])
-    drop(landing, "b.json", [item(100, 65), item(101, 80)])
-    drop(landing, "c.json", [item(102, 200), item(103, 59)])
-    drop(landing, "d.json", [item(104, 400)])
-    got = drain(ingest.hourly_counts(ingest.normalize(ingest.read_landing(spark, str(landing), 1))), "sealed", spark)
-    assert {(r.hour, r.n) for r in got} >= {(T0, 50), (T0 + timedelta(hours=1), 2)}
-    assert len({r.hour for r in got}) == len(got)
+    landing, out = tmp_path / "in", str(tmp_path / "out")
+    batches = [[item(i, i) for i in range(50)], [item(100, 65), item(101, 80)], [item(102, 200), item(103, 59)], [item(104, 400)]]
+    for name, batch in zip("abcd", batches):
+        drop(landing, f"{name}.json", batch)
+        counts = ingest.hourly_counts(ingest.normalize(ingest.read_landing(spark, str(landing))))
+        counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    got = [(r.hour, r.n) for r in spark.read.parquet(out).collect()]
+    assert sorted(got)[:2] == [(T0, 50), (T0 + timedelta(hours=1), 2)]  # the last message came after its hour was sealed
+    assert len({hour for hour, _ in got}) == len(got)
 
 
 def test_stream_to_archive(spark, tmp_path):
