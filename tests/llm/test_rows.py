@@ -112,7 +112,7 @@ def test_quality(docs, rows):
 
 def test_quality_boilerplate(spark):
     """A footer of one host goes; the same line on another host, where it is rare, stays; a page of footers is rejected."""
-    body = lambda i: " ".join(f"b{i}x{j}" for j in range(80))
+    body = lambda i: " ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}x{j}" for j in range(80))  # noqa: E731  (digits are normalised, letters tell bodies apart)
     rows = [(i, f"{body(i)}\nAll rights reserved {i:02}", "a") for i in range(40)] + [(100 + i, f"{body(100 + i)}\nAll rights reserved 07", "b") for i in range(2)]
     rows.append((200, "\n".join(f"All rights reserved {j:02}" for j in range(20)) + "\n" + " ".join(f"q{j}" for j in range(30)), "a"))
     table = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
