@@ -31,6 +31,8 @@ from beaconlake.llm.scratch import Scratch
 
 SHORT_LIST = 32
 PIVOT_LEVELS = 3
+#: More pivots for each pivot of the first level in whose lists different components meet.
+FURTHER = 3
 #: From the second level on, lists that make at most so many pairs for each row are paired out at
 #: once; what is known of the overlaps with the pivot rules most of them out inside the join.
 PAIRS_PER_ROW = 64
@@ -87,6 +89,7 @@ class JaccardLinks:
         """
         t = self.scratch.table
         found: list[DataFrame] = []
+        known: list[DataFrame] = []
         postings = postings.withColumn("label", F.col("cls")).withColumn("inside", F.lit(0))
         level = 0
         while True:
@@ -111,11 +114,18 @@ class JaccardLinks:
                 break
             compared = t(self._verified(star, ["rank"], f"{name}-long", rest=True), f"{name}-compared")
             found.append(compared.filter(self.enough(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
-            labels = connected_components(_union(found), self.scratch, f"{name}-cc")
+            labels = connected_components(_union(known + found[-2:]), self.scratch, f"{name}-cc")
+            if level == 0:
+                more = t(self._further_pivots(compared, labels), f"{name}-further")
+                if not more.isEmpty():
+                    found.append(self._linked(more, f"{name}-more", bits=True))
+                    labels = connected_components(_union([_as_edges(labels), found[-1]]), self.scratch, f"{name}-cc-more")
+            known = [_as_edges(labels)]
             members = t(self._open_members(compared, labels), f"{name}-members")
             direct = t(self._inside_pivot(members), f"{name}-direct")
             if not direct.isEmpty():
                 found.append(self._linked(direct, f"{name}-inside", bits=False))
+                known.append(found[-1])
             postings = t(self._residual_postings(members), f"{name}-rest")
             level += 1
         return _union(found)
@@ -157,16 +167,32 @@ class JaccardLinks:
     def _open_members(self, compared: DataFrame, labels: DataFrame) -> DataFrame:
         """Members of pivots in whose lists different components meet: pivot, cls, n, inside, rest, rank, label, home
         and most, the largest ``inside`` of those that are not of the pivot's own component (home)."""
+        rows = self.scratch.table(self._labelled(compared, labels, ["rest", "rank"]), "labelled")
+        mixed = rows.filter("label != home").groupBy(F.col("pivot").alias("_m")).agg(F.max("inside").alias("most"))
+        return rows.join(small_enough(self.scratch.table(mixed, "mixed")), F.col("pivot") == F.col("_m")).drop("_m")
+
+    def _labelled(self, compared: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
         own = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
         home = labels.select(F.col("node").alias("_p"), F.col("component").alias("_h"))
         rows = compared.join(own, F.col("b") == F.col("_n"), "left").join(home, F.col("a") == F.col("_p"), "left")
-        rows = rows.select(
-            F.col("a").alias("pivot"), F.col("b").alias("cls"), F.col("n_b").alias("n"), F.col("overlap").alias("inside"), "rest", "rank",
+        return rows.select(
+            F.col("a").alias("pivot"), F.col("b").alias("cls"), F.col("n_b").alias("n"), F.col("overlap").alias("inside"), *keep,
             F.coalesce("_c", "b").alias("label"), F.coalesce("_h", "a").alias("home"),
         )
-        rows = self.scratch.table(rows, "labelled")
-        mixed = rows.filter("label != home").groupBy(F.col("pivot").alias("_m")).agg(F.max("inside").alias("most"))
-        return rows.join(small_enough(self.scratch.table(mixed, "mixed")), F.col("pivot") == F.col("_m")).drop("_m")
+
+    def _further_pivots(self, compared: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs of members with FURTHER more pivots, drawn by hash from those outside the pivot's component.
+
+        At most FURTHER comparisons for each member.  They only join components early, so that less
+        is open below the pivot; what they miss is still found there.
+        """
+        rows = self.scratch.table(self._labelled(compared, labels, []), "homes")
+        drawn = F.array(*(F.max_by(F.struct("cls", "n", "label"), F.xxhash64("cls", F.lit(i))) for i in range(FURTHER)))
+        drawn = rows.filter("label != home").groupBy(F.col("pivot").alias("_p")).agg(drawn.alias("_drawn"))
+        drawn = self.scratch.table(drawn.select("_p", F.explode(F.array_distinct("_drawn")).alias("_d")), "drawn")
+        met = rows.join(small_enough(drawn), F.col("pivot") == F.col("_p"))
+        met = met.filter((F.col("label") != F.col("_d.label")) & self.sizes_fit(F.col("n"), F.col("_d.n")))
+        return met.select(F.least("cls", "_d.cls").alias("a"), F.greatest("cls", "_d.cls").alias("b")).distinct()
 
     def _inside_pivot(self, members: DataFrame) -> DataFrame:
         """Pairs of different components that may overlap enough in the tokens of their pivot alone."""
@@ -205,6 +231,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
+def _as_edges(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
 
