@@ -23,7 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_records": lambda spark, sf_dir: records.op2_records(docs(spark, sf_dir), TOKENIZER),
         "op3_line_dedup": lambda spark, sf_dir: line_dedup.op3_line_dedup(docs(spark, sf_dir)),
         "op4_quality": lambda spark, sf_dir: quality.op4_quality(docs(spark, sf_dir)),
-        "op5_substring": lambda spark, sf_dir: substring.op5_substring(docs(spark, sf_dir)),
+        "op5_substring": lambda spark, sf_dir: substring.op5_passages(docs(spark, sf_dir)),
         "op6_ngram_join": lambda spark, sf_dir: ngram_join.op6_ngram_join(docs(spark, sf_dir)),
         "op7_token_rollup": lambda spark, sf_dir: token_rollup.op7_token_rollup(docs(spark, sf_dir)),
         "op8_shards": lambda spark, sf_dir: shards.op8_shards(docs(spark, sf_dir)),
