@@ -22,7 +22,7 @@ from beaconlake.llm.components import connected_components
 from beaconlake.llm.scratch import Scratch, unused
 from beaconlake.llm.setjoin import JaccardLinks, bitmap, small_enough
 
-WIDTH = 10
+WIDTH = 5
 BINS = 64
 BANDS = 16
 #: Lines that are signed at once.
