@@ -98,24 +98,36 @@ class Rollup:
 
 
 def op7_token_rollup(docs: DataFrame) -> DataFrame:
-    """Totals after four batches over all documents: all are inserted with their counts under words@1,
-    the same documents under words@2, texts that a smaller doc_id also has are deleted from both, and
-    the first batch is delivered again.  Null texts count as empty; without a doc_id no row is a copy."""
+    """Totals after four batches over all documents: all are inserted under words@1 with an estimate
+    from their length, the same documents under words@2 with their counts, every estimate is revised
+    to the count, and texts that a smaller doc_id also has are deleted from both.  The rollup is
+    compacted after the second batch and after the third; then all are delivered again, which changes
+    nothing.  Null texts count as empty; without a doc_id no row is a copy."""
     scratch = Scratch(docs.sparkSession, "rollup")
     text = F.col("text")
-    counted = docs.select("doc_id", "source", "lang", F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"), *(token_count(text, v).alias(v) for v in PATTERNS))
+    estimate = F.coalesce(F.expr("char_length(text) div 6"), F.lit(0)).cast("bigint").alias("estimate")
+    counted = docs.select("doc_id", "source", "lang", F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"), estimate, *(token_count(text, v).alias(v) for v in PATTERNS))
     counted = scratch.table(counted, "counted")
     first = scratch.table(counted.groupBy(F.col("digest").alias("_d")).agg(F.min("doc_id").alias("_first")), "first")
     copies = counted.join(first, F.col("digest") == F.col("_d")).filter("doc_id != _first")
 
-    def changes(rows: DataFrame, op: str, version: str) -> DataFrame:
-        return rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer"), F.col(f"`{version}`").alias("n_tokens"), F.lit(None).cast("bigint").alias("old_tokens"))
+    def changes(rows: DataFrame, op: str, version: str, tokens: str | None = None, old: str | None = None) -> DataFrame:
+        before = F.col(old) if old else F.lit(None).cast("bigint")
+        return rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer"), F.col(f"`{tokens or version}`").alias("n_tokens"), before.alias("old_tokens"))
 
+    batches = {
+        "load-1": changes(counted, "insert", "words@1", tokens="estimate"),
+        "load-2": changes(counted, "insert", "words@2"),
+        "counts-1": changes(counted, "revise", "words@1", old="estimate"),
+        "copies": changes(copies, "delete", "words@1").unionByName(changes(copies, "delete", "words@2")),
+    }
     rollup = Rollup(docs.sparkSession, scratch.folder("totals"))
-    rollup.commit("load-1", changes(counted, "insert", "words@1"))
-    rollup.commit("load-2", changes(counted, "insert", "words@2"))
-    rollup.commit("copies", changes(copies, "delete", "words@1").unionByName(changes(copies, "delete", "words@2")))
-    rollup.commit("load-1", changes(counted, "insert", "words@1"))
+    for name, batch in batches.items():
+        rollup.commit(name, batch)
+        if name in ("load-2", "counts-1"):
+            rollup.compact()
+    for name, batch in batches.items():
+        rollup.commit(name, batch)
     return rollup.totals()
 
 
