@@ -160,7 +160,7 @@ QUERIES: dict[str, Query] = {
         SELECT source, arg_max(target, hops) AS target, max(hops) AS hops FROM f GROUP BY source""",
     ),
     "append_absent": Query(
-        append_absent, ("J17", "U6", "S6", "A1"),
+        append_absent, ("J17", "U6", "S6"),
         f"""WITH {M} SELECT event_id, at_us, feed FROM messages WHERE event_id % 3 <> 0 UNION ALL
         SELECT event_id, at_us, feed FROM messages b WHERE event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM messages a WHERE a.event_id % 3 <> 0 AND a.at_us = b.at_us AND a.feed = b.feed)""",
     ),

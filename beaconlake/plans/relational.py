@@ -237,7 +237,7 @@ QUERIES: dict[str, Query] = {
         f"WITH {M} SELECT unit, event_id, at_us, k FROM messages QUALIFY row_number() OVER (PARTITION BY unit ORDER BY CASE WHEN k >= 80 THEN 0 ELSE 1 END, k DESC, event_id) <= 5",
     ),
     "budget_pack": Query(
-        lambda s, d: ordered.running_pack(table(s, d, "conversations").select("conv_id", "turn", F.char_length("text").alias("chars")).filter("chars IS NOT NULL"), ["conv_id"], "chars", [F.col("turn"), F.col("chars")], 1500), ("O8", "K6", "B16"),
+        lambda s, d: ordered.running_pack(table(s, d, "conversations").select("conv_id", "turn", F.char_length("text").alias("chars")).filter("chars IS NOT NULL"), ["conv_id"], "chars", [F.col("turn"), F.col("chars")], 1500), ("O8", "B16"),
         "SELECT conv_id, turn, length(text) AS chars, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, length(text) ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM conversations WHERE text IS NOT NULL QUALIFY used <= 1500",
     ),
     "probe_priority": Query(
@@ -262,7 +262,7 @@ QUERIES: dict[str, Query] = {
         f"WITH {M}, n AS (SELECT *, max(at_us) OVER (PARTITION BY feed) AS newest FROM messages) SELECT event_id, feed, k >= 50 AS wire FROM n WHERE k >= 50 OR newest - at_us <= 3600000000",
     ),
     "machine_report": Query(
-        lambda s, d: messages(s, d).groupBy("unit").agg(F.max_by("call_type", F.struct("at_us", "event_id")).alias("latest"), F.max("at_us").alias("at_us"), F.countDistinct("feed").alias("feeds"), F.count_if(F.expr("k > 50")).alias("live")), ("A3", "D8", "B21"),
+        lambda s, d: messages(s, d).groupBy("unit").agg(F.max_by("call_type", F.struct("at_us", "event_id")).alias("latest"), F.max("at_us").alias("at_us"), F.countDistinct("feed").alias("feeds"), F.count_if(F.expr("k > 50")).alias("live")), ("A3", "D8"),
         f"WITH {M} SELECT unit, arg_max(call_type, at_us) AS latest, max(at_us) AS at_us, count(DISTINCT feed) AS feeds, count(*) FILTER (k > 50) AS live FROM messages GROUP BY unit",
     ),
 }

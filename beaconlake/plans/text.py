@@ -104,7 +104,7 @@ QUERIES: dict[str, Query] = {
                coalesce(greatest({', '.join(r.id for r in LEXICON)}), 0) AS top_tier, {' + '.join(f"CASE WHEN {r.id}_h THEN 1 ELSE 0 END" for r in LEXICON)} AS hedged FROM s""",
     ),
     "category": Query(
-        category, ("C4", "E1", "F18", "F26", "C14", "C16"),
+        category, ("E1", "F18", "F26", "C14", "C16"),
         f"""WITH {_ASCII} SELECT doc_id, CASE WHEN length(text) < 13 THEN 'short' WHEN regexp_matches(text, '^[0-9 .]+$') THEN 'readback'
         {' '.join(f"WHEN regexp_matches(text, '\\b(?:{p})\\b') THEN '{k}'" for k, p in KINDS)} WHEN length(text) < 70 THEN 'chatter' ELSE 'other' END AS kind FROM ascii_docs""",
     ),
@@ -123,7 +123,7 @@ QUERIES: dict[str, Query] = {
         SELECT heard, name, edits, row_number() OVER (PARTITION BY heard ORDER BY edits, name) AS place, count(*) OVER (PARTITION BY heard) = 1 OR (edits = 0) AS confident FROM j QUALIFY place <= 3""",
     ),
     "ngram_scan": Query(
-        ngram_scan, ("E12", "E5", "B6", "E8", "E13"),
+        ngram_scan, ("E12", "E5", "B6", "E13"),
         """WITH t AS (SELECT p_partkey AS id, string_split(lower(p_name || ' ' || p_type || ' ' || p_name), ' ') AS w FROM part),
         g AS (SELECT id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram FROM t, range(1, 4) a(n), range(1, 20) b(i) WHERE i + n - 1 <= len(w)),
         names AS (SELECT DISTINCT lower(p_name) AS name FROM part)
