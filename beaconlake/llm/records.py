@@ -98,6 +98,7 @@ class LibraryTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.largest = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         self.memo = ChunkMemo(self._encode)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -114,20 +115,25 @@ def library_tokenizer(path: str) -> LibraryTokenizer:
     return _tokenizers[path]
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int, wide: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+def write_records(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int, wide: bool | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode whole texts, append ``end_id`` and write them in ascending key order; returns the manifest.
 
     The manifest, itself a table in ``folder``, has a row per shard: shard, name, records, ids,
     bytes; names sort like keys.  Null keys come first, equal keys in order of their text; null
-    texts give the end id alone.  ``wide`` stores 32-bit ids.  Other columns are not written.  An
-    empty table gives an empty manifest.
+    texts give the end id alone.  ``wide`` stores 32-bit ids; without it they are 16-bit if every id of
+    the vocabulary and ``end_id`` fit, and ``wide=False`` fails if one doesn't.  Other columns are not
+    written.  An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     ordered = docs.select(key, text).repartitionByRange(F.col(key)).sortWithinPartitions(key, text)
-    kind = "<u4" if wide else "<u2"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = library_tokenizer(tokenizer_path)
+        largest = max(end_id, tokenizer.largest)
+        if wide is False and largest >= 1 << 16:
+            raise ValueError(f"id {largest} does not fit 16 bits")
+        broad = largest >= 1 << 16 if wide is None else wide
+        kind = "<u4" if broad else "<u2"
         shard = TaskContext.get().partitionId()
         name, own = f"shard-{shard:06d}", f".{uuid.uuid4().hex}"
         files, root = pafs.FileSystem.from_uri(folder)
@@ -158,7 +164,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id:
             index.close()
             for kind_of in ("rec", "idx"):
                 files.move(f"{root}/{own}.{kind_of}", f"{root}/{name}.{kind_of}")
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "records": [records], "ids": [ids], "bytes": [size], "wide": [wide]}, schema=_MANIFEST)
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "records": [records], "ids": [ids], "bytes": [size], "wide": [broad]}, schema=_MANIFEST)
 
     manifest = ordered.mapInArrow(run, "shard int, name string, records bigint, ids bigint, bytes bigint, wide boolean")
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
