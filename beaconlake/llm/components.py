@@ -8,6 +8,7 @@ edges form stars around the smallest node of each component.  A step joins edges
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,19 @@ def _settled(stars: DataFrame) -> bool:
     ends = stars.select(F.col("u").alias("node"), F.lit(1).alias("down")).unionByName(stars.select(F.col("v").alias("node"), F.lit(0).alias("down")))
     each = ends.groupBy("node").agg(F.sum("down").alias("downs"), F.min("down").alias("centre"))
     return each.filter("downs > 1 OR (downs = 1 AND centre = 0)").limit(1).count() == 0
+
+
+def forest(p: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as (child, root), of the few nodes 0 to n - 1 of one block under its edges (p, q)."""
+    root = np.arange(n)
+    while len(p):
+        low = np.minimum(root[p], root[q])
+        after = root.copy()
+        np.minimum.at(after, p, low)
+        np.minimum.at(after, q, low)
+        after = after[after]
+        if (after == root).all():
+            break
+        root = after
+    child = np.flatnonzero(root != np.arange(n))
+    return child, root[child]

@@ -19,6 +19,8 @@ _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SHINGLE_BASE = 0xC2B2AE3D27D4EB4F | 1
 
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=_U64)
+
 #: The blanks of the word pattern ``[^\x20\x09-\x0D]+``.
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -26,25 +28,6 @@ BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER_ASCII = np.arange(256, dtype=np.uint8)
 LOWER_ASCII[ord("A") : ord("Z") + 1] += 32
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``base**i`` and ``base**-i`` modulo 2**64 for ``i < n`` (grown on demand, kept per worker)."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n).bit_length())
-        inverse = pow(base, -1, 1 << 64)
-        up, down = np.ones(size, dtype=_U64), np.ones(size, dtype=_U64)
-        with np.errstate(over="ignore"):
-            up[1:] = _U64(base)
-            np.multiply.accumulate(up, out=up)
-            down[1:] = _U64(inverse)
-            np.multiply.accumulate(down, out=down)
-        have = _powers[base] = (up, down)
-    return have
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser: every output bit depends on every input bit."""
     x = x.astype(_U64, copy=True)
@@ -57,14 +40,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``buf[start:end]`` for every span, in time linear in ``len(buf)``."""
-    up, down = _power_table(_BASE, len(buf) + 1)
-    prefix = np.zeros(len(buf) + 1, dtype=_U64)
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of ``buf[start:end]`` for every span; another ``lane`` gives an independent hash.
+
+    A span is the sum of its 8-byte chunks, each mixed with its place: no power of a base is
+    involved, so that texts made of few letters in regular patterns do not meet.
+    """
+    size = ends - starts
+    span, place = _places((size + 7) >> 3)
+    at = starts[span] + 8 * place
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, 0, (1,))
+    chunk = eight[at] & _LOW[np.minimum(size[span] - 8 * place, 8)]
+    return _summed(chunk, span, place, size, lane)
+
+
+def sequence_hashes(values: np.ndarray, first: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hashes of ``values[first:end]`` as sequences, in the manner of :func:`span_hashes`."""
+    span, place = _places(end - first)
+    return _summed(values[first[span] + place], span, place, end - first, lane)
+
+
+def _places(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the span and place in it for every part, ``count`` parts a span."""
+    if len(count) and count.min() == count.max() == 1:
+        return np.arange(len(count)), np.zeros(len(count), dtype=np.int64)
+    span = np.repeat(np.arange(len(count)), count)
+    return span, np.arange(len(span)) - (np.cumsum(count) - count)[span]
+
+
+def _summed(part: np.ndarray, span: np.ndarray, place: np.ndarray, size: np.ndarray, lane: int) -> np.ndarray:
+    total = np.zeros(len(size), dtype=_U64)
     with np.errstate(over="ignore"):
-        np.cumsum((buf.astype(_U64) + _U64(1)) * up[: len(buf)], out=prefix[1:])
-        value = (prefix[ends] - prefix[starts]) * down[starts]
-        return mix64(value + (ends - starts).astype(_U64) * _U64(_SHINGLE_BASE))
+        mixed = mix64(part + (place + 1).astype(_U64) * _U64(_BASE) + _U64(lane) * _U64(_SHINGLE_BASE))
+        filled = np.flatnonzero(np.concatenate(([True], span[1:] != span[:-1]))) if len(span) else span
+        total[span[filled]] = np.add.reduceat(mixed, filled) if len(span) else 0
+        return mix64(total + size.astype(_U64) * _U64(_SHINGLE_BASE) + _U64(lane))
 
 
 def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -1,11 +1,12 @@
 """Fuzzy line dedup by MinHash.
 
 A line's set holds the hashes of its k-character shingles (ASCII lower case, blanks at the ends
-dropped; a line shorter than k is one shingle).  Equal lines form a class.  One permutation hash
-per shingle, split over BINS bins, gives a signature; bins without a shingle take the next one
-that has any.  BANDS bands of BINS / BANDS values are the keys of candidate lists, which are
-verified by exact Jaccard and joined by components (:mod:`.setjoin`).  One line of a component,
-the first by (key, line number), stays.
+dropped; a line shorter than k is one shingle).  Equal lines, by a 128-bit digest, form a class.
+One permutation hash per shingle, split over bins, gives a signature; a bin without a shingle
+takes the value of another one, drawn anew for every bin, so that the bins of a short line stay as
+independent as those of a long one.  BANDS bands of ROWS bins are the keys of candidate lists,
+which are verified by exact Jaccard and joined by components (:mod:`.setjoin`).  One line of a
+component, the first by (key, line number), stays.
 """
 
 from __future__ import annotations
@@ -20,20 +21,41 @@ from pyspark.sql import functions as F
 from beaconlake.llm import kernels
 from beaconlake.llm.components import connected_components
 from beaconlake.llm.scratch import Scratch, unused
-from beaconlake.llm.setjoin import JaccardLinks, bitmap, small_enough
+from beaconlake.llm.setjoin import JaccardComponents, small_enough
 
 WIDTH = 5
-BINS = 64
-BANDS = 16
+ROWS = 6
+BANDS = 20
+BINS = ROWS * BANDS
 #: Lines that are signed at once.
 CHUNK = 1 << 12
-_BIN_BITS = BINS.bit_length() - 1
-_LINE_BITS = 22
-_HASH_BITS = 64 - _BIN_BITS - _LINE_BITS
+#: Bin from which an empty bin takes its value at each try.
+_PROBES = np.random.default_rng(20240301).integers(0, BINS, (64, BINS))
+
+
+def _shingles(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the span, hash) of every shingle of spans of lower-case text."""
+    lead = np.flatnonzero((buf & 0xC0) != 0x80)
+    first, stop = np.searchsorted(lead, start), np.searchsorted(lead, end)
+    count = np.maximum(1, stop - first - WIDTH + 1)
+    line = np.repeat(np.arange(len(start)), count)
+    at = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    last = at + WIDTH
+    to = np.where(last < np.repeat(stop, count), np.append(lead, len(buf))[np.minimum(last, len(lead))], np.repeat(end, count))
+    return line, kernels.span_hashes(buf, lead[at], to)
+
+
+def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of lines in their normal form."""
+    sizes = np.array([len(x) for x in lines], dtype=np.int64)
+    end = np.cumsum(sizes)
+    line, shingle = _shingles(np.frombuffer(b"".join(lines), np.uint8), end - sizes, end)
+    border = np.searchsorted(line, np.arange(len(lines) + 1))
+    return [np.unique(shingle[a:b]) for a, b in zip(border[:-1], border[1:])]
 
 
 class _Lines:
-    """The lines with a word in one slice of texts: document, number, trimmed span and class of each."""
+    """The lines with a word in one slice of texts: document, number and trimmed span of each."""
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray):
         self.buf = kernels.LOWER_ASCII[buf]
@@ -47,19 +69,9 @@ class _Lines:
         self.start, self.end = starts[first], ends[end - 1]
         feeds = np.concatenate(([0], np.cumsum(feed)))
         self.number = feeds[self.start] - feeds[offsets[self.doc]]
-        self.cls = kernels.span_hashes(self.buf, self.start, self.end)
 
-    def shingles(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(line index into ``chosen``, shingle hash) of every shingle of the chosen lines."""
-        lead = np.flatnonzero((self.buf & 0xC0) != 0x80)
-        first, end = np.searchsorted(lead, self.start[chosen]), np.searchsorted(lead, self.end[chosen])
-        count = np.maximum(1, end - first - WIDTH + 1)
-        total = int(count.sum())
-        line = np.repeat(np.arange(len(chosen)), count)
-        at = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-        last = at + WIDTH
-        stop = np.where(last < np.repeat(end, count), np.append(lead, len(self.buf))[np.minimum(last, len(lead))], np.repeat(self.end[chosen], count))
-        return line, kernels.span_hashes(self.buf, lead[at], stop)
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(kernels.span_hashes(self.buf, self.start, self.end, lane).view(np.int64) for lane in (0, 1))
 
 
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, _Lines]]:
@@ -68,7 +80,7 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, _Lines]]:
 
 
 def line_table(docs: DataFrame, *, key: str, text: str) -> DataFrame:
-    """A row per line with a word: key, digest (of the whole text), line_no, cls."""
+    """A row per line with a word: key, digest (of the whole text), line_no, h1 and h2 (of the line)."""
     few = docs.select(F.col(key), F.xxhash64(text).alias("digest"), F.col(text))
     kind = few.schema[0].dataType.simpleString()
 
@@ -76,89 +88,70 @@ def line_table(docs: DataFrame, *, key: str, text: str) -> DataFrame:
         for batch in batches:
             for row, lines in _slices(batch, text):
                 at = pa.array(lines.doc + row)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number.astype(np.int32)), pa.array(lines.cls.view(np.int64))], names=["key", "digest", "line_no", "cls"]
-                )
-
-    return few.mapInArrow(run, f"key {kind}, digest bigint, line_no int, cls bigint")
-
-
-def signatures(line: np.ndarray, shingle: np.ndarray, n_lines: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signature (n_lines x BINS) and number of distinct shingles of each line."""
-    low = np.uint64((1 << _HASH_BITS) - 1)
-    bins = shingle >> np.uint64(64 - _BIN_BITS)
-    keyed = np.sort((line.astype(np.uint64) << np.uint64(64 - _LINE_BITS)) | (bins << np.uint64(_HASH_BITS)) | (shingle & low))
-    keyed = keyed[np.concatenate(([True], keyed[1:] != keyed[:-1]))]
-    of = (keyed >> np.uint64(64 - _LINE_BITS)).astype(np.int64)
-    sizes = np.bincount(of, minlength=n_lines)
-    cell = (keyed >> np.uint64(_HASH_BITS)).astype(np.int64)  # line * BINS + bin
+                made = [pa.array(lines.number.astype(np.int32)), *map(pa.array, lines.digests())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *made], names=["key", "digest", "line_no", "h1", "h2"])
+
+    return few.mapInArrow(run, f"key {kind}, digest bigint, line_no int, h1 bigint, h2 bigint")
+
+
+def signatures(line: np.ndarray, shingle: np.ndarray, n_lines: int) -> np.ndarray:
+    """Signature (n_lines x BINS) of each line: the least hash in every bin."""
+    low = np.uint64((1 << 32) - 1)
+    bins = ((shingle >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
+    cell = line.astype(np.uint64) * np.uint64(BINS) + bins
+    keyed = np.sort((cell << np.uint64(32)) | (shingle & low))
+    cell = (keyed >> np.uint64(32)).astype(np.int64)
     least = np.concatenate(([True], cell[1:] != cell[:-1]))
-    sig = np.zeros(n_lines * BINS, dtype=np.uint64)
-    full = np.zeros(n_lines * BINS, dtype=bool)
+    sig, full = np.zeros(n_lines * BINS, dtype=np.uint64), np.zeros(n_lines * BINS, dtype=bool)
     sig[cell[least]], full[cell[least]] = keyed[least] & low, True
     sig, full = sig.reshape(n_lines, BINS), full.reshape(n_lines, BINS)
-    # An empty bin takes the value of the next full one on the ring.
-    ring = np.concatenate((full, full), axis=1)
-    where = np.where(ring, np.arange(2 * BINS), 4 * BINS)
-    following = np.minimum.accumulate(where[:, ::-1], axis=1)[:, ::-1][:, :BINS] % BINS
-    return np.take_along_axis(sig, following, axis=1), sizes
+    row, column = np.nonzero(~full)
+    for probe in _PROBES:
+        if not len(row):
+            break
+        other = probe[column]
+        hit = full[row, other]
+        sig[row[hit], column[hit]] = sig[row[hit], other[hit]]
+        row, column = row[~hit], column[~hit]
+    if len(row):  # a line of few shingles: the next full bin on the ring
+        ring = np.where(np.concatenate((full, full), axis=1), np.arange(2 * BINS), 4 * BINS)
+        following = np.minimum.accumulate(ring[:, ::-1], axis=1)[:, ::-1][row, column] % BINS
+        sig[row, column] = sig[row, following]
+    return sig
 
 
 def _band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = BINS // BANDS
     key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(sig), 1))
     with np.errstate(over="ignore"):
-        for k in range(rows):
-            key = kernels.mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, k::rows])
+        for k in range(ROWS):
+            key = kernels.mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, k::ROWS])
     return key
 
 
 def _band_postings(docs: DataFrame, text: str) -> DataFrame:
-    """Rows (token, cls, n): the band keys of every class, once per task that meets it."""
+    """Rows (token, h1): the band keys of every line, once per slice of texts that holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             for _, lines in _slices(batch, text):
-                classes, at = np.unique(lines.cls, return_index=True)
-                fresh = np.array([c not in seen for c in classes.tolist()], dtype=bool)
-                seen.update(classes[fresh].tolist())
-                chosen = at[fresh]
-                for k in range(0, len(chosen), CHUNK):
-                    part = chosen[k : k + CHUNK]
-                    sig, sizes = signatures(*lines.shingles(part), len(part))
-                    keys = _band_keys(sig)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(lines.cls[part].view(np.int64), BANDS)), pa.array(np.repeat(sizes.astype(np.int32), BANDS))],
-                        names=["token", "cls", "n"],
-                    )
+                h1, at = np.unique(lines.digests()[0], return_index=True)
+                for k in range(0, len(at), CHUNK):
+                    part = at[k : k + CHUNK]
+                    keys = _band_keys(signatures(*_shingles(lines.buf, lines.start[part], lines.end[part]), len(part)))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(h1[k : k + CHUNK], BANDS))], names=["token", "h1"])
 
-    return docs.select(text).mapInArrow(run, "token bigint, cls bigint, n int")
+    return docs.select(text).mapInArrow(run, "token bigint, h1 bigint")
 
 
-def _line_sets(want: str):
-    """Sets of the wanted classes of each document (columns _wanted, _text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = batch.column(0).to_pylist()
-            for row, lines in _slices(batch, "_text"):
-                chosen = []
-                border = np.searchsorted(lines.doc, np.arange(int(lines.doc[-1]) + 2 if len(lines.doc) else 1))
-                for d in range(len(border) - 1):
-                    own = lines.cls[border[d] : border[d + 1]].view(np.int64)
-                    found, at = np.unique(own, return_index=True)
-                    chosen.extend((border[d] + at[np.isin(found, np.array(wanted[row + d], np.int64))]).tolist())
-                chosen = np.array(chosen, dtype=np.int64)
-                if not len(chosen):
-                    continue
-                line, shingle = lines.shingles(chosen)
-                border = np.searchsorted(line, np.arange(len(chosen) + 1))
-                sets = [np.unique(shingle[a:b]) for a, b in zip(border[:-1], border[1:])]
-                data = [bitmap(s) if want == "bits" else s.tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(lines.cls[chosen].view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array(data, pa.binary())], names=["cls", "n", "data"])
-
-    return run
+def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Normal forms of the wanted lines of each document (columns _wanted, an array of (line_no, cls), and _text)."""
+    for batch in batches:
+        wanted = batch.column(0).to_pylist()
+        for row, lines in _slices(batch, "_text"):
+            place = {(d, n): i for i, (d, n) in enumerate(zip((lines.doc + row).tolist(), lines.number.tolist()))}
+            found = [(w["cls"], place[d, w["line_no"]]) for d in dict.fromkeys((lines.doc + row).tolist()) for w in wanted[d]]
+            data = [lines.buf[lines.start[i] : lines.end[i]].tobytes() for _, i in found]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array(data, pa.binary())], names=["cls", "data"])
 
 
 def similar_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", num: int = 3, den: int = 4, label: str = "line-dedup") -> DataFrame:
@@ -171,28 +164,41 @@ def similar_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n
     """
     scratch = Scratch(docs.sparkSession, label)
     lines = scratch.table(line_table(docs, key=key, text=text), "lines")
-    place = F.struct("key", "line_no", "digest")
-    first = scratch.table(lines.groupBy("cls").agg(F.min(place).alias("place")), "first")
+    first = lines.groupBy("h1", "h2").agg(F.min(F.struct("key", "line_no", "digest")).alias("place"))
+    first = scratch.table(first.withColumn("cls", F.monotonically_increasing_id()), "first")  # numbered once, when written
 
-    per_token = Window.partitionBy("token").orderBy("cls")
+    per_token = Window.partitionBy("token").orderBy("h1")
     rows = _band_postings(docs, text)
-    near = rows.withColumn("_before", F.lag("cls").over(per_token)).withColumn("_after", F.lead("cls").over(per_token))
-    shared = near.filter("(_before IS NOT NULL OR _after IS NOT NULL) AND (_before IS NULL OR _before != cls)")
-    postings = scratch.table(shared.select("token", "cls", "n", F.lit(0).alias("pos"), F.col("cls").alias("gid"), F.lit(0.0).alias("rank")), "postings")
-
-    def load(ids: DataFrame, want: str) -> DataFrame:
+    near = rows.withColumn("_before", F.lag("h1").over(per_token)).withColumn("_after", F.lead("h1").over(per_token))
+    shared = near.filter("(_before IS NOT NULL OR _after IS NOT NULL) AND (_before IS NULL OR _before != h1)").select("token", F.col("h1").alias("_h1"))
+    # Lines that share 64 bits are candidates of each other's lists; what is compared are whole lines.
+    met = scratch.table(shared, "shared").join(first.select("h1", "cls"), F.col("h1") == F.col("_h1"))
+    met = scratch.table(met.select("token", "cls"), "met")
+    rank = met.groupBy(F.col("cls").alias("_c")).agg(F.count("*").cast("double").alias("rank"))
+    postings = met.join(rank, F.col("cls") == F.col("_c")).select("token", "cls", F.lit(1).alias("n"), F.lit(0).alias("pos"), F.col("cls").alias("gid"), "rank")
+    postings = scratch.table(postings, "postings")
+    scratch.drop("shared")
+    scratch.drop("met")
+
+    def load(ids: DataFrame) -> DataFrame:
         wanted = first.join(ids.select(F.col("cls").alias("_w")), F.col("cls") == F.col("_w"), "left_semi")
-        wanted = scratch.table(wanted.groupBy(F.col("place.key").alias("_k"), F.col("place.digest").alias("_g")).agg(F.collect_list("cls").alias("_wanted")), "wanted")
+        wanted = wanted.groupBy(F.col("place.key").alias("_k"), F.col("place.digest").alias("_g")).agg(F.collect_list(F.struct("place.line_no", "cls")).alias("_wanted"))
+        wanted = scratch.table(wanted, "wanted")
         texts = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_digest"), F.col(text).alias("_text"))
-        found = texts.join(small_enough(wanted), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_g")))
-        return found.select("_wanted", "_text").mapInArrow(_line_sets(want), "cls bigint, n int, data binary")
-
-    links = JaccardLinks(load, scratch, num, den).links(postings)
-    parts = connected_components(links, scratch, "components")
-    named = first.join(parts, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("_part"), "place")
-    smallest = scratch.table(named.groupBy(F.col("_part").alias("_p")).agg(F.min("place").alias("_first")), "smallest")
-    found = scratch.table(named.join(smallest, F.col("_part") == F.col("_p")).select(F.col("cls").alias("_c"), "_first"), "found")
-    out = lines.join(found, F.col("cls") == F.col("_c"))
+        found = texts.join(small_enough(wanted, 100_000), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_g")))
+        return found.select("_wanted", "_text").mapInArrow(_wanted_lines, "cls bigint, data binary")
+
+    parts = JaccardComponents(load, shingle_sets, scratch, num, den).of(postings)
+    placed = first.join(parts, F.col("cls") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "cls").alias("_part"), "place")
+    placed = scratch.table(placed, "placed")
+    for name in ("postings", "wanted"):
+        scratch.drop(name)
+    least = placed.groupBy(F.col("_part").alias("_p")).agg(F.min("place").alias("_first"))
+    found = placed.join(least, F.col("_part") == F.col("_p")).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "_first")
+    found = scratch.table(found, "found")
+    for name in ("first", "placed"):
+        scratch.drop(name)
+    out = lines.join(found, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
     kept = F.col("key").eqNullSafe(F.col("_first.key")) & (F.col("line_no") == F.col("_first.line_no")) & (F.col("digest") == F.col("_first.digest"))
     return out.select(F.col("key").alias(key), "digest", "line_no", F.col("_first.key").alias(f"first_{key}"), F.col("_first.line_no").alias("first_line_no"), kept.alias("kept"))
 

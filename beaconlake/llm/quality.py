@@ -74,19 +74,10 @@ def measure(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     feeds = np.concatenate(([0], np.cumsum(feed)))
     out["line_doc"], out["line_words"] = line_doc, end_word - first_word
     out["line_no"] = feeds[line_from] - feeds[offsets[line_doc]]
-    out["line_hash"] = sequence_hashes(kernels.span_hashes(_NORMAL[buf], starts, ends), first_word, end_word)
+    out["line_hash"] = kernels.sequence_hashes(kernels.span_hashes(_NORMAL[buf], starts, ends), first_word, end_word)
     return out
 
 
-def sequence_hashes(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of ``values[first:end]`` as sequences."""
-    up, down = kernels._power_table(0xD6E8FEB86659FD93, len(values) + 1)
-    prefix = np.zeros(len(values) + 1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(values * up[: len(values)], out=prefix[1:])
-        return kernels.mix64((prefix[end] - prefix[first]) * down[first] + (end - first).astype(np.uint64))
-
-
 def measured(docs: DataFrame, *, key: str, host: str, text: str) -> DataFrame:
     """Per row of ``docs``: key, host, digest of the text, the counts and lines array<(no, words, hash)>."""
     few = docs.select(F.col(key), F.col(host), F.xxhash64(F.coalesce(text, F.lit(""))).alias("digest"), F.col(text))

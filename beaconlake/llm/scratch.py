@@ -2,7 +2,8 @@
 
 Jobs cut their lineage here: a table written to the shared folder survives the loss of any
 executor, and later steps read it instead of recomputing.  The folder is the one named by
-``spark.checkpoint.dir``; only a session that names none (a test) gets a temporary one.
+``spark.checkpoint.dir``; a session that names none gets a temporary one if it runs in one process
+(a test), and an error on a cluster, whose executors would not see that folder.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The shared folder of the session, without a trailing slash."""
     named = spark.conf.get(_KEY, None)
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError(f"{_KEY} must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="beaconlake-")
         spark.conf.set(_KEY, named)
     return named.rstrip("/")

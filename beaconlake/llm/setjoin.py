@@ -1,20 +1,19 @@
-"""Exact Jaccard links from candidate lists, without all pairs of a long list.
+"""Components of sets under exact Jaccard links from candidate lists, without all pairs of a long list.
 
 A posting says that a set holds a key (a rare token, a band of its signature).  Sets that share
 a key are candidates:
 
-* In a short list, groups of sets are paired, filtered by size and place, expanded to members,
-  bounded by bitmaps and verified.
-* In a long list every set is compared with one pivot.  What that leaves open is settled by the
-  rest of the sets: two sets x, y of a pivot P that are to overlap in more than
-  ``min(|x & P|, |y & P|)`` tokens must share the rest outside P.  Only tokens outside P in which
-  sets of different components meet can count for that; a set that holds fewer of them than it
-  needs is done, and of the others the rarest, as many as a partner must meet one of, are the keys
-  of the next level, which repeats the two steps (after PIVOT_LEVELS levels whatever is left is
-  paired out).  The few pairs that may overlap enough inside P alone are compared directly.
-
-So links inside a large group of near copies cost one comparison per member, and no pair that
-could join two components is lost.
+* In a list of at most SHORT_LIST sets, groups of sets are paired, filtered by size and place,
+  expanded to members and verified.
+* In a longer list every set is verified against one pivot.  Lists that share sets take the best
+  pivot among them, so that a large group of near copies has one, and a set is compared with it
+  once.  Most of a group so falls into one component, the home of its pivot.  What the pivot leaves
+  open are the sets of a group in other components, the rest: they are compared with each other and
+  with the home in blocks, inside a task, where a block of sets meets a block as one product of
+  their shared tokens.  A block reports a spanning forest of its links, never pairs.
+
+No pair of candidates that could join two components is lost, and rows grow with the postings; only
+the rest of a group, not its home, multiplies blocks.
 """
 
 from __future__ import annotations
@@ -26,14 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beaconlake.llm.components import connected_components
+from beaconlake.llm.components import connected_components, forest
 from beaconlake.llm.scratch import Scratch
 
-SHORT_LIST = 32
-PIVOT_LEVELS = 3
-#: From the second level on, lists that make at most so many pairs for each row are paired out at
-#: once; what is known of the overlaps with the pivot rules most of them out inside the join.
-PAIRS_PER_ROW = 64
+SHORT_LIST = 16
+BLOCK = 256
+#: Columns of a product inside a block.
+COLUMNS = 8192
 BROADCAST_ROWS = 500_000
 
 
@@ -61,16 +59,22 @@ def overlap_bound(left: bytes, right: bytes, n_left: int, n_right: int) -> int:
     return min(n_left - only_a, n_right - only_b)
 
 
-class JaccardLinks:
-    """Links of sets with intersection * den >= num * union.
+def packed_tokens(data: list[bytes]) -> list[np.ndarray]:
+    """Sets stored as packed unsigned 64-bit tokens."""
+    return [np.frombuffer(d, np.uint64) for d in data]
 
-    ``load(ids, want)`` returns the sets of the classes in ``ids`` (one bigint column cls) as a
-    DataFrame (cls, n, data): packed unsigned 64-bit tokens in ascending order for want='tokens',
-    :func:`bitmap` of them for want='bits'.
+
+class JaccardComponents:
+    """Components of sets that link when intersection * den >= num * union.
+
+    ``load(ids)`` returns the sets in ``ids`` (one bigint column cls) as a DataFrame (cls bigint,
+    data binary); ``tokens`` makes sorted distinct tokens of a list of such data.  ``sketches``, if
+    given, is a DataFrame (cls, n, bits) with a :func:`bitmap` of every set, which rules out most
+    candidates before sets are loaded.
     """
 
-    def __init__(self, load: Callable[[DataFrame, str], DataFrame], scratch: Scratch, num: int = 3, den: int = 4):
-        self.load, self.scratch, self.num, self.den = load, scratch, num, den
+    def __init__(self, load: Callable[[DataFrame], DataFrame], tokens: Callable[[list[bytes]], list[np.ndarray]], scratch: Scratch, num: int = 3, den: int = 4, sketches: DataFrame | None = None):
+        self.load, self.tokens, self.scratch, self.num, self.den, self.sketches = load, tokens, scratch, num, den, sketches
 
     def enough(self, overlap: Column, n_a: Column, n_b: Column) -> Column:
         return overlap * (self.num + self.den) >= (n_a + n_b) * self.num
@@ -78,181 +82,178 @@ class JaccardLinks:
     def sizes_fit(self, n_a: Column, n_b: Column) -> Column:
         return F.least(n_a, n_b) * self.den >= F.greatest(n_a, n_b) * self.num
 
-    def links(self, postings: DataFrame) -> DataFrame:
-        """Edges (a, b) whose components are those of all links among the candidates.
+    def of(self, postings: DataFrame) -> DataFrame:
+        """(node, component) of every set that links with another: component is the smallest cls reachable.
 
         ``postings``: token bigint, cls bigint, n int (size of the set), pos int (place of the token
         in the set's order), gid bigint (group of sets with equal n and keys), rank double (the
         highest makes the best pivot).  One row per token and cls.
         """
-        t = self.scratch.table
-        found: list[DataFrame] = []
-        postings = postings.withColumn("label", F.col("cls")).withColumn("inside", F.lit(0))
-        level = 0
-        while True:
-            name = f"level{level}"
-            lists = postings.groupBy("token").agg(F.count("*").alias("cnt"), F.max(F.struct("rank", "cls")).alias("top"))
-            lists = t(lists.filter("cnt > 1").select(F.col("token").alias("_t"), "cnt", F.col("top.cls").alias("pivot")), f"{name}-lists")
-            short = f"cnt <= {SHORT_LIST}"
-            if level:
-                size = lists.agg(F.sum(F.expr("cnt * (cnt - 1) / 2")).alias("pairs"), F.sum("cnt").alias("rows")).first()
-                if not size.rows:
-                    break
-                if level >= PIVOT_LEVELS or size.pairs <= PAIRS_PER_ROW * size.rows:
-                    short = "true"
-            listed = t(postings.join(lists, F.col("token") == F.col("_t")).drop("_t"), f"{name}-listed")
-            pairs = t(self._short_pairs(listed.filter(short), level), f"{name}-pairs")
-            found.append(self._linked(pairs, f"{name}-short", bits=level == 0))
-            if short == "true":
-                break
-            long = listed.filter(f"NOT ({short})").filter(F.col("cls") != F.col("pivot"))
-            star = t(long.groupBy(F.col("pivot").alias("a"), F.col("cls").alias("b")).agg(F.max("rank").alias("rank")), f"{name}-stars")
-            if star.isEmpty():
-                break
-            compared = t(self._verified(star, ["rank"], f"{name}-long", rest=True), f"{name}-compared")
-            found.append(compared.filter(self.enough(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
-            labels = connected_components(_union(found), self.scratch, f"{name}-cc")
-            members = t(self._open_members(compared, labels), f"{name}-members")
-            direct = t(self._inside_pivot(members), f"{name}-direct")
-            if not direct.isEmpty():
-                found.append(self._linked(direct, f"{name}-inside", bits=False))
-            postings = t(self._residual_postings(members), f"{name}-rest")
-            level += 1
-        return _union(found)
-
-    def _linked(self, pairs: DataFrame, name: str, *, bits: bool) -> DataFrame:
-        """The pairs (a, b) that link; with ``bits`` those that bitmaps rule out are not compared further."""
-        if bits:
-            num, den = self.num, self.den
-            keep = lambda x, y, n, m: overlap_bound(x, y, n, m) * (num + den) >= num * (n + m)
-            sketches = self.scratch.table(self.load(_ends(pairs), "bits"), f"{name}-bits")
-            pairs = self.scratch.table(_beside(pairs, [], sketches).mapInArrow(_chosen(keep), "a bigint, b bigint"), f"{name}-near")
-        checked = self._verified(pairs, [], name, rest=False)
-        return self.scratch.table(checked.filter(self.enough(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b"), f"{name}-links")
-
-    def _short_pairs(self, short: DataFrame, level: int) -> DataFrame:
-        """Candidate pairs (a < b): pairs of groups, filtered, then their members; from level 1 on every
-        set is its own group and only different components are paired."""
-        groups = short.groupBy("token", "gid", "n", "inside", *(["label"] if level else [])).agg(F.min("pos").alias("pos"))
+        t, drop = self.scratch.table, self.scratch.drop
+        lists = postings.groupBy("token").agg(F.count("*").alias("cnt"), F.max(F.struct("rank", "cls")).alias("top"))
+        lists = lists.filter("cnt > 1").select(F.col("token").alias("_t"), "cnt", "top")
+        listed = t(postings.join(lists, F.col("token") == F.col("_t")).drop("_t", "rank"), "listed")
+        stars = t(self._stars(listed.filter(F.col("cnt") > SHORT_LIST)), "stars")
+        pairs = self._short_pairs(listed.filter(F.col("cnt") <= SHORT_LIST))
+        fit = self.sizes_fit(F.col("n_pivot"), F.col("n"))
+        pairs = pairs.unionByName(stars.filter(fit & (F.col("pivot") != F.col("cls"))).select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")))
+        pairs = t(pairs.distinct(), "pairs")
+        drop("listed")
+        links = t(self._linked(pairs), "links")
+        labels = t(connected_components(links, self.scratch, "stars-cc"), "labels")
+        for name in ("pairs", "near", "sets", "links"):
+            drop(name)
+        placed = t(self._blocks(stars, labels), "blocks")
+        if placed.isEmpty():
+            return labels
+        sets = t(self.load(placed.select("cls").distinct()), "block-sets")
+        rows = placed.join(sets.withColumnRenamed("cls", "_c"), F.col("cls") == F.col("_c")).drop("_c")
+        rows = rows.repartition("pivot", "i", "j", "home").sortWithinPartitions("pivot", "i", "j", "home")
+        tokens, num, den = self.tokens, self.num, self.den
+        found = t(rows.mapInArrow(lambda batches: _block_links(batches, tokens, num, den), "a bigint, b bigint"), "block-links")
+        for name in ("stars", "blocks", "block-sets"):
+            drop(name)
+        if found.isEmpty():
+            return labels
+        joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+        return connected_components(joined, self.scratch, "blocks-cc")
+
+    def _stars(self, long: DataFrame) -> DataFrame:
+        """(pivot, cls, n_pivot, n): every set of a long list beside the list's pivot; a pivot is beside itself.
+
+        A list's pivot is the best among the pivots of all lists that its sets are in.
+        """
+        best = long.groupBy(F.col("cls").alias("_c")).agg(F.max("top").alias("best"))
+        long = long.select("token", "cls", "n").join(best, F.col("cls") == F.col("_c"))
+        led = long.groupBy(F.col("token").alias("_t")).agg(F.max("best").alias("led"))
+        rows = long.join(led, F.col("token") == F.col("_t")).select(F.col("led.cls").alias("pivot"), "cls", "n").distinct()
+        sizes = long.select(F.col("cls").alias("_s"), F.col("n").alias("n_pivot")).distinct()
+        pivots = rows.select("pivot").distinct().join(sizes, F.col("pivot") == F.col("_s")).select(F.col("pivot").alias("_p"), "n_pivot")
+        pivots = self.scratch.table(pivots, "pivots")
+        own = pivots.select(F.col("_p").alias("pivot"), F.col("_p").alias("cls"), "n_pivot", F.col("n_pivot").alias("n"))
+        beside = rows.filter("pivot != cls").join(small_enough(pivots), F.col("pivot") == F.col("_p"))
+        return beside.select("pivot", "cls", "n_pivot", "n").unionByName(own)
+
+    def _short_pairs(self, short: DataFrame) -> DataFrame:
+        """Candidate pairs (a < b): pairs of groups, filtered, then their members."""
+        groups = short.groupBy("token", "gid", "n").agg(F.min("pos").alias("pos"))
         x, y = groups.alias("x"), groups.alias("y")
         behind = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
         fits = (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") <= F.col("y.gid")) & self.sizes_fit(F.col("x.n"), F.col("y.n")) & self.enough(behind, F.col("x.n"), F.col("y.n"))
-        if level:
-            both = F.least("x.inside", "y.inside") + F.least(F.col("x.n") - F.col("x.inside"), F.col("y.n") - F.col("y.inside"))
-            met = x.join(y, fits & (F.col("x.label") != F.col("y.label")) & self.enough(both, F.col("x.n"), F.col("y.n")))
-            return met.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
         met = x.join(y, fits).select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
         members = short.select("gid", "cls").distinct()
         a = members.select(F.col("gid").alias("ga"), F.col("cls").alias("ca"))
         b = members.select(F.col("gid").alias("gb"), F.col("cls").alias("cb"))
         both = met.join(a, "ga").join(b, "gb").filter(F.col("ca") != F.col("cb"))
-        return both.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
-
-    def _verified(self, pairs: DataFrame, keep: list[str], name: str, *, rest: bool) -> DataFrame:
-        """Pairs with the columns ``keep``, their sizes and exact overlap, and with ``rest`` the packed tokens of b outside a."""
-        sets = self.scratch.table(self.load(_ends(pairs), "tokens"), f"{name}-sets")
-        kinds = "".join(f"{c} {pairs.schema[c].dataType.simpleString()}, " for c in keep)
-        return _beside(pairs, keep, sets).mapInArrow(_overlaps(keep, rest), f"a bigint, b bigint, {kinds}n_a int, n_b int, overlap int, rest binary")
-
-    def _open_members(self, compared: DataFrame, labels: DataFrame) -> DataFrame:
-        """Members of pivots in whose lists different components meet: pivot, cls, n, inside, rest, rank, label, home
-        and most, the largest ``inside`` of those that are not of the pivot's own component (home)."""
-        own = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        home = labels.select(F.col("node").alias("_p"), F.col("component").alias("_h"))
-        rows = compared.join(own, F.col("b") == F.col("_n"), "left").join(home, F.col("a") == F.col("_p"), "left")
-        rows = rows.select(
-            F.col("a").alias("pivot"), F.col("b").alias("cls"), F.col("n_b").alias("n"), F.col("overlap").alias("inside"), "rest", "rank",
-            F.coalesce("_c", "b").alias("label"), F.coalesce("_h", "a").alias("home"),
-        )
-        rows = self.scratch.table(rows, "labelled")
-        mixed = rows.filter("label != home").groupBy(F.col("pivot").alias("_m")).agg(F.max("inside").alias("most"))
-        return rows.join(small_enough(self.scratch.table(mixed, "mixed")), F.col("pivot") == F.col("_m")).drop("_m")
-
-    def _inside_pivot(self, members: DataFrame) -> DataFrame:
-        """Pairs of different components that may overlap enough in the tokens of their pivot alone."""
-        least = members.groupBy(F.col("pivot").alias("_p")).agg(F.min("n").alias("least_n"))
-        far = members.filter("label != home").join(least, F.col("pivot") == F.col("_p")).filter(self.enough(F.col("inside"), F.col("n"), F.col("least_n")))
-        x, y = far.alias("x"), members.alias("y")
-        met = x.join(
-            y,
-            (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.label") != F.col("y.label")) & self.enough(F.least("x.inside", "y.inside"), F.col("x.n"), F.col("y.n")),
-        )
-        return met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-
-    def _residual_postings(self, members: DataFrame) -> DataFrame:
-        """Keys of the next level: the rarest tokens outside the pivot that sets of different components share.
-
-        A partner shares ``need`` such tokens at least; a set of the pivot's own component finds
-        partners only among the others, which have ``most`` tokens of the pivot at most.
-        """
-        within = F.when(F.col("label") == F.col("home"), F.least("inside", "most")).otherwise(F.col("inside"))
-        need = F.greatest(F.lit(1), F.ceil(F.col("n") * self.num / self.den).cast("int") - within)
-        members = members.withColumn("need", need).withColumn("member", F.xxhash64("pivot", "cls"))
-        rows = members.select("pivot", "member", "label", "rest").mapInArrow(_residuals, "pivot bigint, member bigint, label bigint, token bigint")
-        rows = rows.select(F.xxhash64("pivot", "token").alias("token"), "member", "label")
-        meets = rows.groupBy(F.col("token").alias("_t")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held")).filter("lo != hi")
-        kept = rows.drop("label").join(meets.drop("lo", "hi"), F.col("token") == F.col("_t"))
-        own = kept.groupBy(F.col("member").alias("_m")).agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("own"))
-        own = members.drop("rest").join(own, F.col("member") == F.col("_m")).filter(F.size("own") >= F.col("need"))
-        keys = F.explode(F.slice("own", F.lit(1), F.size("own") - F.col("need") + 1).getField("token"))
-        return own.select(keys.alias("token"), "cls", "n", F.lit(0).alias("pos"), F.col("cls").alias("gid"), "rank", "label", "inside")
+        return both.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
 
+    def _linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link: bitmaps first, then the sets of those that are left."""
+        num, den, tokens = self.num, self.den, self.tokens
+        near = pairs
+        if self.sketches is not None:
+            keep = lambda x, y, n, m: overlap_bound(x, y, n, m) * (num + den) >= num * (n + m)
+            near = self.scratch.table(_beside(pairs, self.sketches, ["n", "bits"]).mapInArrow(_chosen(keep), "a bigint, b bigint"), "near")
+        sets = self.scratch.table(self.load(near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()), "sets")
+        return _beside(near, sets, ["data"]).mapInArrow(lambda batches: _pair_links(batches, tokens, num, den), "a bigint, b bigint")
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    whole = parts[0]
-    for more in parts[1:]:
-        whole = whole.unionByName(more)
-    return whole
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-
+    def _blocks(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
+        """Rows (pivot, i, j, home, cls, label) of every set in every pair of blocks that it is compared in.
 
-def _beside(pairs: DataFrame, keep: list[str], sets: DataFrame) -> DataFrame:
-    """Pairs with the data of both ends.  The possibly hot end a is joined first, while rows are short."""
-    a = sets.select(F.col("cls").alias("_a"), F.col("n").alias("n_a"), F.col("data").alias("data_a"))
-    b = sets.select(F.col("cls").alias("_b"), F.col("n").alias("n_b"), F.col("data").alias("data_b"))
-    rows = pairs.select("a", "b", *keep).join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b"))
-    return rows.select("a", "b", *keep, "n_a", "n_b", "data_a", "data_b")
+        In the group of a pivot the sets of its largest component are the home, the others the rest.
+        Blocks of the rest meet each other (home false, i <= j) and the blocks of the home (true).
+        """
+        labelled = stars.join(labels, F.col("cls") == F.col("node"), "left").select("pivot", "cls", F.coalesce("component", "cls").alias("label"))
+        labelled = self.scratch.table(labelled, "labelled")
+        held = labelled.groupBy("pivot", "label").agg(F.count("*").alias("k"))
+        home = held.groupBy(F.col("pivot").alias("_p")).agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("all")).filter("all > top.k")
+        parts = lambda n: F.ceil(n / BLOCK).cast("int")
+        home = home.select("_p", F.col("top.label").alias("_h"), parts(F.col("all") - F.col("top.k")).alias("rests"), parts(F.col("top.k")).alias("homes"))
+        rows = labelled.join(small_enough(self.scratch.table(home, "homes")), F.col("pivot") == F.col("_p"))
+        inside = F.col("label") == F.col("_h")
+        own = F.pmod(F.xxhash64("cls"), F.when(inside, F.col("homes")).otherwise(F.col("rests"))).cast("int")
+        rows = rows.select("pivot", "cls", "label", inside.alias("inside"), own.alias("own"), "rests", "homes")
+        every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        place = lambda i, j, home: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(home).alias("home"))
+        mine = F.col("own")
+        with_home = F.transform(every("homes"), lambda k: place(mine, k, True))
+        with_rest = F.transform(every("rests"), lambda k: place(F.least(mine, k), F.greatest(mine, k), False))
+        under_rest = F.transform(every("rests"), lambda k: place(k, mine, True))
+        rows = rows.withColumn("at", F.explode(F.when(F.col("inside"), under_rest).otherwise(F.concat(with_home, with_rest))))
+        return rows.select("pivot", "at.i", "at.j", "at.home", "cls", "label")
+
+
+def _beside(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs with the columns of both ends.  The possibly hot end a is joined first, while rows are short."""
+    a = sets.select(F.col("cls").alias("_a"), *(F.col(c).alias(f"{c}_a") for c in columns))
+    b = sets.select(F.col("cls").alias("_b"), *(F.col(c).alias(f"{c}_b") for c in columns))
+    rows = pairs.select("a", "b").join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b"))
+    return rows.drop("_a", "_b")
 
 
 def _chosen(keep):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = batch.to_pydict()
-            mask = [keep(x, y, n, m) for x, y, n, m in zip(c["data_a"], c["data_b"], c["n_a"], c["n_b"])]
+            mask = [keep(x, y, n, m) for x, y, n, m in zip(c["bits_a"], c["bits_b"], c["n_a"], c["n_b"])]
             yield batch.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
 
     return run
 
 
-def _overlaps(keep: list[str], with_rest: bool):
-    names = ["a", "b", *keep, "n_a", "n_b"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = batch.to_pydict()
-            overlap, rest = [], []
-            for x, y in zip(c["data_a"], c["data_b"]):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.searchsorted(a, b)
-                same = a[np.minimum(at, len(a) - 1)] == b if len(a) else np.zeros(len(b), bool)
-                overlap.append(int(same.sum()))
-                rest.append(b[~same].tobytes() if with_rest else b"")
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in names), pa.array(overlap, pa.int32()), pa.array(rest, pa.binary())],
-                names=[*names, "overlap", "rest"],
-            )
-
-    return run
-
-
-def _residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each token of the last column, which holds packed tokens."""
+def _pair_links(batches: Iterator[pa.RecordBatch], tokens, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            left, right = tokens(part.column("data_a").to_pylist()), tokens(part.column("data_b").to_pylist())
+            mask = []
+            for a, b in zip(left, right):
+                at_ = np.searchsorted(a, b)
+                both = int((a[np.minimum(at_, len(a) - 1)] == b).sum()) if len(a) else 0
+                mask.append(both * (num + den) >= num * (len(a) + len(b)))
+            yield part.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], tokens, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """A forest of the links between different labels in each run of rows of one (pivot, i, j, home)."""
+    held: pa.Table | None = None
     for batch in batches:
-        rest = batch.column("rest").to_pylist()
-        at = pa.array(np.repeat(np.arange(len(rest)), [len(r) // 8 for r in rest]))
-        token = pa.array(np.frombuffer(b"".join(rest), np.int64))
-        names = batch.schema.names[:-1]
-        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in names), token], names=[*names, "token"])
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("pivot", "i", "j", "home")])
+        cuts = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
+        for a, b in zip([0, *cuts[:-1]], cuts):
+            yield from _forest_of(table.slice(a, b - a), tokens, num, den)
+        held = table.slice(cuts[-1] if cuts else 0)  # the last run may go on; it has at most two blocks
+    if held is not None:
+        yield from _forest_of(held, tokens, num, den)
+
+
+def _forest_of(run: pa.Table, tokens, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    if run.num_rows < 2:
+        return
+    cls, label = run.column("cls").to_numpy(), run.column("label").to_numpy()
+    sets = tokens(run.column("data").to_pylist())
+    n = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    fresh = np.concatenate(([True], flat[1:] != flat[:-1]))
+    column = np.cumsum(fresh) - 1
+    shared = np.bincount(column)[column] > 1
+    owner, fresh = owner[shared], fresh[shared]
+    column = np.cumsum(fresh) - 1
+    overlap = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    at = 0
+    while at < len(column):
+        to = int(np.searchsorted(column, column[at] + COLUMNS))
+        grid = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        grid[owner[at:to], column[at:to] - column[at]] = 1
+        overlap += grid @ grid.T
+        at = to
+    near = (overlap * (num + den) >= num * (n[:, None] + n[None, :])) & (label[:, None] < label[None, :])
+    child, root = forest(*np.nonzero(near), len(sets))
+    if len(child):
+        yield pa.RecordBatch.from_arrays([pa.array(cls[child]), pa.array(cls[root])], names=["a", "b"])

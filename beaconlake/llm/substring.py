@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconlake.llm import kernels
-from beaconlake.llm.quality import sequence_hashes
 from beaconlake.llm.scratch import Scratch, unused
 
 #: A sentence of fewer words goes only as part of a line or paragraph.
@@ -66,7 +65,7 @@ def units(docs: DataFrame, *, key: str, text: str, passes: Sequence[tuple[str, i
                     many = end - first >= least
                     spans.append(first[many] * (len(starts) + 1) + end[many])
                 first, end = np.divmod(np.unique(np.concatenate(spans)), len(starts) + 1)
-                digest = sequence_hashes(kernels.span_hashes(kernels.LOWER_ASCII[buf], starts, ends), first, end)
+                digest = kernels.sequence_hashes(kernels.span_hashes(kernels.LOWER_ASCII[buf], starts, ends), first, end)
                 chars = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
                 doc = docs_of[first]
                 base = chars[offsets[doc]]

@@ -22,7 +22,7 @@ def word_shingles(text: str | None, width: int = 5) -> frozenset:
     return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1)))
 
 
-def char_shingles(line: str, width: int = 10) -> frozenset:
+def char_shingles(line: str, width: int = 5) -> frozenset:
     s = lower(line).strip(BLANKS)
     return frozenset(s[i : i + width] for i in range(max(1, len(s) - width + 1)))
 
