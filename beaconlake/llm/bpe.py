@@ -56,6 +56,7 @@ class RankArrayBPE:
         self.merged = np.array([ids[a + b] for a, b in merges] + [-1], dtype=np.int64)
         self.rank_of = dict(zip(pair.tolist(), range(len(merges))))
         self.find_pieces = regex.compile(PIECES).findall
+        self.marks = {content[0] for content in self.special}
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.pieces: dict[str, bytes] = {}
         self.memo = ChunkMemo(self.encode_strings)
@@ -148,7 +149,7 @@ class RankArrayBPE:
         """Packed ids of strings, each on its own; special tokens in them become their ids."""
         cuts = []
         for text in texts:
-            if "<" in text and self.cut_special and any(s in text for s in self.special):
+            if any(m in text for m in self.marks) and any(s in text for s in self.special):
                 cuts.append([p for t in self.cut_special(text) for p in ([t] if t in self.special else self.find_pieces(t))])
             else:
                 cuts.append(self.find_pieces(text))

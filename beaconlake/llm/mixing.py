@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beaconlake.llm.scratch import unused
+from beaconlake.llm.scratch import Scratch
+from beaconlake.llm.setjoin import small_enough
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3.0
@@ -59,53 +60,73 @@ def plan_copies(
     max_epochs: float = MAX_EPOCHS,
     seed: int = 17,
     salts: int = 32,
+    label: str = "mixing",
 ) -> DataFrame:
     """One row per document: key, source, size, source_size, target, copies.
 
+    Repeated rows and equal keys are separate documents; ties rank by the key.  Null texts
+    have size 0, null sources form one source.  A source of size 0 gets no copies.  The offset of
+    a source is a hash of its name and ``seed``, so reruns agree.  An empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, label)
+    sized = scratch.table(docs.select(F.col(key).alias("_k"), F.col(source).alias("_s"), word_count(text).alias("_size")), "sizes")
+    placed = _placed(sized, sized, scratch, weights, max_epochs, seed, salts)
+    return placed.select(F.col("_k").alias(key), F.col("_s").alias(source), F.col("_size").alias("size"), "source_size", "target", "copies")
+
+
+def _placed(rows: DataFrame, sized: DataFrame, scratch: Scratch, weights: tuple[float, ...], max_epochs: float, seed: int, salts: int) -> DataFrame:
+    """``rows`` (with _k, _s and _size) and their source_size, target and copies, as ``sized``, the same rows, has it.
+
     Ranks within a source come from blocks (source, band of sizes, salt): a window inside each
     block and an offset per block, so no task holds a source and equal sizes spread over ``salts``
-    blocks.  Repeated rows and equal keys are separate documents; ties rank by the key.  Null texts
-    have size 0, null sources form one source.  A source of size 0 gets no copies.  The offset of
-    a source is a hash of its name and ``seed``, so reruns agree.
+    blocks.
     """
-    src = F.col(source)
-    few = docs.select(F.col(key), src, word_count(text).alias("size"))
-    band = F.floor(F.log2(F.col("size") + 1) * 64).cast("int")
-    rows = few.withColumn("_band", band).withColumn("_salt", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(salts)).cast("int"))
-    blocks = rows.groupBy(source, "_band", "_salt").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
-    bands = blocks.groupBy(source, "_band").agg(F.sum("_n").alias("_band_n"), F.sum("_words").alias("_band_words"))
-    upto = Window.partitionBy(source).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(source, "_band").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+
+    def blocked(df: DataFrame) -> DataFrame:
+        band = F.floor(F.log2(F.col("_size") + 1) * 64).cast("int")
+        return df.withColumn("_band", band).withColumn("_salt", F.pmod(F.xxhash64("_k", F.lit(seed)), F.lit(salts)).cast("int"))
+
+    src = F.col("_s")
+    blocks = blocked(sized).groupBy("_s", "_band", "_salt").agg(F.count("*").alias("_n"), F.sum("_size").alias("_words"))
+    blocks = scratch.table(blocks, "blocks")
+    bands = blocks.groupBy("_s", "_band").agg(F.sum("_n").alias("_band_n"), F.sum("_words").alias("_band_words"))
+    upto = Window.partitionBy("_s").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_s", "_band").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
-    starts = bands.withColumn("_start", F.coalesce(F.sum("_band_n").over(upto), zero)).select(src.alias("_s"), F.col("_band").alias("_b"), "_start")
-    sizes = bands.groupBy(source).agg(F.sum("_band_words").alias("source_size"), F.sum("_band_n").alias("n_docs"))
-    targets = source_targets(sizes, source=source, weights=weights, max_epochs=max_epochs).withColumnRenamed(source, "_s2")
+    starts = bands.withColumn("_start", F.coalesce(F.sum("_band_n").over(upto), zero)).select(src.alias("_s1"), F.col("_band").alias("_b"), "_start")
+    sizes = bands.groupBy("_s").agg(F.sum("_band_words").alias("source_size"), F.sum("_band_n").alias("n_docs"))
+    targets = source_targets(sizes, source="_s", weights=weights, max_epochs=max_epochs).withColumnRenamed("_s", "_s2")
     offsets = (
         blocks.withColumn("_within", F.coalesce(F.sum("_n").over(inside), zero))
-        .join(starts, src.eqNullSafe(F.col("_s")) & (F.col("_band") == F.col("_b")))
+        .join(starts, src.eqNullSafe(F.col("_s1")) & (F.col("_band") == F.col("_b")))
         .join(targets, src.eqNullSafe(F.col("_s2")))
         .select(src.alias("_src"), F.col("_band").alias("_bd"), F.col("_salt").alias("_st"), (F.col("_start") + F.col("_within")).alias("_offset"), "source_size", "target")
     )
-    order = Window.partitionBy(source, "_band", "_salt").orderBy("size", key)
-    ranked = rows.withColumn("_row", F.row_number().over(order))
-    placed = ranked.join(offsets, src.eqNullSafe(F.col("_src")) & (F.col("_band") == F.col("_bd")) & (F.col("_salt") == F.col("_st")))
+    offsets = scratch.table(offsets, "offsets")
+    order = Window.partitionBy("_s", "_band", "_salt").orderBy("_size", "_k")
+    ranked = blocked(rows).withColumn("_row", F.row_number().over(order))
+    placed = ranked.join(small_enough(offsets), src.eqNullSafe(F.col("_src")) & (F.col("_band") == F.col("_bd")) & (F.col("_salt") == F.col("_st")))
     # A dyadic offset keeps sums with whole expectations exact.
     start = F.pmod(F.xxhash64(F.coalesce(src, F.lit("\0null")), F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     place = F.col("_offset") + F.col("_row")
     copies = (F.floor(start + each * place) - F.floor(start + each * (place - 1))).cast("bigint")
-    return placed.select(F.col(key), src, "size", "source_size", "target", copies.alias("copies"))
+    return placed.withColumn("copies", copies)
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """The mixed documents: every row of ``docs`` as often as planned, all columns kept.
+def mix(
+    docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = 17, salts: int = 32, label: str = "mix"
+) -> DataFrame:
+    """The mixed documents: every row of ``docs`` as often as planned for that row, its columns in order.
 
-    The plan travels by ``key``; rows that share a key take the largest count planned for it.
+    The rows themselves are ranked, so that rows that repeat a key, or have none, each keep their
+    own number of copies.
     """
-    k, n, copy = unused(docs, "_key", "_copies", "_copy")
-    plan = plan_copies(docs, key=key, **options).groupBy(F.col(key).alias(k)).agg(F.max("copies").alias(n))
-    joined = docs.join(plan.filter(F.col(n) > 0), F.col(key).eqNullSafe(F.col(k)))
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n)))).select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, label)
+    whole = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_doc"), F.col(key).alias("_k"), F.col(source).alias("_s"), word_count(text).alias("_size"))
+    sized = scratch.table(whole.drop("_doc"), "sizes")
+    placed = _placed(whole, sized, scratch, weights, max_epochs, seed, salts).filter("copies > 0")
+    return placed.select("_doc", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("_copy")).select("_doc.*")
 
 
 def op9_mixing(docs: DataFrame) -> DataFrame:

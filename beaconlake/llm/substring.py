@@ -1,7 +1,7 @@
 """Substring dedup by hashing units of text: lines, paragraphs or sentences.
 
-A unit's words, in ASCII lower case and joined without their blanks, are hashed; the digests
-meet in one global grouping.  Of units with one digest the occurrence with the smallest
+A unit's words, in ASCII lower case and joined without their blanks, are hashed to 128 bits; the
+digests meet in one global grouping.  Of units with one digest the occurrence with the smallest
 (key, start) stays and the rest go, each known by its offsets in the original text.
 
 Several units can be taken together (:func:`repeated_passages`).  They are nested, and whatever
@@ -47,7 +47,7 @@ def unit_spans(buf: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndar
 
 
 def units(docs: DataFrame, *, key: str, text: str, passes: Sequence[tuple[str, int]]) -> DataFrame:
-    """Rows (key, start, end, words, digest) of the units of each (unit, fewest words) of ``passes``; offsets in characters.
+    """Rows (key, start, end, words, h1, h2) of the units of each (unit, fewest words) of ``passes``; offsets in characters.
 
     A span that is several kinds of unit gives one row.
     """
@@ -65,7 +65,8 @@ def units(docs: DataFrame, *, key: str, text: str, passes: Sequence[tuple[str, i
                     many = end - first >= least
                     spans.append(first[many] * (len(starts) + 1) + end[many])
                 first, end = np.divmod(np.unique(np.concatenate(spans)), len(starts) + 1)
-                digest = kernels.sequence_hashes(kernels.span_hashes(kernels.LOWER_ASCII[buf], starts, ends), first, end)
+                lower = kernels.LOWER_ASCII[buf]
+                digests = [kernels.sequence_hashes(kernels.span_hashes(lower, starts, ends, lane), first, end, lane) for lane in (0, 1)]
                 chars = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
                 doc = docs_of[first]
                 base = chars[offsets[doc]]
@@ -75,12 +76,12 @@ def units(docs: DataFrame, *, key: str, text: str, passes: Sequence[tuple[str, i
                         pa.array((chars[starts[first]] - base).astype(np.int64)),
                         pa.array((chars[ends[end - 1]] - base).astype(np.int64)),
                         pa.array((end - first).astype(np.int32)),
-                        pa.array(digest.view(np.int64)),
+                        *(pa.array(d.view(np.int64)) for d in digests),
                     ],
-                    names=["key", "start", "end", "words", "digest"],
+                    names=["key", "start", "end", "words", "h1", "h2"],
                 )
 
-    return few.mapInArrow(run, f"key {kind}, start bigint, end bigint, words int, digest bigint")
+    return few.mapInArrow(run, f"key {kind}, start bigint, end bigint, words int, h1 bigint, h2 bigint")
 
 
 def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS, label: str = "substring") -> DataFrame:
@@ -111,9 +112,9 @@ def _repeated(docs: DataFrame, key: str, text: str, passes: Sequence[tuple[str,
     scratch = Scratch(docs.sparkSession, label)
     rows = scratch.table(units(docs, key=key, text=text, passes=passes), "units")
     place = F.struct("key", "start")
-    groups = rows.groupBy(F.col("digest").alias("_d"), F.col("words").alias("_w")).agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
+    groups = rows.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
     groups = scratch.table(groups.filter(~F.col("_first").eqNullSafe(F.col("_last"))), "repeated")
-    hits = rows.join(groups, (F.col("digest") == F.col("_d")) & (F.col("words") == F.col("_w")))
+    hits = rows.join(groups, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
     gone = hits.filter(~place.eqNullSafe(F.col("_first")))
     return gone.select(F.col("key").alias(key), "start", "end", "words", F.col("_first.key").alias("kept_key"), F.col("_first.start").alias("kept_start"))
 

@@ -3,8 +3,9 @@
 A batch of changes is summed to one signed row per group and committed under its batch id by
 renaming a finished folder into place.  A batch that is already there is left alone, so a retry
 or a second delivery changes nothing, and a job that dies before the rename leaves no trace.
-Totals are the sum of all committed deltas; :meth:`Rollup.compact` folds them into a base that
-remembers the ids it contains.
+Totals are the sum of all committed deltas.  :meth:`Rollup.compact` folds them into a new base that
+lists the batches it took in, which the next compaction moves aside; a batch is looked up by its name
+alone, however many there have been.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ class Rollup:
         if not batch_id.replace("-", "").replace("_", "").isalnum():
             raise ValueError("a batch id has letters, digits, - and _ only")
         home = f"{self.path}/deltas/batch={batch_id}"
-        if self._there(home) or batch_id in self._folded():
+        if self._there(home) or self._there(f"{self.path}/folded/batch={batch_id}"):
             return False
         n, old = F.coalesce("n_tokens", F.lit(0)), F.coalesce("old_tokens", F.lit(0))
         op = F.when(F.col("op").isin("insert", "delete", "revise"), F.col("op")).otherwise(F.raise_error(F.lit("unknown op in a batch of changes")))
@@ -75,26 +76,46 @@ class Rollup:
         done = [b for b in self._children(f"{self.path}/bases") if self._there(f"{self.path}/bases/{b}/batches/_SUCCESS")]
         return f"{self.path}/bases/{done[-1]}" if done else None
 
-    def _folded(self) -> set[str]:
+    def _listing(self) -> tuple[str | None, set[str], list[str]]:
+        """One view of the store: the newest base, the batches folded into it that are not yet aside, and the other deltas."""
         base = self._base()
-        return {r.batch for r in self.spark.read.parquet(f"{base}/batches").collect()} if base else set()
+        # The list of one compaction: what was committed since the one before, a row per batch.
+        taken = {r.batch for r in self.spark.read.parquet(f"{base}/batches").collect()} if base else set()
+        deltas = self._children(f"{self.path}/deltas")
+        return base, taken & {d.removeprefix("batch=") for d in deltas}, [d for d in deltas if d.removeprefix("batch=") not in taken]
 
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer, n_docs, n_tokens; groups whose documents are all gone are left out."""
-        base, folded = self._base(), self._folded()
+    def _sum(self, base: str | None, deltas: list[str]) -> DataFrame:
         parts = [f"{base}/rows"] if base else []
-        parts += [f"{self.path}/deltas/{b}" for b in self._children(f"{self.path}/deltas") if b.removeprefix("batch=") not in folded]
+        parts += [f"{self.path}/deltas/{d}" for d in deltas]
         rows = self.spark.read.schema(_DELTA).parquet(*parts) if parts else self.spark.createDataFrame([], _DELTA)
         return rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs != 0 OR n_tokens != 0")
 
+    def totals(self) -> DataFrame:
+        """source, lang, tokenizer, n_docs, n_tokens; groups whose documents are all gone are left out."""
+        base, _, deltas = self._listing()
+        return self._sum(base, deltas)
+
     def compact(self) -> None:
-        """Fold all committed deltas into a new base; readers of the old one are not disturbed."""
-        batches = sorted(self._folded() | {b.removeprefix("batch=") for b in self._children(f"{self.path}/deltas")})
-        if not batches:
+        """Fold the committed deltas into a new base; one compaction runs at a time.
+
+        Sums and the list of batches come from one listing, so that a batch committed meanwhile is in
+        neither.  What a base took in is moved aside when the next compaction begins: who reads the
+        totals before a compaction is not disturbed by it.
+        """
+        base, taken, deltas = self._listing()
+        self._set_aside(taken)
+        if not deltas:
             return
-        base = f"{self.path}/bases/{len(self._children(f'{self.path}/bases')):08d}"
-        self.totals().write.mode("overwrite").parquet(f"{base}/rows")
-        self.spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{base}/batches")
+        target = f"{self.path}/bases/{len(self._children(f'{self.path}/bases')):08d}"
+        self._sum(base, deltas).write.mode("overwrite").parquet(f"{target}/rows")
+        batches = {d.removeprefix("batch=") for d in deltas}
+        self.spark.createDataFrame([(b,) for b in sorted(batches)], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{target}/batches")
+
+    def _set_aside(self, batches: set[str]) -> None:
+        if batches:
+            self._files.mkdirs(self._hadoop(f"{self.path}/folded"))
+        for b in sorted(batches):
+            self._files.rename(self._hadoop(f"{self.path}/deltas/batch={b}"), self._hadoop(f"{self.path}/folded/batch={b}"))
 
 
 def op7_token_rollup(docs: DataFrame) -> DataFrame:
