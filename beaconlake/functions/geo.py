@@ -21,7 +21,7 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance in metres."""
     dy, dx = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     h = F.sin(dy) * F.sin(dy) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dx) * F.sin(dx)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return 2 * EARTH_M * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))  # least() would pass over a null
 
 
 def usable(lat: Column, lon: Column) -> Column:
@@ -42,6 +42,17 @@ def ring_centroid(ring: Column) -> Column:
     return F.struct(F.when(flat, mean("x")).otherwise(cx).alias("x"), F.when(flat, mean("y")).otherwise(cy).alias("y"), F.abs(area).alias("area"))
 
 
+def multi_centroid(rings: Column) -> Column:
+    """Area-weighted centroid (x, y) of several rings; the middle of their box where no ring has an area."""
+    each = F.transform(rings, ring_centroid)
+    total = lambda f: F.aggregate(each, F.lit(0.0), lambda a, c: a + f(c))
+    area = total(lambda c: c.area)
+    points = F.flatten(rings)
+    middle = lambda field: (F.array_min(F.transform(points, lambda p: p[field])) + F.array_max(F.transform(points, lambda p: p[field]))) / 2
+    of = lambda field: F.when(area > 0, total(lambda c: c[field] * c.area) / area).otherwise(middle(field))
+    return F.struct(of("x").alias("x"), of("y").alias("y"))
+
+
 def interval_gap(from_a: Column, to_a: Column, from_b: Column, to_b: Column) -> Column:
     """Gap between two spans, 0 where they overlap."""
     return F.greatest(F.lit(0), from_b - to_a, from_a - to_b)

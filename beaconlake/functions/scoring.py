@@ -85,10 +85,26 @@ def freshness(total: Column, offline: Column, audio_age: Column, speech_age: Col
     )
 
 
-def crowd_share(minutes: Column, length: float, ramp_in: float = 90.0, ramp_out: float = 60.0) -> Column:
-    """Share of a crowd present ``minutes`` after the start: rising before, full during, falling after."""
-    rise, fall = (minutes + ramp_in) / ramp_in, 1 - (minutes - length) / ramp_out
-    return F.when(minutes < -ramp_in, 0.0).when(minutes < 0, rise).when(minutes <= length, 1.0).when(minutes <= length + ramp_out, fall).otherwise(0.0)
+def crowd_share(minutes: Column, length: Column, doors: float = 90.0, leaving: float = 45.0) -> Column:
+    """struct(share, phase) of a crowd ``minutes`` after the start of an event of ``length`` minutes.
+
+    It gathers to 0.85 at the start, is whole a fifth of the way in, and has gone ``leaving`` minutes after the end.
+    """
+    through = minutes / F.greatest(length, F.lit(1.0))
+    share = (
+        F.when(minutes < -doors, 0.0)
+        .when(minutes < 0, 0.85 * (minutes + doors) / doors)
+        .when(minutes <= length, F.when(through < 0.2, 0.85 + 0.15 * (through / 0.2)).otherwise(1.0))
+        .when(minutes < length + leaving, 1 - (minutes - length) / leaving)
+        .otherwise(0.0)
+    )
+    phase = F.when(minutes < -doors, "pending").when(minutes < 0, "building").when(minutes <= length, "peak").when(minutes < length + leaving, "dispersing").otherwise("ended")
+    return F.struct(share.alias("share"), phase.alias("phase"))
+
+
+def flow_multiplier(net: Column) -> Column:
+    """Around 1, half up or down at most, from the net flow of docks nearby."""
+    return 1 + F.greatest(F.lit(-0.5), F.least(F.lit(0.5), net / 20))
 
 
 def live_multiplier(live: Column, forecast: Column, smoothing: float = 8.0) -> Column:
@@ -106,8 +122,8 @@ def open_near(hours: Column, hour: Column) -> Column:
 
 
 def age_phrase(seconds: Column) -> Column:
-    """A short phrase for an age: 42s, 7m, 3.5h, 2d."""
-    hours = F.format_string("%.1fh", F.floor(seconds / 360) / 10)
-    days = F.concat(F.floor(seconds / 86400).cast("string"), F.lit("d"))
-    minutes = F.concat(F.floor(seconds / 60).cast("string"), F.lit("m"))
-    return F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s"))).when(seconds < 3600, minutes).when(seconds < 86400, hours).otherwise(days)
+    """A short phrase for an age: 75s, 7m, 3.5h, 2d; seconds below 90, minutes below 90, hours below 48, each rounded."""
+    s = round_half_up(F.greatest(seconds, F.lit(0)))
+    m = round_half_up(s / 60)
+    unit = lambda x, u: F.concat(x.cast("bigint").cast("string"), F.lit(u))
+    return F.when(s < 90, unit(s, "s")).when(m < 90, unit(m, "m")).when(m / 60 < 48, F.format_string("%.1fh", round_half_up(m / 6) / 10)).otherwise(unit(round_half_up(m / 1440), "d"))

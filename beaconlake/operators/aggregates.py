@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def floor_quantile(value: str, q: float) -> Column:
-    """The element of the sorted values at index ``floor(n * q)``, from a histogram of distinct values.
+def floor_quantiles(df: DataFrame, by: str, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """For each group the element of its sorted values at index ``floor(n * q)``, by name: a row (by, *names).
 
-    ``percentile_disc`` and ``percentile`` index otherwise.  Values of one group are gathered, so a
-    group must be a session, a feed or the like; for whole tables use ``percentile_approx``.
+    ``percentile_disc`` and ``percentile`` index otherwise.  Values are counted first, so a group is
+    as long as its distinct values, and only counts are ranked.
     """
-    values = F.array_sort(F.collect_list(value))
-    return F.element_at(values, (F.floor(F.count(value) * F.lit(q)) + 1).cast("int"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    sizes = counts.groupBy(F.col(by).alias("_by")).agg(F.sum("_c").alias("_n"))
+    ranked = counts.withColumn("_upto", upto).join(sizes, F.col(by).eqNullSafe(F.col("_by")))
+    return ranked.groupBy(by).agg(*[F.min(F.when(F.col("_upto") > F.floor(F.col("_n") * F.lit(q)), F.col(value))).alias(name) for name, q in quantiles.items()])
 
 
 def mode_first(df: DataFrame, by: str, value: str, order: list[str]) -> DataFrame:
@@ -47,10 +50,12 @@ def flow_totals(df: DataFrame, by: str, delta: str, ignore: int, suspect: int) -
     )
 
 
-def curve_correlation(counts: DataFrame, day: str, hour: str, n: str, days: tuple[str, str]) -> DataFrame:
-    """Pearson r of two days' hourly counts; an hour missing on one day counts 0."""
-    of = lambda d: F.sum(F.when(F.col(day) == d, F.col(n)).otherwise(0))
-    hours = counts.filter(F.col(day).isin(*days)).groupBy(hour).agg(of(days[0]).alias("x"), of(days[1]).alias("y"))
+def curve_correlation(counts: DataFrame, days: DataFrame, day: str, hour: str, n: str) -> DataFrame:
+    """Pearson r of the hourly counts of the two days in ``days``; an hour missing on one day counts 0."""
+    first = days.agg(F.min(day).alias("_first"))
+    both = counts.join(days.select(F.col(day).alias("_d")), F.col(day) == F.col("_d")).crossJoin(F.broadcast(first))  # two rows, one row
+    of = lambda same: F.sum(F.when((F.col(day) == F.col("_first")) == same, F.col(n)).otherwise(0))
+    hours = both.groupBy(hour).agg(of(True).alias("x"), of(False).alias("y"))
     return hours.agg(F.round(F.corr("x", "y"), 6).alias("r"), F.count("*").alias("hours"))
 
 
@@ -58,7 +63,9 @@ def first_to_later(df: DataFrame, by: str, at: str, opens: Column, answers: Colu
     """Median, by family, of the time from a group's first opening row to its first later answer, up to ``limit``."""
     rows = df.withColumn("_first", F.min(F.when(opens, F.col(at))).over(Window.partitionBy(by)))
     gaps = rows.filter(answers & (F.col(at) > F.col("_first"))).groupBy(by).agg(F.first(family).alias("family"), (F.min(at) - F.min("_first")).alias("gap"))
-    return gaps.filter(F.col("gap") <= limit).groupBy("family").agg(F.count("*").alias("n"), floor_quantile("gap", 0.5).alias("median_gap"))
+    gaps = gaps.filter(F.col("gap") <= limit)
+    sizes = gaps.groupBy(F.col("family").alias("_f")).agg(F.count("*").alias("n"))
+    return floor_quantiles(gaps, "family", "gap", {"median_gap": 0.5}).join(sizes, F.col("family").eqNullSafe(F.col("_f"))).drop("_f")
 
 
 def zone_topk(df: DataFrame, inside: Column, weight: Column, key: str, k: int, share: float) -> DataFrame:

@@ -13,29 +13,42 @@ CELL = 0.02
 def asof_backward(left: DataFrame, right: DataFrame, by: str, at: str, value: str, tie: str, max_age: int, out: str) -> DataFrame:
     """For each left row the value of the latest right row of its key, not later and less than ``max_age`` older.
 
-    Both sides are merged into one ordered stream per key, so no pairs are formed.
+    Both sides are merged into one ordered stream per key and time slot as wide as ``max_age``; a
+    right row goes to its own slot and the next, so no pairs are formed and no task holds a key.
     """
     cols = [by, at, tie]
-    marked = left.select(*cols, F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
-    stream = marked.unionByName(right.select(*cols, F.lit(0).alias("_side"), F.col(value).alias("_v")))
-    w = Window.partitionBy(by).orderBy(at, "_side", tie).rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.when(F.col("_side") == 0, F.struct(F.col(at).alias("at"), F.col("_v").alias("v")))
-    last = F.last(seen, ignorenulls=True).over(w)
-    out_rows = stream.withColumn("_last", last).filter("_side = 1")
-    return out_rows.select(*cols, F.when(F.col(at) - F.col("_last.at") < max_age, F.col("_last.v")).alias(out))
+    slot = F.floor(F.col(at) / max_age)
+    kind = right.schema[value].dataType
+    marked = left.select(*cols, F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_v"), slot.alias("_slot"))
+    seen = right.select(*cols, F.lit(0).alias("_side"), F.col(value).alias("_v"), F.explode(F.array(slot, slot + 1)).alias("_slot"))
+    w = Window.partitionBy(by, "_slot").orderBy(at, "_side", tie).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("_side") == 0, F.struct(F.col(at).alias("at"), F.col("_v").alias("v"))), ignorenulls=True).over(w)
+    rows = marked.unionByName(seen).withColumn("_last", last).filter("_side = 1")
+    return rows.select(*cols, F.when(F.col(at) - F.col("_last.at") < max_age, F.col("_last.v")).alias(out))
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, by: str, at: str, value: str, tie: str, target: int, low: int, high: int, out: str) -> DataFrame:
     """For each left row the right row of its key nearest to ``at - target``, aged ``low`` to ``high`` (inclusive).
 
-    Right rows are put in time slots as wide as the window and met from two neighbouring slots.
+    Of right rows of one time the least value counts; of equally near ones the earlier.  Left rows
+    stand at their target in time slots as wide as the window, right rows in the one or two slots
+    whose targets they can serve; in each slot the nearest is the last row before the target or the
+    first after it, so no pairs are formed.
     """
     width = high - low
-    l = left.select(F.col(by), F.col(at), F.col(tie), F.explode(F.sequence(F.floor((F.col(at) - high) / width), F.floor((F.col(at) - low) / width))).alias("_slot"))
-    r = right.select(F.col(by).alias("_by"), F.col(at).alias("_at"), F.col(value).alias("_v"), F.floor(F.col(at) / width).alias("_s"))
-    met = l.join(r, (F.col(by) == F.col("_by")) & (F.col("_slot") == F.col("_s"))).filter((F.col(at) - F.col("_at")).between(low, high))
-    best = met.groupBy(by, at, tie).agg(F.min(F.struct(F.abs(F.col(at) - target - F.col("_at")).alias("d"), F.col("_at").alias("t"), F.col("_v").alias("v"))).alias("_b"))
-    return best.select(by, at, tie, F.col("_b.v").alias(out), F.col("_b.t").alias(f"{out}_at"))
+    kind = right.schema[value].dataType
+    goal = F.col(at) - target
+    l = left.select(by, at, tie, goal.alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_v"), F.floor(goal / width).alias("_slot"))
+    r = right.groupBy(by, at).agg(F.min(value).alias("_v"))
+    slots = F.sequence(F.floor((F.col(at) - (target - low)) / width), F.floor((F.col(at) + (high - target)) / width))
+    r = r.select(by, F.lit(None).cast(left.schema[at].dataType).alias(at), F.lit(None).cast(left.schema[tie].dataType).alias(tie), F.col(at).alias("_at"), F.lit(0).alias("_side"), "_v", F.explode(slots).alias("_slot"))
+    seen = F.when(F.col("_side") == 0, F.struct(F.col("_at").alias("at"), F.col("_v").alias("v")))
+    ahead = Window.partitionBy(by, "_slot").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(by, "_slot").orderBy(F.desc("_at"), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    rows = l.unionByName(r).withColumn("_b", F.last(seen, ignorenulls=True).over(ahead)).withColumn("_a", F.last(seen, ignorenulls=True).over(back)).filter("_side = 1")
+    fits = lambda c: F.when((F.col(at) - F.col(f"{c}.at")).between(low, high), F.struct(F.abs(F.col("_at") - F.col(f"{c}.at")).alias("d"), F.col(f"{c}.at").alias("t"), F.col(f"{c}.v").alias("v")))
+    best = rows.withColumn("_best", F.least(fits("_b"), fits("_a"))).filter("_best IS NOT NULL")
+    return best.select(by, at, tie, F.col("_best.v").alias(out), F.col("_best.t").alias(f"{out}_at"))
 
 
 def interval_topk(anchors: DataFrame, rows: DataFrame, by: str, at: str, key: str, reach: int, k: int) -> DataFrame:

@@ -22,17 +22,38 @@ def aged_bursts(df: DataFrame, by: str, at: str, gap: int, max_age: int, tie: st
     inside a run without a larger gap: runs, not sources, are the unit of work.
     """
     runs = gap_bursts(df, by, at, gap, tie, "_run")
-    rows = F.array_sort(F.collect_list(F.struct(at, tie)))
 
-    def fold(done: Column, row: Column) -> Column:
-        began = F.when(row[at] - done["began"] <= max_age, done["began"]).otherwise(row[at])
-        return F.struct(began.alias("began"), F.concat(done["rows"], F.array(F.struct(began.alias("began"), row[tie].alias("tie")))).alias("rows"))
+    def fold(done: Column, time: Column) -> Column:
+        new = time - done["began"] > max_age
+        return F.struct(F.when(new, time).otherwise(done["began"]).alias("began"), F.when(new, F.concat(done["starts"], F.array(time))).otherwise(done["starts"]).alias("starts"))
 
-    tie_type = df.schema[tie].dataType.simpleString()
-    zero = F.struct(F.lit(-(1 << 62)).cast("bigint").alias("began"), F.array().cast(f"array<struct<began:bigint,tie:{tie_type}>>").alias("rows"))
-    folded = runs.groupBy(by, "_run").agg(F.aggregate(rows, zero, fold)["rows"].alias("_rows"))
-    each = folded.select(F.col(by).alias("_by"), F.explode("_rows").alias("_r")).select("_by", F.col("_r.began").alias(out), F.col("_r.tie").alias("_tie"))
-    return df.join(each, (F.col(by) == F.col("_by")) & (F.col(tie) == F.col("_tie"))).drop("_by", "_tie")
+    zero = F.struct(F.lit(-(1 << 62)).cast("bigint").alias("began"), F.array().cast("array<bigint>").alias("starts"))
+    starts = runs.groupBy(by, "_run").agg(F.aggregate(F.array_sort(F.collect_set(at)), zero, fold)["starts"].alias("_s"))
+    # Beginnings and rows make one ordered stream; a row belongs to the last beginning at or before it.
+    marks = starts.select(by, "_run", F.explode("_s").alias("_start")).select(F.col(by).alias("_by"), F.col("_run").alias("_r"), F.col("_start").alias("_at"), F.lit(0).alias("_side"), F.col("_start").alias(out))
+    rows = runs.select(F.col(by).alias("_by"), F.col("_run").alias("_r"), F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*df.columns).alias("_row"))
+    w = Window.partitionBy("_by", "_r").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    stream = marks.unionByName(rows, allowMissingColumns=True).withColumn(out, F.last(out, ignorenulls=True).over(w))
+    return stream.filter("_side = 1").select("_row.*", out)
+
+
+def ranked(df: DataFrame, key: str, order: list[Column], out: str, buckets: int = 64, descending: bool = True) -> DataFrame:
+    """Number all rows from 1 in a total ``order`` that begins with ``key``, without one task for all of them.
+
+    ``buckets`` quantiles of the key, the only values that reach the driver, cut the rows into ranges;
+    a range is numbered by itself, after all rows of the ranges before it.
+    """
+    steps = [i / buckets for i in range(1, buckets)]
+    cuts = sorted(set(df.agg(F.percentile_approx(key, steps, 10_000).alias("q")).first().q or []))
+    above = F.lit(0)
+    for c in cuts:
+        above = above + F.coalesce((F.col(key) > F.lit(c)).cast("int"), F.lit(0))
+    rows = df.withColumn("_range", -above if descending else above)
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = rows.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    placed = rows.withColumn("_inside", inside).join(F.broadcast(offsets), F.col("_range") == F.col("_r"))  # at most ``buckets`` rows
+    return placed.withColumn(out, F.col("_before") + F.col("_inside")).drop("_range", "_r", "_n", "_before", "_inside")
 
 
 def last_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -47,31 +68,28 @@ def context_lines(df: DataFrame, by: str, order: list[str], value: str, n: int,
     return df.withColumn(out, F.collect_list(value).over(w))
 
 
-def thin_tail(df: DataFrame, cap: int, share: float, newest_first: list[Column]) -> DataFrame:
-    """At most ``cap`` rows: the newest ``share`` of the cap whole, the older rows evenly strided.
-
-    Ranks come from one global order, which is what the feature asks for; it sits at the end of a
-    query, over the rows found.
-    """
-    ranked = df.withColumn("_i", F.row_number().over(Window.orderBy(*newest_first)) - 1)
-    counted = ranked.crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))  # one row
+def thin_tail(df: DataFrame, cap: int, share: float, at: str, tie: str) -> DataFrame:
+    """At most ``cap`` rows: the newest ``share`` of the cap whole, the older rows evenly strided."""
+    placed = ranked(df, at, [F.desc(at), F.desc(tie)], "_i")
+    counted = placed.crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))  # one row
     tail = max(1, min(cap - 1, int(cap * share)))
     head = cap - tail
     # Row j of the rest is picked if some i < head has floor(i * (n - tail) / head) = j.
-    j, rest = F.col("_i") - tail, F.col("_n") - tail
+    j, rest = F.col("_i") - 1 - tail, F.col("_n") - tail
     first = F.ceil(j * head / rest)
     picked = (first < head) & (F.floor(first * rest / F.lit(float(head))) == j)
-    keep = (F.col("_n") <= cap) | (F.col("_i") < tail) | picked
+    keep = (F.col("_n") <= cap) | (F.col("_i") <= tail) | picked
     return counted.filter(keep).drop("_i", "_n")
 
 
-def two_bands(df: DataFrame, score: str, newest: list[Column], near: float = 0.7) -> DataFrame:
+def two_bands(df: DataFrame, score: str, at: str, tie: str, near: float = 0.7) -> DataFrame:
     """Rank rows: those within ``near`` of the best score newest first, then the rest by score."""
-    best = df.filter(F.col(score) > 0).agg(F.max(score).alias("_best"))
-    rows = df.filter(F.col(score) > 0).crossJoin(F.broadcast(best))  # one row
-    close = F.col(score) >= F.col("_best") * near
-    order = [F.when(close, 0).otherwise(1), F.when(~close, -F.col(score)), *newest]
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order))).withColumn("close", close).drop("_best")
+    scored = df.filter(F.col(score) > 0)
+    rows = scored.crossJoin(F.broadcast(scored.agg(F.max(score).alias("_best")))).withColumn("close", F.col(score) >= F.col("_best") * near).drop("_best")  # one row
+    first = ranked(rows.filter("close"), at, [F.desc(at), F.col(tie)], "place")
+    rest = ranked(rows.filter("NOT close"), score, [F.desc(score), F.desc(at), F.col(tie)], "_p")
+    count = rows.agg(F.count_if("close").alias("_c"))
+    return first.unionByName(rest.crossJoin(F.broadcast(count)).withColumn("place", F.col("_p") + F.col("_c")).drop("_p", "_c"))  # one row
 
 
 def running_pack(df: DataFrame, by: list[str], size: str, order: list[Column], budget: int) -> DataFrame:

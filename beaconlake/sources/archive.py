@@ -44,7 +44,8 @@ def canonical(df: DataFrame) -> DataFrame:
 def compact(spark: SparkSession, path: str, settled_before: datetime, recheck: timedelta = timedelta(hours=24), at: str = "at") -> None:
     """Rewrite the hours that ended before ``settled_before`` and began within ``recheck`` of it, without repeats.
 
-    An hour compacted earlier is made again from its pieces, so pieces that came late get in.  Only
+    An hour compacted earlier is made again from its pieces, so pieces that came late get in: those
+    of the recheck always, older ones when they hold a file newer than the compacted hour.  Only
     those hours' partitions are replaced.
     """
     if not _there(spark, f"{path}/pieces"):
@@ -54,7 +55,11 @@ def compact(spark: SparkSession, path: str, settled_before: datetime, recheck: t
     ends = F.date_trunc("hour", F.col(at)) + F.expr("INTERVAL 1 HOUR")
     rows = pieces.filter(_days(low, high)).filter((F.col(at) >= F.lit(low).cast("timestamp")) & (ends <= F.lit(high).cast("timestamp")))
     hours = rows.select("day", "hour").distinct()
-    whole = pieces.filter(_days(low, high)).join(F.broadcast(hours), ["day", "hour"], "left_semi")  # at most a row per hour of the recheck
+    if _there(spark, f"{path}/hours"):
+        newest = lambda part: spark.read.parquet(f"{path}/{part}").groupBy("day", "hour").agg(F.max("_metadata.file_modification_time").alias(part))
+        late = newest("pieces").join(newest("hours"), ["day", "hour"]).filter("pieces > hours").select("day", "hour")
+        hours = hours.unionByName(late).distinct()
+    whole = pieces.join(F.broadcast(hours), ["day", "hour"], "left_semi")  # a row per hour of the recheck and per hour with late pieces
     canonical(whole).hint("rebalance", "day", "hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "hour").parquet(f"{path}/hours")
 
 
@@ -79,10 +84,14 @@ def read_window(spark: SparkSession, path: str, start: datetime, end: datetime,
     return canonical(hours.filter(inside).unionByName(rest))
 
 
-def coverage(rows: DataFrame, start: datetime, end: datetime, at: str = "at", bad: int = 0) -> DataFrame:
-    """One row on how whole a window is: rows, first and last time, unreadable rows, whether an absence may be claimed."""
+def coverage(rows: DataFrame, start: datetime, end: datetime, at: str = "at", bad: int | None = None) -> DataFrame:
+    """One row on how whole a window is: rows, first and last time, unreadable rows, whether an absence may be claimed.
+
+    It may if the unreadable rows were counted and are none; an empty window can be whole.  Who has
+    not counted them (``bad`` None) gets no such claim.
+    """
     return rows.agg(F.count("*").alias("rows"), F.min(at).alias("first"), F.max(at).alias("last")).select(
-        "*", F.lit(bad).cast("bigint").alias("unreadable"), ((F.col("rows") > 0) & F.lit(bad == 0)).alias("complete"), F.lit(start).alias("from"), F.lit(end).alias("to")
+        "*", F.lit(bad).cast("bigint").alias("unreadable"), F.lit(bad == 0).alias("complete"), F.lit(start).alias("from"), F.lit(end).alias("to")
     )
 
 

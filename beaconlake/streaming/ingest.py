@@ -26,9 +26,8 @@ def normalize(items: DataFrame) -> DataFrame:
 def claim_once(items: DataFrame, late: str = "1 hour") -> DataFrame:
     """Each (machine, seq) once within ``late``; messages without a number all pass."""
     marked = items.withWatermark("at", late)
-    # A message without a number gets a key of its own, so one stateful operator serves both kinds.
-    own = F.when(F.col("seq").isNull(), F.uuid()).otherwise(F.concat_ws("\u0001", F.coalesce("machine", F.lit("")), F.col("seq").cast("string")))
-    return marked.withColumn("_claim", own).dropDuplicatesWithinWatermark(["_claim"]).drop("_claim")
+    claimed = marked.filter("seq IS NOT NULL").withColumn("_claim", F.coalesce("machine", F.lit(""))).dropDuplicatesWithinWatermark(["_claim", "seq"]).drop("_claim")
+    return claimed.unionByName(marked.filter("seq IS NULL"))
 
 
 def hourly_counts(items: DataFrame, late: str = LATE) -> DataFrame:

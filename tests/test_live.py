@@ -33,8 +33,9 @@ def test_archive(spark, tmp_path):
     archive.compact(spark, path, T0 + timedelta(hours=2))
     assert whole() == [1, 2, 3, 4, 5, 6]
     assert ids(archive.read_window(spark, path, T0 + timedelta(minutes=30), T0 + timedelta(minutes=70))) == [2, 5]
-    cover = archive.coverage(archive.read_window(spark, path, T0, T0 + timedelta(hours=5)), T0, T0 + timedelta(hours=5)).first()
+    cover = archive.coverage(archive.read_window(spark, path, T0, T0 + timedelta(hours=5)), T0, T0 + timedelta(hours=5), bad=0).first()
     assert (cover.rows, cover.complete) == (6, True)
+    assert not archive.coverage(rows(spark, []), T0, T0).first().complete and archive.coverage(rows(spark, []), T0, T0, bad=0).first().complete
     assert archive.expire(spark, path, "2024-03-05") == 0 and archive.expire(spark, path, "2024-03-06") == 2
 
 
