@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from beaconlake.plans import calls, desk, feeds, geocode, joins, relational, search, text
+from beaconlake.plans import board, calls, desk, feeds, geocode, joins, relational, search, text
 from beaconlake.plans.core import Query
 
-QUERIES: dict[str, Query] = {**relational.QUERIES, **joins.QUERIES, **text.QUERIES, **calls.QUERIES, **feeds.QUERIES, **desk.QUERIES, **search.QUERIES, **geocode.QUERIES}
+QUERIES: dict[str, Query] = {**relational.QUERIES, **joins.QUERIES, **text.QUERIES, **calls.QUERIES, **feeds.QUERIES, **desk.QUERIES, **search.QUERIES, **geocode.QUERIES, **board.QUERIES}
