@@ -5,8 +5,8 @@ dropped; a line shorter than k is one shingle).  Equal lines, by a 128-bit diges
 One permutation hash per shingle, split over bins, gives a signature; a bin without a shingle
 takes the value of another one, drawn anew for every bin, so that the bins of a short line stay as
 independent as those of a long one.  BANDS bands of ROWS bins are the keys of candidate lists,
-which are verified by exact Jaccard and joined by components (:mod:`.setjoin`).  One line of a
-component, the first by (key, line number), stays.
+which go through the shuffle as blocks, are verified by exact Jaccard and joined by components
+(:mod:`.setjoin`).  One line of a component, the first by (key, line number), stays.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beaconlake.llm import kernels
 from beaconlake.llm.components import connected_components
 from beaconlake.llm.scratch import Scratch, unused
-from beaconlake.llm.setjoin import JaccardComponents, small_enough
+from beaconlake.llm.setjoin import JaccardComponents
 
 WIDTH = 5
 ROWS = 6
@@ -29,29 +29,47 @@ BANDS = 20
 BINS = ROWS * BANDS
 #: Lines that are signed at once.
 CHUNK = 1 << 12
+#: Band keys that a task holds before it gives them on, and ranges of keys per shuffle partition.
+KEYS_AT_ONCE = 1 << 20
+PARTS = 8
+_CHAR = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
+_PLACE = np.random.default_rng(20240302).integers(0, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bin from which an empty bin takes its value at each try.
 _PROBES = np.random.default_rng(20240301).integers(0, BINS, (64, BINS))
 
 
 def _shingles(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the span, hash) of every shingle of spans of lower-case text."""
+    """(number of the span, hash) of every shingle of spans of lower-case text, repeats included.
+
+    A shingle is the sum of its characters, each (up to four bytes as one number) times a random odd
+    number of its place, mixed; a span of fewer characters is one shingle.
+    """
     lead = np.flatnonzero((buf & 0xC0) != 0x80)
     first, stop = np.searchsorted(lead, start), np.searchsorted(lead, end)
-    count = np.maximum(1, stop - first - WIDTH + 1)
-    line = np.repeat(np.arange(len(start)), count)
-    at = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-    last = at + WIDTH
-    to = np.where(last < np.repeat(stop, count), np.append(lead, len(buf))[np.minimum(last, len(lead))], np.repeat(end, count))
-    return line, kernels.span_hashes(buf, lead[at], to)
-
-
-def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of lines in their normal form."""
+    sizes = np.diff(np.append(lead, len(buf)))
+    padded = np.concatenate((buf, np.zeros(4, np.uint8)))
+    chars = np.ndarray(len(buf) + 1, "<u4", padded, 0, (1,))[lead] & _CHAR[sizes]
+    chars = np.concatenate((chars, np.zeros(WIDTH, np.uint32))).astype(np.uint64)
+    n = len(lead)
+    with np.errstate(over="ignore"):
+        total = chars[:n] * _PLACE[0]
+        for k in range(1, WIDTH):
+            total += chars[k : n + k] * _PLACE[k]
+        count = np.maximum(1, stop - first - WIDTH + 1)
+        line = np.repeat(np.arange(len(start)), count)
+        at = np.arange(len(line)) + np.repeat(first - (np.cumsum(count) - count), count)
+        value = total[at]
+        short = np.flatnonzero(stop - first < WIDTH)
+        if len(short):
+            value[np.cumsum(count)[short] - 1] = kernels.span_hashes(buf, start[short], end[short])
+    return line, kernels.mix64(value)
+
+
+def line_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the line, hash) of every shingle of lines in their normal form."""
     sizes = np.array([len(x) for x in lines], dtype=np.int64)
     end = np.cumsum(sizes)
-    line, shingle = _shingles(np.frombuffer(b"".join(lines), np.uint8), end - sizes, end)
-    border = np.searchsorted(line, np.arange(len(lines) + 1))
-    return [np.unique(shingle[a:b]) for a, b in zip(border[:-1], border[1:])]
+    return _shingles(np.frombuffer(b"".join(lines), np.uint8), end - sizes, end)
 
 
 class _Lines:
@@ -96,15 +114,12 @@ def line_table(docs: DataFrame, *, key: str, text: str) -> DataFrame:
 
 def signatures(line: np.ndarray, shingle: np.ndarray, n_lines: int) -> np.ndarray:
     """Signature (n_lines x BINS) of each line: the least hash in every bin."""
-    low = np.uint64((1 << 32) - 1)
+    none = np.uint64(1 << 32)
     bins = ((shingle >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
-    cell = line.astype(np.uint64) * np.uint64(BINS) + bins
-    keyed = np.sort((cell << np.uint64(32)) | (shingle & low))
-    cell = (keyed >> np.uint64(32)).astype(np.int64)
-    least = np.concatenate(([True], cell[1:] != cell[:-1]))
-    sig, full = np.zeros(n_lines * BINS, dtype=np.uint64), np.zeros(n_lines * BINS, dtype=bool)
-    sig[cell[least]], full[cell[least]] = keyed[least] & low, True
-    sig, full = sig.reshape(n_lines, BINS), full.reshape(n_lines, BINS)
+    sig = np.full(n_lines * BINS, none)
+    np.minimum.at(sig, line * BINS + bins.astype(np.int64), shingle & (none - np.uint64(1)))
+    sig = sig.reshape(n_lines, BINS)
+    full = sig < none
     row, column = np.nonzero(~full)
     for probe in _PROBES:
         if not len(row):
@@ -128,19 +143,84 @@ def _band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-def _band_postings(docs: DataFrame, text: str) -> DataFrame:
-    """Rows (token, h1): the band keys of every line, once per slice of texts that holds it."""
+def _band_blocks(docs: DataFrame, text: str, parts: int) -> DataFrame:
+    """The band keys of every line, once per slice of texts that holds it, as blocks (part, tokens, lines).
+
+    A block holds packed keys of one of ``parts`` ranges and beside them the packed first digests of
+    their lines: tens of keys a line are cheaper to shuffle and to sort as arrays than as rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, lines_of, held = [], [], 0
         for batch in batches:
             for _, lines in _slices(batch, text):
                 h1, at = np.unique(lines.digests()[0], return_index=True)
                 for k in range(0, len(at), CHUNK):
                     part = at[k : k + CHUNK]
                     keys = _band_keys(signatures(*_shingles(lines.buf, lines.start[part], lines.end[part]), len(part)))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(h1[k : k + CHUNK], BANDS))], names=["token", "h1"])
+                    tokens.append(keys.ravel())
+                    lines_of.append(np.repeat(h1[k : k + CHUNK], BANDS))
+                    held += keys.size
+                    if held >= KEYS_AT_ONCE:
+                        yield _blocks(np.concatenate(tokens), np.concatenate(lines_of), parts)
+                        tokens, lines_of, held = [], [], 0
+        if held:
+            yield _blocks(np.concatenate(tokens), np.concatenate(lines_of), parts)
 
-    return docs.select(text).mapInArrow(run, "token bigint, h1 bigint")
+    return docs.select(text).mapInArrow(run, "part int, tokens binary, lines binary")
+
+
+def _blocks(token: np.ndarray, line: np.ndarray, parts: int) -> pa.RecordBatch:
+    part = ((token >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint32)
+    order = np.argsort(part, kind="stable")
+    border = np.searchsorted(part[order], np.arange(parts + 1))
+    filled = np.flatnonzero(border[1:] > border[:-1])
+    cut = lambda x: pa.array([x[border[i] : border[i + 1]].tobytes() for i in filled], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), cut(token[order]), cut(line[order])], names=["part", "tokens", "lines"])
+
+
+def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, h1) of the keys that two lines hold; blocks arrive in order of their part.
+
+    When KEYS_AT_ONCE keys are held, those known to be shared are given out, of which their token
+    alone is kept; so a key that very many lines hold takes no room, and a part as much as it has
+    different keys.  A row may come twice.
+    """
+    now, token, line, shared = None, [], [], np.zeros(0, np.uint64)
+    held = 0
+    for batch in batches:
+        for part, t, h in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if part != now or held >= 4 * KEYS_AT_ONCE:
+                out, rest, shared = _settled(token, line, shared)
+                yield out
+                token, line, shared = ([], [], np.zeros(0, np.uint64)) if part != now else ([rest[0]], [rest[1]], shared)
+                now, held = part, sum(map(len, token))
+            token.append(np.frombuffer(t, np.uint64))
+            line.append(np.frombuffer(h, np.int64))
+            held += len(token[-1])
+    yield _settled(token, line, shared)[0]
+
+
+def _settled(tokens: list[np.ndarray], lines: list[np.ndarray], shared: np.ndarray):
+    """The rows of shared keys, what is left, and the shared keys."""
+    token = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+    line = np.concatenate(lines) if lines else np.zeros(0, np.int64)
+    order = np.argsort(token)
+    token, line = token[order], line[order]
+    twin = np.zeros(len(token) + 1, dtype=bool)
+    twin[1:-1] = token[1:] == token[:-1]
+    often = (twin[1:] | twin[:-1]) | (np.isin(token, shared) if len(shared) else False)
+    some, of = token[often], line[often]
+    order = np.lexsort((of, some))
+    some, of = some[order], of[order]
+    once = np.concatenate(([True], (some[1:] != some[:-1]) | (of[1:] != of[:-1]))) if len(some) else np.zeros(0, bool)
+    some, of = some[once], of[once]
+    twin = np.zeros(len(some) + 1, dtype=bool)
+    twin[1:-1] = some[1:] == some[:-1]
+    keep = (twin[1:] | twin[:-1]) | (np.isin(some, shared) if len(shared) else False)
+    rest = (np.concatenate((token[~often], some[~keep])), np.concatenate((line[~often], of[~keep])))
+    out = pa.RecordBatch.from_arrays([pa.array(some[keep].view(np.int64)), pa.array(of[keep])], names=["token", "h1"])
+    return out, rest, np.union1d(shared, some[keep])
 
 
 def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +247,9 @@ def similar_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n
     first = lines.groupBy("h1", "h2").agg(F.min(F.struct("key", "line_no", "digest")).alias("place"))
     first = scratch.table(first.withColumn("cls", F.monotonically_increasing_id()), "first")  # numbered once, when written
 
-    per_token = Window.partitionBy("token").orderBy("h1")
-    rows = _band_postings(docs, text)
-    near = rows.withColumn("_before", F.lag("h1").over(per_token)).withColumn("_after", F.lead("h1").over(per_token))
-    shared = near.filter("(_before IS NOT NULL OR _after IS NOT NULL) AND (_before IS NULL OR _before != h1)").select("token", F.col("h1").alias("_h1"))
+    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _band_blocks(docs, text, parts).repartition(parts // PARTS, "part").sortWithinPartitions("part")
+    shared = blocks.mapInArrow(_shared_keys, "token bigint, h1 bigint").withColumnRenamed("h1", "_h1")
     # Lines that share 64 bits are candidates of each other's lists; what is compared are whole lines.
     met = scratch.table(shared, "shared").join(first.select("h1", "cls"), F.col("h1") == F.col("_h1"))
     met = scratch.table(met.select("token", "cls"), "met")
@@ -185,18 +264,19 @@ def similar_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n
         wanted = wanted.groupBy(F.col("place.key").alias("_k"), F.col("place.digest").alias("_g")).agg(F.collect_list(F.struct("place.line_no", "cls")).alias("_wanted"))
         wanted = scratch.table(wanted, "wanted")
         texts = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_digest"), F.col(text).alias("_text"))
-        found = texts.join(small_enough(wanted, 100_000), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_g")))
+        found = texts.join(wanted, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_g")))
         return found.select("_wanted", "_text").mapInArrow(_wanted_lines, "cls bigint, data binary")
 
-    parts = JaccardComponents(load, shingle_sets, scratch, num, den).of(postings)
-    placed = first.join(parts, F.col("cls") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "cls").alias("_part"), "place")
-    placed = scratch.table(placed, "placed")
+    found_in = JaccardComponents(load, line_shingles, scratch, num, den).of(postings)
+    # Only lines that link with another have another first; for the rest it is their own.
+    placed = scratch.table(first.join(found_in, F.col("cls") == F.col("node")).select("cls", F.col("component").alias("_part"), "place"), "placed")
     for name in ("postings", "wanted"):
         scratch.drop(name)
     least = placed.groupBy(F.col("_part").alias("_p")).agg(F.min("place").alias("_first"))
-    found = placed.join(least, F.col("_part") == F.col("_p")).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "_first")
+    moved = scratch.table(placed.join(least, F.col("_part") == F.col("_p")).select(F.col("cls").alias("_c"), "_first"), "moved")
+    found = first.join(moved, F.col("cls") == F.col("_c"), "left").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("_first", "place").alias("_first"))
     found = scratch.table(found, "found")
-    for name in ("first", "placed"):
+    for name in ("first", "placed", "moved"):
         scratch.drop(name)
     out = lines.join(found, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
     kept = F.col("key").eqNullSafe(F.col("_first.key")) & (F.col("line_no") == F.col("_first.line_no")) & (F.col("digest") == F.col("_first.digest"))

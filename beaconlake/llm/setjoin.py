@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from beaconlake.llm.components import connected_components, forest
 from beaconlake.llm.scratch import Scratch
 
-SHORT_LIST = 16
+SHORT_LIST = 6
 BLOCK = 256
 #: Columns of a product inside a block.
 COLUMNS = 8192
@@ -59,21 +59,22 @@ def overlap_bound(left: bytes, right: bytes, n_left: int, n_right: int) -> int:
     return min(n_left - only_a, n_right - only_b)
 
 
-def packed_tokens(data: list[bytes]) -> list[np.ndarray]:
-    """Sets stored as packed unsigned 64-bit tokens."""
-    return [np.frombuffer(d, np.uint64) for d in data]
+def packed_tokens(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the set, token) of sets stored as packed unsigned 64-bit tokens."""
+    return np.repeat(np.arange(len(data)), [len(d) // 8 for d in data]), np.frombuffer(b"".join(data), np.uint64)
 
 
 class JaccardComponents:
     """Components of sets that link when intersection * den >= num * union.
 
     ``load(ids)`` returns the sets in ``ids`` (one bigint column cls) as a DataFrame (cls bigint,
-    data binary); ``tokens`` makes sorted distinct tokens of a list of such data.  ``sketches``, if
+    data binary); ``tokens`` makes (number, token) of a list of such data, in order of the numbers;
+    tokens are 64-bit hashes and may repeat.  ``sketches``, if
     given, is a DataFrame (cls, n, bits) with a :func:`bitmap` of every set, which rules out most
     candidates before sets are loaded.
     """
 
-    def __init__(self, load: Callable[[DataFrame], DataFrame], tokens: Callable[[list[bytes]], list[np.ndarray]], scratch: Scratch, num: int = 3, den: int = 4, sketches: DataFrame | None = None):
+    def __init__(self, load: Callable[[DataFrame], DataFrame], tokens: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], scratch: Scratch, num: int = 3, den: int = 4, sketches: DataFrame | None = None):
         self.load, self.tokens, self.scratch, self.num, self.den, self.sketches = load, tokens, scratch, num, den, sketches
 
     def enough(self, overlap: Column, n_a: Column, n_b: Column) -> Column:
@@ -90,7 +91,7 @@ class JaccardComponents:
         highest makes the best pivot).  One row per token and cls.
         """
         t, drop = self.scratch.table, self.scratch.drop
-        lists = postings.groupBy("token").agg(F.count("*").alias("cnt"), F.max(F.struct("rank", "cls")).alias("top"))
+        lists = postings.groupBy("token").agg(F.count("*").alias("cnt"), F.max(F.struct("rank", "cls", "n")).alias("top"))
         lists = lists.filter("cnt > 1").select(F.col("token").alias("_t"), "cnt", "top")
         listed = t(postings.join(lists, F.col("token") == F.col("_t")).drop("_t", "rank"), "listed")
         stars = t(self._stars(listed.filter(F.col("cnt") > SHORT_LIST)), "stars")
@@ -124,15 +125,12 @@ class JaccardComponents:
         A list's pivot is the best among the pivots of all lists that its sets are in.
         """
         best = long.groupBy(F.col("cls").alias("_c")).agg(F.max("top").alias("best"))
-        long = long.select("token", "cls", "n").join(best, F.col("cls") == F.col("_c"))
-        led = long.groupBy(F.col("token").alias("_t")).agg(F.max("best").alias("led"))
-        rows = long.join(led, F.col("token") == F.col("_t")).select(F.col("led.cls").alias("pivot"), "cls", "n").distinct()
-        sizes = long.select(F.col("cls").alias("_s"), F.col("n").alias("n_pivot")).distinct()
-        pivots = rows.select("pivot").distinct().join(sizes, F.col("pivot") == F.col("_s")).select(F.col("pivot").alias("_p"), "n_pivot")
-        pivots = self.scratch.table(pivots, "pivots")
-        own = pivots.select(F.col("_p").alias("pivot"), F.col("_p").alias("cls"), "n_pivot", F.col("n_pivot").alias("n"))
-        beside = rows.filter("pivot != cls").join(small_enough(pivots), F.col("pivot") == F.col("_p"))
-        return beside.select("pivot", "cls", "n_pivot", "n").unionByName(own)
+        met = long.select("token", "cls", "n").join(best, F.col("cls") == F.col("_c"))
+        led = met.groupBy(F.col("token").alias("_t")).agg(F.max("best").alias("led"))
+        rows = long.select("token", "cls", "n").join(led, F.col("token") == F.col("_t"))
+        own = F.struct(F.col("led.cls").alias("cls"), F.col("led.n").alias("n"))
+        member = F.explode(F.array(own, F.struct("cls", "n")))
+        return rows.select(F.col("led.cls").alias("pivot"), F.col("led.n").alias("n_pivot"), member.alias("m")).select("pivot", "m.cls", "n_pivot", "m.n").distinct()
 
     def _short_pairs(self, short: DataFrame) -> DataFrame:
         """Candidate pairs (a < b): pairs of groups, filtered, then their members."""
@@ -201,17 +199,37 @@ def _chosen(keep):
     return run
 
 
+PAIRS_AT_ONCE = 512
+
+
 def _pair_links(batches: Iterator[pa.RecordBatch], tokens, num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            left, right = tokens(part.column("data_a").to_pylist()), tokens(part.column("data_b").to_pylist())
-            mask = []
-            for a, b in zip(left, right):
-                at_ = np.searchsorted(a, b)
-                both = int((a[np.minimum(at_, len(a) - 1)] == b).sum()) if len(a) else 0
-                mask.append(both * (num + den) >= num * (len(a) + len(b)))
-            yield part.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
+        for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
+            part = batch.slice(at, PAIRS_AT_ONCE)
+            n, both = _pair_overlaps(part.column("data_a").to_pylist(), part.column("data_b").to_pylist(), tokens)
+            yield part.select(["a", "b"]).filter(pa.array(both * (num + den) >= num * n))
+
+
+def _pair_overlaps(left: list[bytes], right: list[bytes], tokens) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of sets the sum of their sizes and the number of their common tokens.
+
+    Sets that several pairs hold are made once.  A token becomes one number of pair, token and side,
+    so that one sort brings what is common side by side; it keeps 54 bits of the token, of the some
+    hundreds or thousands that a pair has.
+    """
+    known = {d: i for i, d in enumerate(dict.fromkeys([*left, *right]))}
+    owner, token = tokens(list(known))
+    border = np.searchsorted(owner, np.arange(len(known) + 1))
+    sides = np.array([[known[d] for d in left], [known[d] for d in right]])
+    count = (border[1:] - border[:-1])[sides]
+    flat = np.repeat(border[:-1][sides].ravel(), count.ravel()) + np.arange(count.sum()) - np.repeat(np.cumsum(count.ravel()) - count.ravel(), count.ravel())
+    pair = np.repeat(np.tile(np.arange(len(left), dtype=np.uint64), 2), count.ravel())
+    side = np.repeat(np.repeat(np.arange(2, dtype=np.uint64), len(left)), count.ravel())
+    keys = np.sort((pair << np.uint64(55)) | ((token[flat] >> np.uint64(10)) << np.uint64(1)) | side)
+    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+    same = keys[1:] >> np.uint64(1) == keys[:-1] >> np.uint64(1)
+    of = (keys >> np.uint64(55)).astype(np.int64)
+    return np.bincount(of, minlength=len(left)), np.bincount(of[1:][same], minlength=len(left))
 
 
 def _block_links(batches: Iterator[pa.RecordBatch], tokens, num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -234,26 +252,26 @@ def _forest_of(run: pa.Table, tokens, num: int, den: int) -> Iterator[pa.RecordB
     if run.num_rows < 2:
         return
     cls, label = run.column("cls").to_numpy(), run.column("label").to_numpy()
-    sets = tokens(run.column("data").to_pylist())
-    n = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), n)
-    flat = np.concatenate(sets)
-    order = np.argsort(flat, kind="stable")
+    owner, flat = tokens(run.column("data").to_pylist())
+    order = np.lexsort((owner, flat))
     flat, owner = flat[order], owner[order]
+    once = np.concatenate(([True], (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1]))) if len(flat) else np.zeros(0, bool)
+    flat, owner = flat[once], owner[once]
+    n = np.bincount(owner, minlength=run.num_rows)
     fresh = np.concatenate(([True], flat[1:] != flat[:-1]))
     column = np.cumsum(fresh) - 1
     shared = np.bincount(column)[column] > 1
     owner, fresh = owner[shared], fresh[shared]
     column = np.cumsum(fresh) - 1
-    overlap = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    overlap = np.zeros((len(n), len(n)), dtype=np.float64)
     at = 0
     while at < len(column):
         to = int(np.searchsorted(column, column[at] + COLUMNS))
-        grid = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        grid = np.zeros((len(n), COLUMNS), dtype=np.float32)
         grid[owner[at:to], column[at:to] - column[at]] = 1
         overlap += grid @ grid.T
         at = to
     near = (overlap * (num + den) >= num * (n[:, None] + n[None, :])) & (label[:, None] < label[None, :])
-    child, root = forest(*np.nonzero(near), len(sets))
+    child, root = forest(*np.nonzero(near), len(n))
     if len(child):
         yield pa.RecordBatch.from_arrays([pa.array(cls[child]), pa.array(cls[root])], names=["a", "b"])
