@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconlake.llm.scratch import Scratch
-from beaconlake.llm.setjoin import small_enough
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3.0
@@ -84,6 +83,7 @@ def _placed(rows: DataFrame, sized: DataFrame, scratch: Scratch, weights: tuple[
 
     def blocked(df: DataFrame) -> DataFrame:
         band = F.floor(F.log2(F.col("_size") + 1) * 64).cast("int")
+        df = df.withColumn("_none", F.col("_s").isNull()).withColumn("_name", F.coalesce("_s", F.lit("")))
         return df.withColumn("_band", band).withColumn("_salt", F.pmod(F.xxhash64("_k", F.lit(seed)), F.lit(salts)).cast("int"))
 
     src = F.col("_s")
@@ -100,12 +100,14 @@ def _placed(rows: DataFrame, sized: DataFrame, scratch: Scratch, weights: tuple[
         blocks.withColumn("_within", F.coalesce(F.sum("_n").over(inside), zero))
         .join(starts, src.eqNullSafe(F.col("_s1")) & (F.col("_band") == F.col("_b")))
         .join(targets, src.eqNullSafe(F.col("_s2")))
-        .select(src.alias("_src"), F.col("_band").alias("_bd"), F.col("_salt").alias("_st"), (F.col("_start") + F.col("_within")).alias("_offset"), "source_size", "target")
+        .select(src.isNull().alias("_o"), F.coalesce(src, F.lit("")).alias("_src"), F.col("_band").alias("_bd"), F.col("_salt").alias("_st"), (F.col("_start") + F.col("_within")).alias("_offset"), "source_size", "target")
     )
     offsets = scratch.table(offsets, "offsets")
-    order = Window.partitionBy("_s", "_band", "_salt").orderBy("_size", "_k")
+    order = Window.partitionBy("_none", "_name", "_band", "_salt").orderBy("_size", "_k")
     ranked = blocked(rows).withColumn("_row", F.row_number().over(order))
-    placed = ranked.join(small_enough(offsets), src.eqNullSafe(F.col("_src")) & (F.col("_band") == F.col("_bd")) & (F.col("_salt") == F.col("_st")))
+    # The rows lie by block already: only the offsets, a row per block, are dealt out to them.
+    same = (F.col("_none") == F.col("_o")) & (F.col("_name") == F.col("_src")) & (F.col("_band") == F.col("_bd")) & (F.col("_salt") == F.col("_st"))
+    placed = ranked.join(offsets, same)
     # A dyadic offset keeps sums with whole expectations exact.
     start = F.pmod(F.xxhash64(F.coalesce(src, F.lit("\0null")), F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
