@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +38,30 @@ def hourly_counts(items: DataFrame, late: str = LATE) -> DataFrame:
     return items.withWatermark("at", late).groupBy(F.window("at", "1 hour").alias("w"), "src").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "src", "n")
 
 
-def to_archive(items: DataFrame, path: str, checkpoint: str):
+def bad_lines(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
+    """The lines of landing files that are no JSON, as a stream (line, file): a side table whose count says how whole the archive is."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
+    broken = (F.trim("value") != "") & F.try_parse_json("value").isNull()
+    return lines.filter(broken).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+
+
+def to_archive(items: DataFrame, path: str, checkpoint: str, enrich: Callable[[DataFrame], DataFrame] | None = None):
     """Append a stream to an archive (:mod:`beaconlake.sources.archive`); a batch that fails is retried whole.
 
-    A retried batch may append a second time, which readers undo: they return distinct rows.
+    A batch goes through ``enrich``, which names itself in the column by; if that fails the rows are
+    archived as they came, by raw-fallback.  A retried batch may append a second time, which readers
+    undo: they return distinct rows.
     """
     from beaconlake.sources import archive
 
-    return items.writeStream.foreachBatch(lambda batch, _: archive.append(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def write(batch: DataFrame, _: int) -> None:
+        if enrich is None:
+            archive.append(batch, path)
+            return
+        try:
+            archive.append(enrich(batch), path)
+        except Exception as error:  # whatever the enrichment does, the messages must be kept
+            logging.getLogger(__name__).warning("enrichment failed, archiving raw: %s", str(error)[:200])
+            archive.append(batch.withColumn("by", F.lit("raw-fallback")), path)
+
+    return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,11 +8,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from beaconlake.functions import localtime, scoring, text as tx
+from beaconlake.functions import localtime, scoring, spoken, text as tx
 from beaconlake.operators import ordered, questions, scenes, tracks
 from beaconlake.plans import desk
 from beaconlake.sources import archive
-from beaconlake.streaming import stops, threads
+from beaconlake.streaming import ingest, stops, threads
 
 T0 = 1_700_000_000_000
 MIN = 60_000
@@ -254,3 +254,31 @@ def test_late_pieces_are_read(spark, tmp_path):
     archive.compact(spark, path, t0 + timedelta(hours=80))
     ids = sorted(r.id for r in archive.read_window(spark, path, t0, t0 + timedelta(hours=90)).collect())
     assert ids == [1, 2, 3]
+
+
+def test_spelled_runs(spark):
+    cases = [
+        ("plate is adam boy three four X ray niner thank you", [("AB34X9", 6, 3, 6)], 1), ("hello i m 22 i m 22", [("IM22IM22", 6, 0, 0)], 0), ("one two", [], 0), ("alpha, bravo. charlie!", [("ABC", 3, 3, 3)], 0),
+        ("respond to 1426 elm then kilo one two three lima out", [("K123L", 5, 2, 5)], 1), (None, [], 0),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "i int, t string").select("i", spoken.spelled_runs(F.col("t")).alias("r"), F.size(spoken.plate_keys(F.col("t"))).alias("n"))
+    got = {r.i: ([tuple(x) for x in r.r], r.n) for r in df.collect()}
+    assert got == {i: (runs, n) for i, (_, runs, n) in enumerate(cases)}
+
+
+def test_raw_fallback_and_bad_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    good = '{"machine": "m", "seq": 1, "src": "s", "text": "a long message", "at": "2024-03-05T12:00:00"}'
+    (tmp_path / "in" / "a.json").write_text(good + "\nnot json\n" + good.replace("1,", "2,") + "\n")
+    bad = ingest.bad_lines(spark, f"{tmp_path}/in").writeStream.format("memory").queryName("bad_out").trigger(availableNow=True).start()
+    bad.awaitTermination(120)
+    assert [r.line for r in spark.table("bad_out").collect()] == ["not json"]
+
+    def broken(batch):
+        return batch.withColumn("text", F.raise_error(F.lit("enrichment is down")).cast("string"))
+
+    for name, enrich in (("ok", lambda b: b.withColumn("by", F.lit("rules"))), ("down", broken)):
+        q = ingest.to_archive(ingest.normalize(ingest.read_landing(spark, f"{tmp_path}/in")), f"{tmp_path}/{name}", f"{tmp_path}/cp-{name}", enrich)
+        q.awaitTermination(120)
+        rows = spark.read.parquet(f"{tmp_path}/{name}/pieces").select("seq", "by").collect()
+        assert sorted((r.seq, r.by) for r in rows) == [(1, "rules" if name == "ok" else "raw-fallback"), (2, "rules" if name == "ok" else "raw-fallback")]
