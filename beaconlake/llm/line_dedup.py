@@ -30,7 +30,7 @@ BINS = ROWS * BANDS
 #: Lines that are signed at once.
 CHUNK = 1 << 12
 #: Band keys that a task holds before it gives them on, and ranges of keys per shuffle partition.
-KEYS_AT_ONCE = 1 << 20
+KEYS_AT_ONCE = 1 << 18
 PARTS = 8
 _CHAR = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 _PLACE = np.random.default_rng(20240302).integers(0, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
