@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconlake.llm import bpe, embed_dedup, line_dedup, mixing, ngram_join, quality, records, shards, substring, token_rollup
+from beaconlake.llm import alignment, bpe, embed_dedup, line_dedup, mixing, ngram_join, quality, records, shards, substring, token_rollup, whitening
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_shards": lambda spark, sf_dir: shards.op8_shards(docs(spark, sf_dir)),
         "op9_mixing": lambda spark, sf_dir: mixing.op9_mixing(docs(spark, sf_dir)),
         "op10_bpe": lambda spark, sf_dir: bpe.token_digests(docs(spark, sf_dir), TOKENIZER),
+        "op11_alignment": lambda spark, sf_dir: alignment.op11_alignment(docs(spark, sf_dir), TOKENIZER, PIECES),
+        "op12_whitening": lambda spark, sf_dir: whitening.op12_whitening(table(spark, sf_dir, "embeddings")),
     }
 
 
