@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconlake.llm import alignment, bpe, embed_dedup, line_dedup, mixing, ngram_join, quality, records, shards, substring, token_rollup, whitening
+from beaconlake.llm import alignment, bpe, embed_dedup, line_dedup, mixing, ngram_join, quality, records, secret_scan, shards, substring, token_rollup, whitening
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -32,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_bpe": lambda spark, sf_dir: bpe.token_digests(docs(spark, sf_dir), TOKENIZER),
         "op11_alignment": lambda spark, sf_dir: alignment.op11_alignment(docs(spark, sf_dir), TOKENIZER, PIECES),
         "op12_whitening": lambda spark, sf_dir: whitening.op12_whitening(table(spark, sf_dir, "embeddings")),
+        "op13_secrets": lambda spark, sf_dir: secret_scan.op13_secrets(docs(spark, sf_dir)),
     }
 
 
