@@ -29,9 +29,10 @@ BANDS = 20
 BINS = ROWS * BANDS
 #: Lines that are signed at once.
 CHUNK = 1 << 12
-#: Band keys that a task holds before it gives them on, and ranges of keys per shuffle partition.
+#: Band keys that a task holds before it gives them on, ranges of keys per shuffle partition, and the keys that a range is made for.
 KEYS_AT_ONCE = 1 << 18
 PARTS = 8
+KEYS_PER_PART = 1 << 20
 _CHAR = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 _PLACE = np.random.default_rng(20240302).integers(0, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bin from which an empty bin takes its value at each try.
@@ -182,22 +183,23 @@ def _blocks(token: np.ndarray, line: np.ndarray, parts: int) -> pa.RecordBatch:
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (token, h1) of the keys that two lines hold; blocks arrive in order of their part.
 
-    When KEYS_AT_ONCE keys are held, those known to be shared are given out, of which their token
-    alone is kept; so a key that very many lines hold takes no room, and a part as much as it has
-    different keys.  A row may come twice.
+    When as many new keys have come as are kept, and KEYS_AT_ONCE at least, those known to be shared
+    are given out, of which their token alone is kept; so a key that very many lines hold takes no
+    room, a part as much as it has different keys, and its keys are sorted a few times over, however
+    many they are.  A row may come twice.
     """
     now, token, line, shared = None, [], [], np.zeros(0, np.uint64)
-    held = 0
+    kept = new = 0
     for batch in batches:
         for part, t, h in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if part != now or held >= 4 * KEYS_AT_ONCE:
+            if part != now or new >= max(4 * KEYS_AT_ONCE, kept):
                 out, rest, shared = _settled(token, line, shared)
                 yield out
                 token, line, shared = ([], [], np.zeros(0, np.uint64)) if part != now else ([rest[0]], [rest[1]], shared)
-                now, held = part, sum(map(len, token))
+                now, kept, new = part, sum(map(len, token)) + len(shared), 0
             token.append(np.frombuffer(t, np.uint64))
             line.append(np.frombuffer(h, np.int64))
-            held += len(token[-1])
+            new += len(token[-1])
     yield _settled(token, line, shared)[0]
 
 
@@ -247,8 +249,9 @@ def similar_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n
     first = lines.groupBy("h1", "h2").agg(F.min(F.struct("key", "line_no", "digest")).alias("place"))
     first = scratch.table(first.withColumn("cls", F.monotonically_increasing_id()), "first")  # numbered once, when written
 
-    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _band_blocks(docs, text, parts).repartition(parts // PARTS, "part").sortWithinPartitions("part")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-first.count() * BANDS // (PARTS * KEYS_PER_PART)))
+    parts = PARTS * tasks
+    blocks = _band_blocks(docs, text, parts).repartition(tasks, "part").sortWithinPartitions("part")
     shared = blocks.mapInArrow(_shared_keys, "token bigint, h1 bigint").withColumnRenamed("h1", "_h1")
     # Lines that share 64 bits are candidates of each other's lists; what is compared are whole lines.
     met = scratch.table(shared, "shared").join(first.select("h1", "cls"), F.col("h1") == F.col("_h1"))

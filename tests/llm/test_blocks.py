@@ -29,6 +29,19 @@ def test_shared_keys(monkeypatch, limit):
     assert got == {(t, h) for t, lines in held.items() if len(lines) > 1 for h in lines}
 
 
+def test_shared_keys_settle_seldom(monkeypatch):
+    """Different keys of one part: the keys sorted stay within a few times those that come."""
+    monkeypatch.setattr(line_dedup, "KEYS_AT_ONCE", 1 << 10)
+    sorted_keys = []
+    settled = line_dedup._settled
+    monkeypatch.setattr(line_dedup, "_settled", lambda token, line, shared: (sorted_keys.append(sum(map(len, token))), settled(token, line, shared))[1])
+    n = 1 << 18
+    token = np.random.default_rng(4).permutation(n).astype(np.uint64) << np.uint64(20)
+    blocks = [line_dedup._blocks(token[i : i + 1024], np.arange(i, i + 1024), 1) for i in range(0, n, 1024)]
+    assert sum(b.num_rows for b in line_dedup._shared_keys(iter(blocks))) == 0
+    assert sum(sorted_keys) <= 5 * n
+
+
 def test_no_keys():
     assert sum(b.num_rows for b in line_dedup._shared_keys(iter([]))) == 0
 
