@@ -1,90 +1,227 @@
-"""Incidents from a live stream, one state per town.
+"""Incidents from a live stream: keyed state, event-time timers, one town (or all of them) a key.
 
-A message joins the incident its unit is on, else the nearest recent one, else starts one if it is
-typed and well placed, else stays loose.  An incident is cleared 90 minutes after its last message
-and archived, with a row of its own, three hours later; both follow event time.
+A message joins the incident one of its units is on, else one at its venue, else one at its address
+or near it; else it starts one if it says enough, else it stays loose.  An incident is cleared by
+a line that says so or 90 minutes after its last one, and archived three hours later.
+
+Messages wait until the watermark has passed them and are then heard in order of (time, id), so the
+outcome depends on neither batches nor restarts.  Waiting messages, incidents and the unit of each
+are maps in the state store: a batch reads a key's open incidents and writes those that changed.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-UNIT_MS, NEAR_MS = 45 * 60_000, 120 * 60_000
-CLEAR_MS, ARCHIVE_MS = 90 * 60_000, 270 * 60_000
-REACH_M = {"exact": 200.0, "approx": 90.0}
-MOST_UNITS = 24
-OUT = "town string, event string, message string, incident string, how string, at_ms bigint, messages int"
-
-
-def _metres(a: dict, lat: float, lon: float) -> float:
-    mid = math.radians((a["lat"] + lat) / 2)
-    return 111194.92664455873 * math.hypot(lat - a["lat"], (lon - a["lon"]) * math.cos(mid))
-
-
-def retire(state: dict, now: int) -> list[dict]:
-    """Take out the incidents whose time has come; a unit mapped to one is free again."""
-    gone = [i for i in state["incidents"] if now - i["last"] >= ARCHIVE_MS]
-    ids = {i["id"] for i in gone}
-    state["incidents"] = [i for i in state["incidents"] if i["id"] not in ids]
-    state["units"] = {u: i for u, i in state["units"].items() if i not in ids}
-    return gone
-
-
-def attach(state: dict, m: dict) -> tuple[str | None, str]:
-    """Put one message (message, at_ms, unit, lat, lon, call_type, precision) where it belongs."""
-    by_id = {i["id"]: i for i in state["incidents"]}
-    placed = m["lat"] is not None and m["lon"] is not None and (m["lat"], m["lon"]) != (0.0, 0.0)
-    hit, how = by_id.get(state["units"].get(m["unit"])), "unit"
-    if hit is not None and not (m["at_ms"] - hit["last"] < UNIT_MS and len(hit["units"]) < MOST_UNITS):
-        hit = None
-    if hit is None and placed and m["precision"] in REACH_M:
-        how = "near"
-        live = [i for i in state["incidents"] if m["at_ms"] - i["last"] < min(NEAR_MS, CLEAR_MS)]
-        near = sorted((_metres(i, m["lat"], m["lon"]), i["first"], i["id"]) for i in live)
-        if near and near[0][0] < REACH_M[m["precision"]]:
-            hit = by_id[near[0][2]]
-    if hit is None and m["call_type"] and placed and m["precision"] == "exact":
-        how = "new"
-        hit = {"id": f"i-{m['message']}", "first": m["at_ms"], "last": m["at_ms"], "lat": m["lat"], "lon": m["lon"], "units": [], "n": 0}
-        state["incidents"].append(hit)
-    if hit is None:
-        return None, "loose"
-    hit["last"], hit["n"] = max(hit["last"], m["at_ms"]), hit["n"] + 1
-    if m["unit"]:
-        state["units"][m["unit"]] = hit["id"]
-        if m["unit"] not in hit["units"]:
-            hit["units"].append(m["unit"])
-    return hit["id"], how
-
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-    state = json.loads(held.get[0]) if held.exists else {"incidents": [], "units": {}}
-    out = []
-    for batch in batches if not held.hasTimedOut else ():
-        for m in batch.sort_values(["at_ms", "message"]).astype(object).where(lambda d: d.notna(), None).to_dict("records"):
-            incident, how = attach(state, m)
-            out.append((key[0], "message", m["message"], incident, how, m["at_ms"], None))
-    for i in retire(state, held.getCurrentWatermarkMs()):
-        out.append((key[0], "archived", None, i["id"], None, i["last"], i["n"]))
-    if state["incidents"]:
-        held.update((json.dumps(state),))
-        held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs() + 1, min(i["last"] for i in state["incidents"]) + ARCHIVE_MS))
-    elif held.exists:
-        held.remove()
-    yield pd.DataFrame(out, columns=["town", "event", "message", "incident", "how", "at_ms", "messages"])
-
-
-def incidents(messages: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """A row per message (event 'message') and one per archived incident ('archived').
-
-    ``messages`` is a stream with town, message (an id), at, unit, lat, lon, call_type, precision.
-    A town's open incidents are its state; towns are the unit of parallel work.
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+MINUTE = 60_000
+# Fixed values of the rules: how long ago and how far away an incident may be to be joined.
+UNIT_MS, MOST_UNITS = 45 * MINUTE, 24
+PLACE_MS, REACH_M = 120 * MINUTE, {"exact": 200.0, "approx": 90.0}
+VENUE_MS, VENUE_UNTYPED_MS = 25 * MINUTE, 4 * MINUTE
+CLEAR_MS, ARCHIVE_MS = 90 * MINUTE, 180 * MINUTE
+
+MESSAGE = "feed string, units array<string>, call_type string, role string, clear boolean, inherited boolean, lat double, lon double, precision string, matched string, venue string, spot string"
+SCENE = "first_ms bigint, last_ms bigint, ended_ms bigint, feed string, kind string, lat double, lon double, precision string, matched string, venue string, spot string, units array<string>, n int"
+OUT = "town string, event string, message string, incident string, how string, at_ms bigint, kind string, messages int, units int"
+_MESSAGE, _SCENE, _OUT = ([c.split(" ")[0] for c in schema.split(", ")] for schema in (MESSAGE, SCENE, OUT))
+_BETTER = {None: 0, "weak": 1, "approx": 2, "exact": 3}
+
+
+def _metres(a: dict, b: dict) -> float:
+    mid = math.radians((a["lat"] + b["lat"]) / 2)
+    return 111194.92664455873 * math.hypot(b["lat"] - a["lat"], (b["lon"] - a["lon"]) * math.cos(mid))
+
+
+class Town:
+    """The open incidents of one key while a batch is heard; ``changed`` and ``gone`` say what to write back."""
+
+    def __init__(self, scenes: dict[str, dict], units: dict[str, str], ranks: dict[str, int]):
+        self.scenes, self.units, self.ranks = scenes, units, ranks
+        self.changed: set[str] = set()
+        self.gone: set[str] = set()
+        self.moved_units: set[str] = set()
+        self.out: list[dict] = []
+
+    def _tell(self, event: str, name: str | None, at: int, **more) -> None:
+        s = self.scenes.get(name, {})
+        self.out.append({"event": event, "incident": name, "at_ms": at, "kind": s.get("kind"), "messages": s.get("n"), "units": len(s["units"]) if s else None} | more)
+
+    def end(self, name: str, at: int) -> None:
+        """Clear an incident and free its units."""
+        scene = self.scenes[name]
+        scene["ended_ms"] = at
+        self.changed.add(name)
+        for u in scene["units"]:
+            if self.units.get(u) == name:
+                del self.units[u]
+                self.moved_units.add(u)
+        self._tell("cleared", name, at)
+
+    def pass_time(self, now: int) -> None:
+        """Clear and archive, in order of time, what is due strictly before ``now``."""
+        while due := min(((t, name) for name, s in self.scenes.items() if (t := self.due(s)) < now), default=None):
+            at, name = due
+            if self.scenes[name]["ended_ms"] is None:
+                self.end(name, at)
+            else:
+                self._tell("archived", name, at)
+                del self.scenes[name]
+                self.gone.add(name)
+
+    @staticmethod
+    def due(scene: dict) -> int:
+        return scene["last_ms"] + CLEAR_MS if scene["ended_ms"] is None else scene["ended_ms"] + ARCHIVE_MS
+
+    def _by_unit(self, m: dict) -> str | None:
+        for u in m["units"]:
+            name = self.units.get(u)
+            if name and m["at_ms"] - self.scenes[name]["last_ms"] < UNIT_MS and len(self.scenes[name]["units"]) < MOST_UNITS:
+                clash = m["venue"] and self.scenes[name]["venue"] == m["venue"] and self._elsewhere(self.scenes[name], m)
+                return None if clash else name
+        return None
+
+    @staticmethod
+    def _elsewhere(scene: dict, m: dict) -> bool:
+        """Whether both say where in the venue they are, and differ."""
+        return bool(scene["spot"] and m["spot"] and scene["spot"] != m["spot"])
+
+    def _open(self) -> list[tuple[str, dict]]:
+        return sorted(((n, s) for n, s in self.scenes.items() if s["ended_ms"] is None), key=lambda x: (x[1]["first_ms"], x[0]))
+
+    def _by_venue(self, m: dict) -> str | None:
+        best = None
+        for name, s in self._open():
+            age = m["at_ms"] - s["last_ms"]
+            fits = age < VENUE_MS and s["kind"] in (None, m["call_type"]) if m["call_type"] else age < VENUE_UNTYPED_MS and s["feed"] == m["feed"]
+            if s["venue"] == m["venue"] and fits and not self._elsewhere(s, m):
+                score = (bool(m["spot"]) and s["spot"] == m["spot"], s["last_ms"])
+                best = (score, name) if best is None or score > best[0] else best
+        return best[1] if best else None
+
+    def _by_place(self, m: dict) -> tuple[str | None, str]:
+        best = None
+        for name, s in self._open():
+            if s["precision"] == "exact" and not s["venue"] and m["at_ms"] - s["last_ms"] < PLACE_MS:
+                if s["matched"] and s["matched"] == m["matched"]:
+                    return name, "address"
+                far = _metres(s, m)
+                if far < REACH_M[m["precision"]] and (best is None or far < best[0]):
+                    best = (far, name)
+        return (best[1], "near") if best else (None, "")
+
+    def hear(self, m: dict) -> None:
+        """Put one message where it belongs."""
+        self.pass_time(m["at_ms"])
+        m = m | {"units": [u.lower() for u in m["units"] or []]}
+        placed = m["lat"] is not None and m["lon"] is not None
+        if not placed:
+            m |= {"precision": None, "venue": None, "spot": None, "matched": None}
+        name, how = self._by_unit(m), "unit"
+        if name is None and placed and m["precision"] in REACH_M:
+            name, how = (self._by_venue(m), "venue") if m["venue"] else self._by_place(m)
+        if name is None and self._starts(m, placed):
+            name, how = f"i-{m['message']}", "new"
+            self.scenes[name] = {"first_ms": m["at_ms"], "last_ms": m["at_ms"], "ended_ms": None, "units": [], "n": 0} | {c: None for c in ("kind", "spot")} | {c: m[c] for c in ("feed", "lat", "lon", "precision", "matched", "venue")}
+        if name is None:
+            self._tell("message", None, m["at_ms"], message=m["message"], how="loose")
+            return
+        scene = self.scenes[name]
+        self._take(name, scene, m)
+        self._tell("message", name, m["at_ms"], message=m["message"], how=how)
+        if m["clear"]:
+            self.end(name, m["at_ms"])
+
+    @staticmethod
+    def _starts(m: dict, placed: bool) -> bool:
+        told = bool(m["units"]) and m["call_type"] is not None
+        if not placed:
+            return told and m["role"] != "field" and not m["clear"]
+        vague = m["precision"] == "weak" and not told
+        idle = m["venue"] and m["call_type"] is None and not (m["units"] and m["spot"])
+        return not (vague or idle or m["inherited"])
+
+    def _take(self, name: str, scene: dict, m: dict) -> None:
+        scene["last_ms"], scene["n"] = m["at_ms"], scene["n"] + 1
+        rank = lambda kind: self.ranks.get(kind, 0)
+        if m["call_type"] and (scene["kind"] is None or rank(m["call_type"]) > rank(scene["kind"])):
+            scene["kind"] = m["call_type"]
+        if _BETTER.get(m["precision"], 0) > _BETTER.get(scene["precision"], 0):
+            scene |= {c: m[c] for c in ("lat", "lon", "precision", "matched")}
+        if m["venue"] and m["venue"] == scene["venue"] and m["spot"]:
+            scene["spot"] = m["spot"]
+        scene["units"] += [u for u in dict.fromkeys(m["units"]) if u not in scene["units"]]
+        for u in m["units"]:
+            self.units[u] = name
+            self.moved_units.add(u)
+        self.changed.add(name)
+
+
+class _Correlator(StatefulProcessor):
+    def __init__(self, ranks: dict[str, int]):
+        self.ranks = ranks
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at_ms bigint, message string", MESSAGE)
+        self.scenes = handle.getMapState("scenes", "incident string", SCENE)
+        self.units = handle.getMapState("units", "unit string", "incident string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first = None
+        for r in rows:
+            self.waiting.updateValue((r.at_ms, r.message), tuple(r[c] for c in _MESSAGE))
+            first = r.at_ms if first is None else min(first, r.at_ms)
+        if first is not None:
+            self.handle.registerTimer(first + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(((tuple(k), v) for k, v in self.waiting.iterator()), key=lambda x: x[0])
+        due = [(k, v) for k, v in waiting if k[0] < now]
+        scenes = {k[0]: dict(zip(_SCENE, v)) | {"units": list(v[_SCENE.index("units")])} for k, v in self.scenes.iterator()}
+        town = Town(scenes, {k[0]: v[0] for k, v in self.units.iterator()}, self.ranks)
+        for (at, message), v in due:
+            town.hear(dict(zip(_MESSAGE, v)) | {"at_ms": at, "message": message})
+            self.waiting.removeKey((at, message))
+        town.pass_time(now)
+        for name in town.changed - town.gone:
+            self.scenes.updateValue((name,), tuple(scenes[name][c] for c in _SCENE))
+        for name in town.gone:
+            if self.scenes.containsKey((name,)):
+                self.scenes.removeKey((name,))
+        for u in town.moved_units:
+            if u in town.units:
+                self.units.updateValue((u,), (town.units[u],))
+            elif self.units.containsKey((u,)):
+                self.units.removeKey((u,))
+        later = [waiting[len(due)][0][0] + 1] if len(due) < len(waiting) else []
+        if wake := min(later + [town.due(s) + 1 for s in scenes.values()], default=None):
+            self.handle.registerTimer(max(wake, now + 1))
+        for row in town.out:
+            yield Row(**{c: row.get(c) for c in _OUT} | {"town": key[0]})
+
+    def close(self) -> None:
+        pass
+
+
+def incidents(messages: DataFrame, late: str = "10 minutes", ranks: dict[str, int] | None = None) -> DataFrame:
+    """A row per message (event 'message'), cleared and archived incident, from a stream.
+
+    ``messages`` has town, message (an id), at, and the columns of MESSAGE: units in any case, role
+    'field' or another, whether the line clears its incident, whether its place is inherited from
+    earlier talk, precision 'exact', 'approx' or 'weak', a venue and the spot in it.  ``ranks``: an
+    incident takes the kind of highest rank that is said on it.
+
+    A message that comes twice while it waits counts once; one later than ``late`` is dropped.  Null
+    times or ids are dropped, null towns are a town.  Towns are the unit of parallel work; one key for all makes
+    units and places global.  Start it under :func:`beaconlake.streaming.replay.keyed_state`.
     """
-    rows = messages.withWatermark("at", late).selectExpr("town", "message", "at", "unix_millis(at) AS at_ms", "unit", "lat", "lon", "call_type", "precision")
-    return rows.groupBy("town").applyInPandasWithState(_advance, OUT, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = messages.filter("at IS NOT NULL AND message IS NOT NULL").withWatermark("at", late)
+    rows = rows.select("town", "message", "at", F.unix_millis("at").alias("at_ms"), *_MESSAGE)
+    return rows.groupBy("town").transformWithState(_Correlator(ranks or {}), OUT, "append", "eventTime")

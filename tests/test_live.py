@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from beaconlake.sources import archive
-from beaconlake.streaming import incidents, ingest
+from beaconlake.streaming import ingest
 
 T0 = datetime(2024, 3, 5, 12, 0)
 
@@ -103,34 +103,3 @@ def test_stream_to_archive(spark, tmp_path):
     drop(landing, "a.json", [item(i, i) for i in range(5)])
     ingest.to_archive(ingest.normalize(ingest.read_landing(spark, str(landing))).drop("towns"), str(tmp_path / "arc"), str(tmp_path / "ck")).awaitTermination(120)
     assert archive.read_window(spark, str(tmp_path / "arc"), T0, T0 + timedelta(hours=1)).count() == 5
-
-
-def message(name, minute, **more):
-    return {"message": name, "at_ms": minute * 60_000, "unit": None, "lat": 42.0, "lon": -71.0, "call_type": "fire", "precision": "exact"} | more
-
-
-def test_attach_rules():
-    state = {"incidents": [], "units": {}}
-    put = lambda *a, **k: incidents.attach(state, message(*a, **k))
-    assert put("a", 0, unit="E1") == ("i-a", "new")
-    assert put("b", 10, unit="E1", lat=50.0) == ("i-a", "unit")
-    assert put("c", 20, unit="E2", lat=42.001) == ("i-a", "near")
-    assert put("d", 20, lat=42.001, precision="approx", call_type=None) == (None, "loose")  # 111 m, 90 reach
-    assert put("e", 21, precision="weak") == (None, "loose")
-    assert put("f", 22, lat=0.0, lon=0.0) == (None, "loose")
-    assert put("g", 22, lat=43.0) == ("i-g", "new")
-    assert put("h", 65, unit="E1", lat=44.0) == ("i-h", "new")  # 45 minutes after the last message
-    assert [i["id"] for i in incidents.retire(state, (22 + 270) * 60_000)] == ["i-a", "i-g"]
-    assert state["units"] == {"E1": "i-h"}
-
-
-def test_incident_stream(spark, tmp_path):
-    landing = tmp_path / "in"
-    base = {"lat": 42.0, "lon": -71.0, "call_type": "fire", "precision": "exact", "city": "Ayr"}
-    drop(landing, "a.json", [item(1, 0, unit="E1", **base), item(2, 5, unit="E1"), item(3, 6, **{**base, "city": "Bury"})])
-    drop(landing, "b.json", [item(4, 400, **base)])
-    drop(landing, "c.json", [item(5, 420, **base)])
-    stream = ingest.read_landing(spark, str(landing), 1).withColumn("town", F.coalesce("city", F.lit("Ayr"))).withColumn("message", F.col("seq").cast("string"))
-    got = drain(incidents.incidents(stream), "incidents", spark)
-    assert {(r.message, r.incident, r.how) for r in got if r.event == "message"} == {("1", "i-1", "new"), ("2", "i-1", "unit"), ("3", "i-3", "new"), ("4", "i-4", "new"), ("5", "i-4", "near")}
-    assert {(r.incident, r.messages) for r in got if r.event == "archived"} == {("i-1", 2), ("i-3", 1)}
