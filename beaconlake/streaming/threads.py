@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from beaconlake.functions import geo
 from beaconlake.operators import joins
+from beaconlake.operators.spaced import spaced
 
 LINK_MS, LINK_M = 3 * 3_600_000, 3000.0
 MATCH_MS, MATCH_M = 45 * 60_000, 250.0
 QUIET_MS, DROP_MS = 20 * 60_000, 40 * 60_000
 RULE_MS = 7 * 86_400_000
-REARM_MS, FLOOR_MS = 6 * 3_600_000, 4_000
+REARM_MS, FLOOR_MS, STALE_MS = 6 * 3_600_000, 4_000, 180_000
+SOUND_CHUNK_MS, DAY_MS = 3_600_000, 86_400_000
 BOARD = "id string, kind string, headline string, lat double, lon double, priority string, status string, feeds array<string>, first_ms bigint, updated_ms bigint, beats int"
 
 
@@ -92,31 +94,45 @@ def reconcile(board: DataFrame, reports: DataFrame, rules: DataFrame, now_ms: in
 
 
 def alerts(boards: DataFrame) -> DataFrame:
-    """Cards that are news when they show up: boards (board_ms, alert_key, priority, confidence) in, alerts out.
+    """Cards that are news when they show up: boards (board_ms, alert_key, priority, confidence) in, (alert_key, board_ms, high) out.
 
     The first board is the backlog and alerts nothing.  A key alerts when it was not seen alerting for
-    six hours; cards whose confidence is unclear never do.  A board sounds if four seconds have passed
-    since the last sound; the sound of a board with a high card is 'high', of any other 'new'.
+    six hours, the first board counting; cards whose confidence is unclear never do.
     """
     cards = boards.filter(F.coalesce(F.col("confidence") != "unclear", F.lit(True)) & F.col("alert_key").isNotNull())
-    cards = cards.groupBy("alert_key", "board_ms").agg(F.max((F.col("priority") == "high").cast("int")).alias("high"))
+    cards = cards.groupBy("alert_key", "board_ms").agg(F.max(F.coalesce((F.col("priority") == "high").cast("int"), F.lit(0))).alias("high"))
     first = boards.agg(F.min("board_ms").alias("_primed"))
-    # Whether a key alerts depends on when it last did: its times are folded in order, one key at a time.
-    times = F.array_sort(F.collect_list(F.struct("board_ms", "high")))  # the boards that show one key
+    fires = spaced(cards, ["alert_key"], "board_ms", REARM_MS)
+    fired = cards.join(fires, ["alert_key", "board_ms"]).crossJoin(F.broadcast(first))  # one row
+    return fired.filter("board_ms > _primed").drop("_primed")
 
-    def fold(done: Column, row: Column) -> Column:
-        fires = done["last"].isNull() | (row["board_ms"] - done["last"] >= REARM_MS)
-        out = F.struct(row["board_ms"].alias("board_ms"), row["high"].alias("high"))
-        return F.struct(F.when(fires, row["board_ms"]).otherwise(done["last"]).alias("last"), F.when(fires, F.concat(done["fired"], F.array(out))).otherwise(done["fired"]).alias("fired"))
 
-    zero = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<struct<board_ms:bigint,high:int>>").alias("fired"))
-    fired = cards.groupBy("alert_key").agg(F.aggregate(times, zero, fold)["fired"].alias("_f")).select("alert_key", F.explode("_f").alias("x")).select("alert_key", "x.board_ms", "x.high")
-    return fired.crossJoin(F.broadcast(first)).filter("board_ms > _primed").drop("_primed")  # one row
+def sounds(fired: DataFrame, mode: str = "all") -> DataFrame:
+    """(board_ms, cue) of the boards that sound, of those that alert.
+
+    A board sounds if four seconds have passed since the last one that did: 'high' with a high
+    card, else 'new'.  Mode 'high' leaves out boards without a high card, 'off' all.
+    """
+    boards = fired.groupBy("board_ms").agg(F.max("high").alias("_high")).filter({"all": "true", "high": "_high = 1", "off": "false"}[mode])
+    heard = spaced(boards, [], "board_ms", FLOOR_MS, SOUND_CHUNK_MS)
+    return heard.join(boards, "board_ms").select("board_ms", F.when(F.col("_high") == 1, "high").otherwise("new").alias("cue"))
 
 
-def sounds(fired: DataFrame) -> DataFrame:
-    """(board_ms, cue) of the boards that sound; the floor between sounds is kept inside each minute and against the one before."""
-    boards = fired.groupBy("board_ms").agg(F.max("high").alias("high"))
-    w = Window.partitionBy(F.floor(F.col("board_ms") / REARM_MS)).orderBy("board_ms")
-    spaced = F.lag("board_ms").over(w).isNull() | (F.col("board_ms") - F.lag("board_ms").over(w) >= FLOOR_MS)
-    return boards.withColumn("_ok", spaced).filter("_ok").select("board_ms", F.when(F.col("high") == 1, "high").otherwise("new").alias("cue"))
+def stale(polls: DataFrame) -> DataFrame:
+    """(poll_ms, since_ms) of the polls that call the feed stale, once an outage.
+
+    ``polls``: poll_ms, ok, board_ms (when the board was made).  A poll is good if it is ok and its board, if dated, is at
+    most three minutes old.  A poll that isn't is dark at once if its board tells that it is older, or
+    else if the last good poll (the first poll of all, before any) is over three minutes past.
+    """
+    old = F.coalesce(F.col("poll_ms") - F.col("board_ms") > STALE_MS, F.lit(False))
+    each = polls.select("poll_ms", F.coalesce("ok", F.lit(False)).alias("_ok"), old.alias("_old")).withColumn("_good", F.col("_ok") & ~F.col("_old")).withColumn("_day", F.floor(F.col("poll_ms") / DAY_MS))
+    first = polls.agg(F.min("poll_ms").alias("_first"))
+    # The last good poll of the days before comes from one row a day; inside a day it is a window.
+    days = each.groupBy("_day").agg(F.max(F.when(F.col("_good"), F.col("poll_ms"))).alias("_last"))
+    carried = days.select(F.col("_day").alias("_d"), F.max("_last").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    here = F.max(F.when(F.col("_good"), F.col("poll_ms"))).over(Window.partitionBy("_day").orderBy("poll_ms").rangeBetween(Window.unboundedPreceding, -1))
+    known = each.withColumn("_here", here).join(carried, F.col("_day") == F.col("_d")).crossJoin(F.broadcast(first))  # one row
+    since = F.coalesce("_here", "_carried")
+    dark = known.filter(~F.col("_good")).filter(F.col("_old") | (F.col("poll_ms") - F.coalesce(since, "_first") > STALE_MS))
+    return dark.groupBy(since.alias("since_ms")).agg(F.min("poll_ms").alias("poll_ms")).select("poll_ms", "since_ms")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beaconlake.functions import localtime, scoring, spoken, text as tx
-from beaconlake.operators import ordered, questions, scenes, tracks
+from beaconlake.operators import ordered, questions, scenes, spaced, tracks
 from beaconlake.plans import desk
 from beaconlake.sources import archive
 from beaconlake.streaming import ingest, stops, threads
@@ -161,6 +161,46 @@ def test_alerts(spark):
     assert sorted(((r.board_ms - T0) // 1000, r.cue) for r in threads.sounds(fired).collect()) == [(1, "new"), (7 * 3600, "high")]
 
 
+def one_by_one(times, floor):
+    kept = []
+    for t in sorted(set(times)):
+        if not kept or t - kept[-1] >= floor:
+            kept.append(t)
+    return kept
+
+
+@pytest.mark.parametrize("chunk,n", [(4_000, 2_000), (60_000, 10_000), (3_600_000, 2_000), (None, 5), (None, 0)])
+def test_spaced_is_one_fold(spark, chunk, n):
+    """Board after board, dense and with gaps, over several levels of chunks; keys of their own, one of them null."""
+    rng = random.Random(n)
+    rows, at = [], T0 - 777
+    for _ in range(n):
+        at += rng.choice([0, 1, 900, 1500, 3999, 4000, 4001, rng.randrange(6000), 90_000 * (rng.random() < 0.01)])
+        rows.append((at, rng.choice(["a", "b", "b", None])))
+    df = spark.createDataFrame(rows, "t bigint, k string").repartition(4)
+    assert sorted(r.t for r in spaced.spaced(df, [], "t", 4000, chunk).collect()) == one_by_one([t for t, _ in rows], 4000)
+    got = spaced.spaced(df, ["k"], "t", 4000, chunk).collect()
+    for key in ("a", "b", None):
+        assert sorted(r.t for r in got if r.k == key) == one_by_one([t for t, k in rows if k == key], 4000)
+
+
+def test_sounds_against_the_last_sound(spark):
+    """Boards three seconds apart sound every second time, over the edge of a chunk too; modes leave boards out."""
+    at = [3_600_000 * 6 - 6000 + 3000 * i for i in range(5)] + [3_600_000 * 30 + 2000 * i for i in range(4)]
+    fired = spark.createDataFrame([("k", t, int(t % 9000 == 0)) for t in at], "alert_key string, board_ms bigint, high int")
+    assert sorted(r.board_ms for r in threads.sounds(fired).collect()) == [at[0], at[2], at[4], at[5], at[7]]
+    assert sorted((r.board_ms, r.cue) for r in threads.sounds(fired, "high").collect()) == [(t, "high") for t in one_by_one([t for t in at if t % 9000 == 0], 4000)]
+    assert threads.sounds(fired, "off").collect() == []
+
+
+def test_stale_once(spark):
+    m = 60_000
+    rows = [(0, False, None), (2 * m, False, None), (4 * m, False, None), (5 * m, None, None), (6 * m, True, None), (8 * m, False, None), (10 * m, False, None), (11 * m, False, None), (12 * m, True, 11 * m), (13 * m, True, 9 * m), (14 * m, True, 9 * m)]
+    rows += [(2000 * m, False, None), (2001 * m, True, 2001 * m), (4500 * m, False, None)]
+    got = threads.stale(spark.createDataFrame(rows, "poll_ms bigint, ok boolean, board_ms bigint")).collect()
+    assert sorted((r.poll_ms // m, r.since_ms and r.since_ms // m) for r in got) == [(4, None), (10, 6), (13, 12), (4500, 2001)]
+
+
 NOW = datetime(2024, 3, 13, 14, 30, tzinfo=questions.ZONE)  # a Wednesday afternoon, three days after the clocks went forward
 
 
