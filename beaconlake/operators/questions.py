@@ -1,13 +1,16 @@
 """Questions to the archive: what a short text asks for, and the score of a call against it.
 
-A question is read once, on the driver; what it asks becomes Columns.
+A question is read once, on the driver; what it asks becomes Columns.  Time is read by a small
+grammar over the words: a day, a part of it, a number of units, a date.  What else can be asked for
+is given as a :class:`Vocabulary`.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from dataclasses import dataclass
+from calendar import day_name, month_abbr, month_name
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, field
 from datetime import datetime, time, timedelta, timezone
 from zoneinfo import ZoneInfo
 
@@ -18,32 +21,19 @@ from beaconlake.functions import geo
 from beaconlake.functions import text as tx
 
 ZONE = ZoneInfo("America/New_York")
+HOUR = timedelta(hours=1)
 
-# Our own vocabulary of kinds, the specific before the general, and which kinds are kin.
-KINDS = {
-    "death": "bod(?:y|ies)|deceased|fatal|drown(?:ed|ing)",
-    "shooting": "shootings?|shots? fired|gunfire|(?:party|person|victim) shot",
-    "stabbing": "stabbings?|stabbed|knife",
-    "fire": "fires?|smoke|alarm",
-    "crash": "crash(?:es)?|collisions?|pedestrian struck",
-    "pursuit": "pursuits?|chases?|fleeing",
-    "robbery": "robber(?:y|ies)|burglar(?:y|ies)",
-    "search": "search|missing|dive team",
-    "disturbance": "disturbances?|fight(?:s|ing)?|assaults?",
-    "medical": "medical|ambulance|overdose|unresponsive",
-}
-KIN = {"death": ("medical", "search"), "shooting": ("medical", "death"), "stabbing": ("medical", "death"), "crash": ("medical",), "robbery": ("disturbance",), "disturbance": ("robbery",), "medical": ("death",)}
-BIG = r"\b(big|biggest|major|serious|worst)\b"
-SUFFIX = {"street": "st", "road": "rd", "avenue": "ave", "square": "sq", "lane": "ln", "bridge": None, "park": None, "station": None}
-STOP = frozenset("a an and any are at by did do for from find get give had happened has have how i in is it me near now of on or our please right show that the there this to us was were what when where which who with".split())
-#: Words that only say when.
-WHEN = frozenset(
-    "last night tonight yesterday today morning afternoon evening overnight weekend week month hour hours minute minutes day days past previous since midnight ago earlier currently moment few couple several one two three four five six eight ten twelve "
-    "monday tuesday wednesday thursday friday saturday sunday jan january feb february mar march apr april may jun june jul july aug august sep sept september oct october nov november dec december".split()
-)
-_COUNTS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "eight": 8, "ten": 10, "twelve": 12, "few": 3, "couple": 2, "couple of": 2, "several": 4}
-_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
-_DAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
+# The hours of the parts of a day, the longest length, and the window of a question that names none.
+PARTS = {"morning": (0, 12), "afternoon": (12, 18), "evening": (18, 30), "night": (18, 30)}
+LONGEST = timedelta(days=30)
+UNNAMED = timedelta(days=2)
+
+_DAYS = [d.lower() for d in day_name]
+_MONTHS = [m.lower() for m in month_abbr]
+_UNITS = {"min": HOUR / 60, "minute": HOUR / 60, "hr": HOUR, "hour": HOUR, "day": 24 * HOUR, "week": 7 * 24 * HOUR, "month": LONGEST}
+_NUMBERS = {w: n for n, w in enumerate("no one two three four five six seven eight nine ten eleven twelve".split())} | {"a": 1, "an": 1, "couple": 2, "few": 3, "several": 4}
+_BACK = {"last", "past", "previous"}
+_TOKEN = re.compile(r"\d{4}-\d\d-\d\d|\d+/\d+(?:/\d+)*|\d+[a-z]*|[a-z]+")
 
 
 @dataclass(frozen=True)
@@ -66,6 +56,22 @@ class Place:
     metres: float
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """What questions name besides time.
+
+    ``kinds``: a pattern for each kind of call, those that hold first before others; ``kin``: kinds
+    that a call of another kind may stand for; ``big``: pattern of words that ask for the serious ones;
+    ``suffixes``: the last word of a street's name and how it is cut short; ``filler``: words that ask for nothing.
+    """
+
+    kinds: Mapping[str, str] = field(default_factory=dict)
+    kin: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
+    big: str = r"(?!)"
+    suffixes: Mapping[str, str] = field(default_factory=dict)
+    filler: frozenset[str] = frozenset()
+
+
 @dataclass(frozen=True)
 class Asked:
     """A parsed question."""
@@ -77,148 +83,174 @@ class Asked:
     phrases: tuple[tuple[str, ...], ...] = ()
     words: tuple[str, ...] = ()
     big: bool = False
+    vocabulary: Vocabulary = Vocabulary()
 
     @property
     def count(self) -> int:
         return sum(x is not None for x in (self.kind, self.landmark, self.place)) + len(self.phrases) + len(self.words)
 
 
-def _local(day: datetime, hour: int = 0) -> datetime:
-    return datetime.combine(day.date(), time(hour), ZONE)
-
-
-def _back(now: datetime, days: int) -> datetime:
-    return now - timedelta(days=days)  # the same time of an earlier day
-
-
-def _ago(now: datetime, length: timedelta) -> datetime:
-    """The instant ``length`` before, whatever the clocks did between."""
-    return (now.astimezone(timezone.utc) - length).astimezone(ZONE)
-
-
-def _day(now: datetime, back: int, first: int = 0, last: int = 24) -> tuple[datetime, datetime]:
-    """Hours ``first`` to ``last`` of the local day ``back`` days ago."""
-    day = _local(_back(now, back))
-    return _at_hour(day, first), _at_hour(day, last)
-
-
-def _at_hour(day: datetime, hour: int) -> datetime:
-    return _local(day + timedelta(days=hour // 24), hour % 24)
-
-
-def _night(now: datetime, back: int) -> tuple[datetime, datetime]:
-    return _day(now, back, 18, 30)
+class _Clock:
+    """Days and lengths counted from one instant in ZONE."""
+
+    def __init__(self, now: datetime):
+        self.now = now.astimezone(ZONE)
+
+    def hours(self, day: datetime, first: int, last: int) -> tuple[datetime, datetime]:
+        """Hours of a local day, beyond 24 those of the next, whatever the clocks do in it."""
+        at = lambda h: datetime.combine(day.date() + timedelta(days=h // 24), time(h % 24), ZONE)
+        return at(first), at(last)
+
+    def back(self, days: int) -> datetime:
+        return self.now - timedelta(days=days)
+
+    def length(self, span: timedelta, label: str) -> Span:
+        """The time up to now, of so many seconds."""
+        start = (self.now.astimezone(timezone.utc) - span).astimezone(ZONE)
+        return Span(start, self.now, label)
+
+    def day(self, back: int, label: str, part: str = "") -> Span:
+        """A day or a part of it."""
+        return Span(*self.hours(self.back(back), *PARTS.get(part, (0, 24))), label)
+
+    def so_far(self, span: Span) -> Span:
+        """A window up to now, if now is in it."""
+        return Span(span.start, self.now if span.start <= self.now < span.end else span.end, span.label)
+
+    def date(self, year: int, month: int, day: int, label: str | None = None) -> Span:
+        """A date; a day past the end of its month runs on into the next."""
+        start, end = self.hours(datetime(year, month, 1, tzinfo=ZONE) + timedelta(days=day - 1), 0, 24)
+        return Span(start, end, label or f"{_MONTHS[month]} {day}")
+
+    def recent_date(self, month: int, day: int) -> Span:
+        """The latest date of a month and day that is not ahead."""
+        return self.date(self.now.year - ((month, day) > (self.now.month, self.now.day)), month, day)
+
+    def recent_number(self, day: int) -> Span:
+        """The latest day of this number, of this month or the last."""
+        month = self.now if day <= self.now.day else self.now.replace(day=1) - timedelta(days=1)
+        return self.date(month.year, month.month, day)
+
+    def night(self) -> Span:
+        """The night that began yesterday."""
+        return Span(*self.hours(self.back(1), *PARTS["night"]), "last night")
+
+    def tonight(self) -> Span:
+        """The night that is on; by day the one that was."""
+        if self.now.hour >= 18:
+            return Span(*self.hours(self.now, *PARTS["night"]), "tonight")
+        return Span(self.night().start, self.night().end, "tonight" if self.now.hour < 6 else "last night")
+
+
+def _day_number(word: str, bare: bool) -> int | None:
+    m = re.fullmatch(r"(\d{1,2})(st|nd|rd|th)?", word)
+    return int(m[1]) if m and 1 <= int(m[1]) <= 31 and (m[2] or bare) else None
+
+
+def _length(words: list[str], clock: _Clock) -> Span | None:
+    """``last 6 hours``, ``past couple of days``, ``last week``: the words behind the first."""
+    rest = words[1:5]
+    amount, said = 1, []
+    if rest and (rest[0].isdigit() and len(rest[0]) <= 3 or rest[0] in _NUMBERS):
+        amount = int(rest[0]) if rest[0].isdigit() else _NUMBERS[rest[0]]
+        said, rest = rest[:1], rest[1:]
+        if rest[:1] == ["of"] and said == ["couple"]:
+            said, rest = [*said, "of"], rest[1:]
+    unit = _UNITS.get(rest[0].removesuffix("s")) if rest else None
+    if unit is None:
+        return None
+    span = min(LONGEST, max(HOUR / 60, amount * unit))
+    if (amount, rest[0]) in ((7, "days"), (30, "days")):
+        return clock.length(span, "the last week" if amount == 7 else "the last month")
+    return clock.length(span, " ".join(["the last", *said, rest[0]]))
+
+
+def _readings(words: list[str], clock: _Clock) -> Iterator[tuple[int, Span]]:
+    """Every time that the words name, with how little it says: 0 a part of a day, a length or a date, 1 a day, 2 a name that recurs."""
+    for i, word in enumerate(words):
+        after = words[i + 1] if i + 1 < len(words) else ""
+        if word == "overnight" or (word in ("last", "yesterday") and after == "night"):
+            yield 0, clock.night()
+        elif word == "tonight" or (word, after) == ("this", "evening"):
+            yield 0, clock.tonight()
+        elif word in ("yesterday", "this") and after in PARTS:
+            yield 0, clock.so_far(clock.day(int(word == "yesterday"), f"{word} {after}", after))
+        elif word == "yesterday":
+            yield 1, clock.day(1, word)
+        elif word in ("today", "midnight"):
+            yield 1, clock.so_far(clock.day(0, "today"))
+        elif word == "weekend":
+            saturday = clock.back((clock.now.weekday() - _DAYS.index("saturday")) % 7)
+            yield 1, clock.so_far(Span(*clock.hours(saturday, 0, 48), "the weekend"))
+        elif word in _BACK and (span := _length(words[i:], clock)):
+            yield 0, span
+        elif word == "currently" or (word, after) in (("right", "now"), ("still", "going"), ("the", "moment")):
+            yield 0, clock.length(HOUR, "the last hour")
+        elif m := re.fullmatch(r"(\d{4})-(\d\d)-(\d\d)", word):
+            if 1 <= int(m[2]) <= 12 and 1 <= int(m[3]) <= 31:
+                yield 0, clock.date(int(m[1]), int(m[2]), int(m[3]), word)
+        elif m := re.fullmatch(r"(\d{1,2})/(\d{1,2})", word):
+            if 1 <= int(m[1]) <= 12 and 1 <= int(m[2]) <= 31:
+                yield 0, clock.recent_date(int(m[1]), int(m[2]))
+        elif word[:3] in _MONTHS[1:] and (day := _day_number(after, bare=True)):
+            yield 0, clock.recent_date(_MONTHS.index(word[:3]), day)
+        elif (day := _day_number(word, bare=False)) and words[i - 1][:3] not in _MONTHS[1:]:
+            yield 1, clock.recent_number(day)
+        elif word in _DAYS:
+            yield 2, clock.day((clock.now.weekday() - _DAYS.index(word)) % 7, word)
 
 
 def time_span(question: str, now: datetime) -> Span:
-    """The window a question names, by the forms below in order; without one the last two days, not named.
+    """The window a question names: of all it names the one that says most, the first of equals; without one the last two days, not named.
 
     A night runs from 18 to 6 local time; a date later in the year than today is last year's, a day
-    number later than today last month's.
+    number later than today last month's.  A weekday is the latest, today's included.
     """
-    now = now.astimezone(ZONE)
-    q = question.lower()
-    for pattern, read in _FORMS:
-        if m := re.search(pattern, q):
-            start, end, label = read(m, now)
-            return Span(start, end, label)
-    return Span(_ago(now, timedelta(days=2)), now, "the last two days", named=False)
-
+    clock = _Clock(now)
+    found = sorted(_readings(_TOKEN.findall(question.lower()), clock), key=lambda x: x[0])
+    if found:
+        return found[0][1]
+    unnamed = clock.length(UNNAMED, "the last two days")
+    return Span(unnamed.start, unnamed.end, unnamed.label, named=False)
 
-def _tonight(m: re.Match, now: datetime):
-    on = now.hour >= 18
-    return *_night(now, 0 if on else 1), "tonight" if on or now.hour < 6 else "last night"
 
+_MOMENTS = frozenset("ago currently earlier midnight moment now overnight since today tonight weekend yesterday".split())
 
-def _weekend(m: re.Match, now: datetime):
-    start, _ = _day(now, (now.weekday() + 2) % 7)
-    return start, min(now, _at_hour(start, 48)), "the weekend"
 
+def _says_when(word: str) -> bool:
+    """Whether a word only tells time: a unit, a number, a name of a day or month, or their like."""
+    one = word.removesuffix("s")
+    month = any(name.lower().startswith(word) and len(word) >= 3 for name in month_name[1:]) or word == "sept"
+    return one in _UNITS or one in _NUMBERS or word in _BACK or word in PARTS or word in _DAYS or word in _MOMENTS or month or word.isdigit() or _day_number(word, bare=True) is not None
 
-def _lately(m: re.Match, now: datetime):
-    n = int(m[1]) if m[1].isdigit() else _COUNTS.get(m[1], 1)
-    unit = {"d": timedelta(days=1), "h": timedelta(hours=1), "m": timedelta(minutes=1)}[m[2][0]]
-    length = min(timedelta(days=30), max(timedelta(minutes=1), n * unit))
-    return _ago(now, length), now, f"the last {m[1]} {m[2]}"
 
-
-def _date(year: int, month: int, day: int) -> tuple[datetime, datetime]:
-    start = datetime(year, month, 1, tzinfo=ZONE) + timedelta(days=day - 1)  # a day past the month's end runs on
-    return _local(start), _at_hour(_local(start), 24)
-
-
-def _iso(m: re.Match, now: datetime):
-    return *_date(int(m[1]), int(m[2]), int(m[3])), m[0]
-
-
-def _month_day(month: int, day: int, now: datetime):
-    year = now.year - ((month, day) > (now.month, now.day))
-    return *_date(year, month, day), f"{_MONTHS[month - 1]} {day}"
-
-
-def _ordinal(m: re.Match, now: datetime):
-    day = int(m[1])
-    last = now.replace(day=1) - timedelta(days=1) if day > now.day else now
-    return *_date(last.year, last.month, day), f"{_MONTHS[last.month - 1]} {day}"
-
-
-def _weekday(m: re.Match, now: datetime):
-    back = (now.weekday() - _DAYS.index(m[1])) % 7
-    return *_day(now, back), m[1]
-
-
-def _until(days: int, label: str) -> Callable:
-    return lambda m, now: (_ago(now, timedelta(days=days)), now, label)
-
-
-_FORMS: list[tuple[str, Callable]] = [
-    (r"\blast night\b|\byesterday night\b|\bovernight\b", lambda m, now: (*_night(now, 1), "last night")),
-    (r"\btonight\b|\bthis evening\b", _tonight),
-    (r"\byesterday afternoon\b", lambda m, now: (*_day(now, 1, 12, 18), "yesterday afternoon")),
-    (r"\byesterday morning\b", lambda m, now: (*_day(now, 1, 0, 12), "yesterday morning")),
-    (r"\byesterday\b", lambda m, now: (*_day(now, 1), "yesterday")),
-    (r"\bthis morning\b", lambda m, now: (*_day(now, 0, 0, 12), "this morning")),
-    (r"\bthis afternoon\b", lambda m, now: (_day(now, 0, 12, 18)[0], min(now, _day(now, 0, 12, 18)[1]), "this afternoon")),
-    (r"\btoday\b|\bsince midnight\b", lambda m, now: (_day(now, 0)[0], now, "today")),
-    (r"\bweekend\b", _weekend),
-    (r"\blast (?:week|7 days)\b|\bpast week\b", _until(7, "the last week")),
-    (r"\blast (?:month|30 days)\b|\bpast month\b", _until(30, "the last month")),
-    (r"\b(?:last|past|previous)\s+(\d{1,3}|a|an|one|two|three|four|five|six|eight|ten|twelve|few|couple(?: of)?|several)\s+(hours?|hrs?|minutes?|mins?|days?)\b", _lately),
-    (r"\b(?:last|past) hour\b|\bright now\b|\bcurrently\b|\bat the moment\b|\bstill going\b", lambda m, now: (_ago(now, timedelta(hours=1)), now, "the last hour")),
-    (r"\b(\d{4})-(0[1-9]|1[0-2])-([0-2]\d|3[01])\b", _iso),
-    (r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(0?[1-9]|[12]\d|3[01])(?:st|nd|rd|th)?\b", lambda m, now: _month_day(_MONTHS.index(m[1]) + 1, int(m[2]), now)),
-    (r"(?<![\d/])(0?[1-9]|1[0-2])/(0?[1-9]|[12]\d|3[01])(?![\d/])", lambda m, now: _month_day(int(m[1]), int(m[2]), now)),
-    (r"\b(?:the\s+)?(0?[1-9]|[12]\d|3[01])(?:st|nd|rd|th)\b", _ordinal),
-    (rf"\b({'|'.join(_DAYS)})\b", _weekday),
-]
-
-
-def parse(question: str, now: datetime, places: list[Place] = (), landmarks: list[Place] = ()) -> Asked:
+def parse(question: str, now: datetime, places: list[Place] = (), landmarks: list[Place] = (), vocabulary: Vocabulary = Vocabulary()) -> Asked:
     """What a question asks for: window, kind, landmark, place, named streets, up to eight words, and whether the big ones are wanted.
 
     Whatever names a thing is used up by it: a landmark takes the place it lies in, a name with its
     suffix is one phrase in both spellings, and words of time, kind or size are no search words.
     """
     lower = question.lower()
-    flat = f" {' '.join(re.findall('[a-z0-9]+', lower))} "
-    hit = next(((k, m) for k, p in KINDS.items() if (m := re.search(rf"\b(?:{p})\b", lower))), None)
-    kind = hit[0] if hit else None
-    first = lambda known: next(((p, n) for p in known for n in p.names if f" {n} " in flat), (None, ""))
-    landmark, as_landmark = first(landmarks)
-    place, as_place = first(places)
-    if landmark and place and any(as_place in n for n in landmark.names):
+    tokens = re.findall("[a-z0-9]+", lower)
+    flat = f" {' '.join(tokens)} "
+    said = {kind: m for kind, pattern in vocabulary.kinds.items() if (m := re.search(rf"\b(?:{pattern})\b", lower))}
+    kind = next(iter(said), None)
+    named = lambda known: next(((p, n) for p in known for n in p.names if f" {n} " in flat), (None, ""))
+    (landmark, as_landmark), (place, as_place) = named(landmarks), named(places)
+    if landmark and any(as_place and as_place in n for n in landmark.names):
         place, as_place = None, ""
-    used = set(as_landmark.split()) | set(as_place.split()) | (set(re.findall("[a-z0-9]+", hit[1][0])) if hit else set())
-    used |= {w for m in re.finditer(BIG, lower) for w in m[0].split()} | WHEN
-    used |= set(re.findall(r"\b\d{1,4}(?:st|nd|rd|th)?\b", lower))
-    kin = re.compile(rf"(?:{KINDS[kind]})$") if kind else None
-    plain = lambda w: len(w) > 2 and w not in STOP and w not in used and w not in SUFFIX and not (kin and kin.match(w))
-    tokens = flat.split()
-    named = [(a, b) for a, b in zip(tokens, tokens[1:]) if b in SUFFIX and plain(a)]
-    spent = {w for pair in named for w in pair}
-    words = tuple(dict.fromkeys(w for w in tokens if plain(w) and w not in spent))[:8]
-    phrases = tuple((f"{a} {b}", *([f"{a} {SUFFIX[b]}"] if SUFFIX[b] else [])) for a, b in named)
-    return Asked(time_span(question, now), kind, landmark, place, phrases, words, bool(re.search(BIG, lower)))
+    used = {*as_landmark.split(), *as_place.split(), *(said[kind][0].split() if kind else ())}
+    big = re.compile(vocabulary.big)
+
+    def asks(word: str) -> bool:
+        of_kind = kind is not None and re.fullmatch(vocabulary.kinds[kind], word)
+        return len(word) > 2 and not (word in used or word in vocabulary.filler or word in vocabulary.suffixes or of_kind or big.fullmatch(word) or _says_when(word))
+
+    streets = [(a, b) for a, b in zip(tokens, tokens[1:]) if b in vocabulary.suffixes and asks(a)]
+    spent = {w for street in streets for w in street}
+    words = list(dict.fromkeys(w for w in tokens if w not in spent and asks(w)))
+    phrases = tuple(tuple(dict.fromkeys((f"{a} {b}", f"{a} {vocabulary.suffixes[b]}"))) for a, b in streets)
+    return Asked(time_span(question, now), kind, landmark, place, phrases, tuple(words[:8]), any(map(big.fullmatch, tokens)), vocabulary)
 
 
 def score(asked: Asked, *, hay: Column, words: Column, label: Column, lat: Column, lon: Column, vague: Column, high: Column, tier: Column, alarm: Column) -> Column:
@@ -228,15 +260,16 @@ def score(asked: Asked, *, hay: Column, words: Column, label: Column, lat: Colum
     landmark 7 said or 6 nearby, a place 5 or 4, a phrase 8, a word 3, a word one edit away 2; the
     share of what was asked multiplies.  A call that names none of the named things is no answer.
     """
+    # The points.
     zero, one = F.lit(0.0), F.lit(1)
     serious = F.when(high, 3).otherwise(0) + F.when(tier >= 2, 2).otherwise(0) + F.when(alarm > 0, 2).otherwise(0)
     if not asked.count:
         return one + (serious + F.when(tier >= 3, 2).otherwise(0) if asked.big else F.lit(0)) + zero
     points, hits, named, ok, kin = F.lit(0), F.lit(0), F.lit(0), F.lit(True), F.lit(False)
     if asked.kind:
-        pattern = tx.bounded(KINDS[asked.kind])
+        pattern = tx.bounded(asked.vocabulary.kinds[asked.kind])
         own, said = (label == asked.kind) | F.coalesce(label.rlike(pattern), F.lit(False)), hay.rlike(pattern)
-        related = F.coalesce(label.isin(*KIN.get(asked.kind, ("",))), F.lit(False)) & ~own & ~said
+        related = F.coalesce(label.isin(*asked.vocabulary.kin.get(asked.kind, ("",))), F.lit(False)) & ~own & ~said
         points, hits, kin, ok = points + F.when(F.coalesce(own, F.lit(False)), 10).when(said, 5).otherwise(0), hits + F.when(F.coalesce(own, F.lit(False)) | said, 1).otherwise(0), related, F.coalesce(own, F.lit(False)) | said | related
     for thing, spoken, nearby in ((asked.landmark, 7, 6), (asked.place, 5, 4)):
         if thing:

@@ -137,6 +137,7 @@ WORDS = ("the", "and", "tion", "thonin", "eses")
 
 def has_word(words: Column, word: str) -> Column:
     """Whether a list of words has one, give or take a plural."""
+    # Which endings count as a plural.
     tried = [word, word + "s"] + ([word + "es"] if len(word) > 2 else []) + ([word[:-2]] if len(word) > 3 and word.endswith("es") else []) + ([word[:-1]] if len(word) > 3 and word.endswith("s") else [])
     return F.arrays_overlap(words, F.array(*map(F.lit, tried)))
 
@@ -183,18 +184,14 @@ _LOCAL = """timezone('America/New_York', timezone('UTC', "at"))"""
 
 
 def alert_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Alert keys: kind and a cell of a hundredth of a degree, else the kind and a slug of the place, else the first six telling words."""
+    """Alert keys: kind and a cell of a hundredth of a degree, else the kind and a slug of the place, else the first six words of four letters or more."""
     c = calls(spark, sf)
     cell = F.concat(F.format_string("%.2f", "lat"), F.lit(","), F.format_string("%.2f", "lon"))
-    stop = ("the", "a", "an", "at", "in", "on", "of", "to", "and", "for", "with", "is", "are", "after", "near")
-    words = F.slice(F.filter(tx.tokens(F.col("text")), lambda w: ~w.isin(*stop)), 1, 6)
+    words = F.slice(F.filter(tx.tokens(F.col("text")), lambda w: F.length(w) > 3), 1, 6)
     key = F.when(F.col("k") >= 60, cell).when(F.col("k") >= 30, tx.slug(F.col("street"))).otherwise(F.concat(F.lit("nowhere|"), F.array_join(words, "-")))
     return c.groupBy(F.concat(F.lower("call_type"), F.lit("|"), key).alias("alert_key")).agg(F.count("*").alias("n"), F.min("at_us").alias("first_us"))
 
 
-_STOP = "'the', 'a', 'an', 'at', 'in', 'on', 'of', 'to', 'and', 'for', 'with', 'is', 'are', 'after', 'near'"
-
-
 def scene_kinds(spark: SparkSession, sf: str) -> DataFrame:
     """The kind of each street's day from the words that fell, the first that holds."""
     said = lambda p: F.max(F.col("text").rlike(rf"\b(?:{p})\b"))
@@ -340,7 +337,7 @@ QUERIES: dict[str, Query] = {
     ),
     "alert_cells": Query(
         alert_cells, ("F24", "F25"),
-        f"""WITH {CALLS_SQL}, w AS (SELECT *, list_filter(list_filter(string_split({_PLAIN}, ' '), lambda x: x <> ''), lambda x: x NOT IN ({_STOP}))[1:6] AS words FROM calls)
+        f"""WITH {CALLS_SQL}, w AS (SELECT *, list_filter(list_filter(string_split({_PLAIN}, ' '), lambda x: x <> ''), lambda x: length(x) > 3)[1:6] AS words FROM calls)
         SELECT lower(call_type) || '|' || CASE WHEN k >= 60 THEN printf('%.2f', lat) || ',' || printf('%.2f', lon) WHEN k >= 30 THEN replace(street, ' ', '-') ELSE 'nowhere|' || array_to_string(words, '-') END AS alert_key, count(*) AS n, min(at_us) AS first_us FROM w GROUP BY 1""",
     ),
     "scene_kinds": Query(

@@ -18,12 +18,20 @@ MINUTE = 60_000_000
 PRESENT = datetime(2024, 1, 31, 3, 0, tzinfo=timezone.utc)
 PLACES = [questions.Place(("harlow", "harlow hill"), 42.38, -71.05, 3000.0), questions.Place(("dunmore",), 42.30, -71.10, 2500.0)]
 LANDMARKS = [questions.Place(("ivyton bridge", "the bridge"), 42.42, -70.98, 1500.0)]
+#: The kinds of line that the calls are made of.
+VOCABULARY = questions.Vocabulary(
+    kinds={"shooting": "shots fired|gun", "stabbing": "stabbing", "fire": "fires?|alarm", "crash": "crash|struck", "medical": "medical|unresponsive", "stop": "traffic stop"},
+    kin={"shooting": ("medical",), "stabbing": ("medical",), "crash": ("medical",)},
+    big="big|large|major",
+    suffixes={"street": "st", "road": "rd", "avenue": "ave", "lane": "ln", "square": "sq"},
+    filler=frozenset("any near the were there what".split()),
+)
 QUESTION = "any big fires near corvane lane in harlow last month?"
 
 
 def scored_calls(spark: SparkSession, sf: str, question: str = QUESTION, now: datetime = PRESENT) -> DataFrame:
     """Calls in the window of the question with their score, those without one left out."""
-    asked = questions.parse(question, now, PLACES, LANDMARKS)
+    asked = questions.parse(question, now, PLACES, LANDMARKS, VOCABULARY)
     start, end = (int(t.timestamp() * 1e6) for t in (asked.span.start, asked.span.end))
     c = calls(spark, sf).filter(F.col("at_us").between(start, end))
     hay = F.concat_ws(" ", "text", "street", "street2")
@@ -70,10 +78,10 @@ def search_context(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scored_sql() -> str:
-    asked = questions.parse(QUESTION, PRESENT, PLACES, LANDMARKS)
+    asked = questions.parse(QUESTION, PRESENT, PLACES, LANDMARKS, VOCABULARY)
     start, end = (int(t.timestamp() * 1e6) for t in (asked.span.start, asked.span.end))
     assert asked.kind == "fire" and asked.place and asked.big and not asked.landmark and not asked.words and len(asked.phrases) == 1
-    kind, place = questions.KINDS["fire"], asked.place
+    kind, place = VOCABULARY.kinds["fire"], asked.place
     metres = f"sqrt(pow((CAST({place.lon} AS DOUBLE) - lon) * CAST(111194.92664455873 AS DOUBLE) * cos(radians((lat + CAST({place.lat} AS DOUBLE)) / 2)), 2) + pow((CAST({place.lat} AS DOUBLE) - lat) * CAST(111194.92664455873 AS DOUBLE), 2))"
     return f"""{CALLS_SQL}, c AS (SELECT *, concat_ws(' ', text, street, street2) AS hay, contains(text, 'working fire') AS own, CASE WHEN k >= 90 THEN 3 WHEN k >= 70 THEN 2 ELSE 0 END AS tier FROM calls WHERE at_us BETWEEN {start} AND {end}),
     f AS (SELECT *, regexp_matches(hay, '\\b(?:{kind})\\b') AS said, {' OR '.join(f"contains(hay, '{n}')" for n in place.names)} AS there, k >= 25 AND {metres} <= {place.metres} AS close, {' OR '.join(f"contains(hay, '{p}')" for p in asked.phrases[0])} AS ph FROM c),
