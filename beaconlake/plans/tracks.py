@@ -30,7 +30,7 @@ _FIXES = f"""WITH RECURSIVE {M}, fixes AS (
   SELECT unit AS key, at_us - CASE WHEN k % 9 = 0 THEN 40000000000 ELSE 0 END AS seq, CAST(floor(at_us / 1000000.0) AS BIGINT) AS at_ms,
     CAST(42 AS DOUBLE) + CASE WHEN k >= 92 THEN CAST(1 AS DOUBLE) WHEN k < 40 THEN k % 4 * CAST(0.005 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END + CASE WHEN k % 6 = 0 THEN CAST(0.0001 AS DOUBLE) * (k % 5) ELSE CAST(0 AS DOUBLE) END AS lat,
     CAST(-71 AS DOUBLE) + k % 3 * CAST(0.004 AS DOUBLE) AS lon, k * CAST(60 AS DOUBLE) AS alt FROM messages),
-placed AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM fixes),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM fixes),
 walked AS (
   SELECT key, n, 'begins' AS verdict, at_ms AS h_at, lat AS h_lat, lon AS h_lon, 0 AS doubted FROM placed WHERE n = 1
   UNION ALL
@@ -103,7 +103,7 @@ QUERIES: dict[str, Query] = {
     ),
     "aged_bursts": Query(
         aged_bursts, ("W2",),
-        f"""WITH RECURSIVE {M}, o AS (SELECT event_id, feed, CAST(floor(at_us / 10000.0) AS BIGINT) AS at_ms, row_number() OVER (PARTITION BY feed ORDER BY at_us, event_id) AS n FROM messages),
+        f"""WITH RECURSIVE {M}, o AS MATERIALIZED (SELECT event_id, feed, CAST(floor(at_us / 10000.0) AS BIGINT) AS at_ms, row_number() OVER (PARTITION BY feed ORDER BY at_us, event_id) AS n FROM messages),
         b AS (SELECT event_id, feed, at_ms, n, at_ms AS burst_start FROM o WHERE n = 1
           UNION ALL SELECT o.event_id, o.feed, o.at_ms, o.n, CASE WHEN o.at_ms - b.at_ms > {12 * MINUTE} OR o.at_ms - b.burst_start > {20 * MINUTE} THEN o.at_ms ELSE b.burst_start END FROM b JOIN o ON o.feed = b.feed AND o.n = b.n + 1)
         SELECT event_id, feed, at_ms, burst_start FROM b""",
@@ -112,8 +112,8 @@ QUERIES: dict[str, Query] = {
         scene_merge, ("J5",),
         f"""WITH RECURSIVE {M}, s AS (SELECT 'town-' || (CAST(substr(unit, 2) AS INT) % 20) AS town, printf('%012d', event_id) AS scene, CAST(floor(at_us / 20000.0) AS BIGINT) AS from_ms, CAST(floor(at_us / 20000.0) AS BIGINT) + k * 1000 AS to_ms,
           {_GRID.format(base=42.2, prime=7919)} AS lat, {_GRID.format(base=-71.2, prime=104729)} AS lon, CASE WHEN k % 3 = 0 THEN 'street ' || (k % 7) END AS address FROM messages),
-        o AS (SELECT *, row_number() OVER (PARTITION BY town ORDER BY from_ms, scene) AS n FROM s),
-        pairs AS (SELECT b.town, b.n, list(a.n) AS near FROM o a JOIN o b ON a.town = b.town AND a.n < b.n AND greatest(0, b.from_ms - a.to_ms) <= {scenes.MERGE_MS} AND (a.address = b.address OR
+        o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY town ORDER BY from_ms, scene) AS n FROM s),
+        pairs AS MATERIALIZED (SELECT b.town, b.n, list(a.n) AS near FROM o a JOIN o b ON a.town = b.town AND a.n < b.n AND greatest(0, b.from_ms - a.to_ms) <= {scenes.MERGE_MS} AND (a.address = b.address OR
           sqrt(pow((b.lat - a.lat) * CAST(111194.92664455873 AS DOUBLE), 2) + pow((b.lon - a.lon) * CAST(111194.92664455873 AS DOUBLE) * cos(radians((a.lat + b.lat) / 2)), 2)) <= {scenes.SAME_PLACE_M}) GROUP BY b.town, b.n),
         w AS (SELECT town, CAST(1 AS BIGINT) AS n, [CAST(1 AS BIGINT)] AS seeds, CAST(1 AS BIGINT) AS home FROM (SELECT DISTINCT town FROM o)
           UNION ALL SELECT town, n, CASE WHEN hit IS NULL THEN list_append(seeds, n) ELSE seeds END, coalesce(hit, n)
