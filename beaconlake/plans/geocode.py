@@ -5,58 +5,42 @@ Every step is a join with a dimension of streets; distinct heard names are match
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beaconlake.functions import geo
+from beaconlake.operators.streets import FEW, LOOSE_MARGIN, MARGIN, ONLY, POOL, POOL_M, best_of, both_ways, corrected, crossings
 from beaconlake.plans.calls import CALLS_SQL, STREETS, SUFFIXES, _pick, calls
 from beaconlake.plans.core import Query
 from beaconlake.sources.tables import grid_lat, grid_lon, table
 
 CORNER_M = 800.0
-MARGIN = 1.5
 _SFX = "(?:street|road|avenue|lane|square)"
 _s_tens = "CAST(floor(s_suppkey / 10.0) AS BIGINT)"
 _NAME = f"{_pick(STREETS, 's_suppkey % 10')} || ' ' || {_pick(SUFFIXES, f'{_s_tens} % 5')}"
-# What was heard: some names lose a letter, some are no name at all; some lines have a number, some a second street.
+# What was heard: some names lose a letter, the first among them, some are no name at all; some lines have a number, some a second street.
 _CORE = f"regexp_replace(street, ' {_SFX}$', '')"
 _HEARD = {
-    "core": f"CASE WHEN event_id % 11 = 0 THEN 'zzqx' WHEN event_id % 7 = 0 THEN substr({_CORE}, 1, 2) || substr({_CORE}, 4) ELSE {_CORE} END",
+    "core": f"CASE WHEN event_id % 11 = 0 THEN 'zzqx' WHEN event_id % 14 = 0 THEN substr({_CORE}, 2) WHEN event_id % 7 = 0 THEN substr({_CORE}, 1, 2) || substr({_CORE}, 4) ELSE {_CORE} END",
     "type": f"regexp_extract(street, '({_SFX})$', 1)",
     "numbered": "event_id % 3 <> 0",
-    "corner": "CASE WHEN event_id % 5 = 0 THEN street2 END",
+    "corner": "CASE WHEN event_id % 5 = 0 THEN street2 WHEN event_id % 5 = 1 THEN substr(street2, 1, 1) || substr(street2, 3) END",
     "town": "coalesce(CASE WHEN event_id % 4 = 0 THEN 'town' || CAST(event_id % 7 AS STRING) END, CASE WHEN length(feed) = 6 THEN 'town' || substr(feed, 6) END)",
 }
 
 
 def streets(spark: SparkSession, sf: str) -> DataFrame:
-    """One point for every street of every town: town, name, core, type, skeleton, lat, lon."""
+    """Every street of every town, straight from a point on: town, name, core, type, lat, lon, lat2, lon2."""
     s = table(spark, sf, "supplier").select("s_suppkey", F.expr(_NAME).alias("name"), F.concat(F.lit("town"), (F.col("s_suppkey") % 7).cast("string")).alias("town"))
     first = s.groupBy("town", "name").agg(F.min("s_suppkey").alias("id"))
-    core = F.regexp_replace("name", f" {_SFX}$", "")
-    return first.select("town", "name", core.alias("core"), F.regexp_extract("name", f"({_SFX})$", 1).alias("type"), skeleton(core).alias("skeleton"), grid_lat(F.col("id")).alias("lat"), grid_lon(F.col("id")).alias("lon"))
+    lat, lon = grid_lat(F.col("id")), grid_lon(F.col("id"))
+    ends = (lat + (F.col("id") * 37 % 100 - 50) / F.lit(200.0)).alias("lat2"), (lon + (F.col("id") * 91 % 100 - 50) / F.lit(200.0)).alias("lon2")
+    return first.select("town", "name", F.regexp_replace("name", f" {_SFX}$", "").alias("core"), F.regexp_extract("name", f"({_SFX})$", 1).alias("type"), lat.alias("lat"), lon.alias("lon"), *ends)
 
 
-def skeleton(core):
-    """The first letter and the consonants after it."""
-    return F.concat(F.substring(core, 1, 1), F.regexp_replace(F.substr(core, F.lit(2)), "[aeiouy]", ""))
-
-
-def corrected(heard: DataFrame, known: DataFrame, cap: int = 2) -> DataFrame:
-    """(town, core, type) with the street meant, where one stands out: edits and skeleton edits by length, another type a little worse.
-
-    Candidates share the town and the first letter.  The best must be alone or MARGIN times nearer
-    than the next, and every word heard must begin like a word of it.
-    """
-    k = known.select(F.col("town").alias("_t"), F.col("name").alias("meant"), F.col("core").alias("_core"), F.col("type").alias("_type"), F.col("skeleton").alias("_skel"), F.substring("core", 1, 1).alias("_f"))
-    h = heard.select("town", "core", "type").distinct()
-    met = h.join(k, (F.col("town") == F.col("_t")) & (F.substring("core", 1, 1) == F.col("_f"))).withColumn("_e", F.levenshtein("core", "_core", cap)).filter("_e > 0")
-    bones = F.levenshtein(skeleton(F.col("core")), F.col("_skel"))
-    score = F.col("_e") / F.greatest(F.length("core"), F.length("_core")) + 0.5 * bones / F.greatest(F.lit(1), F.length("_skel")) + F.when(F.col("type") == F.col("_type"), 0.0).otherwise(0.3)
-    w = Window.partitionBy("town", "core", "type").orderBy("score", "meant")
-    placed = met.withColumn("score", F.round(score, 6)).withColumn("_next", F.lead("score").over(w)).withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-    alike = F.forall(F.split("core", " "), lambda a: F.exists(F.split("meant", " "), lambda b: F.startswith(b, F.substring(a, 1, 2))))
-    return placed.filter((F.col("_next").isNull() | (F.col("_next") >= F.col("score") * MARGIN)) & alike).select("town", "core", "type", "meant")
+def street_crossings(spark: SparkSession, sf: str) -> DataFrame:
+    """Where two streets of a town cross."""
+    return crossings(streets(spark, sf)).select("town", "a", "b", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
 def geocoded(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,20 +48,30 @@ def geocoded(spark: SparkSession, sf: str) -> DataFrame:
     h = calls(spark, sf).select("event_id", F.inline(F.array(F.struct(*[F.expr(e).alias(n) for n, e in _HEARD.items()]))))
     h = h.withColumn("heard", F.concat_ws(" ", "core", "type"))
     point = lambda p: known.select(F.col("town").alias(f"{p}t"), F.col("name").alias(f"{p}n"), F.col("lat").alias(f"{p}lat"), F.col("lon").alias(f"{p}lon"))
-    meant = corrected(h, known).select(F.col("town").alias("_ft"), F.col("core").alias("_fc"), F.col("type").alias("_fy"), "meant")
+    meant = corrected(h, known).select(F.col("town").alias("_ft"), F.col("core").alias("_fc"), F.col("type").alias("_fy"), "meant", F.col("lat").alias("flat"), F.col("lon").alias("flon"), "sure")
+    crossed = both_ways(crossings(known))
+    met = crossed.select(F.col("town").alias("xt"), F.col("street").alias("xa"), F.col("other").alias("xb"), F.col("lat").alias("xlat"), F.col("lon").alias("xlon"))
+    # A second street that is none, beside a first that is: the street that crosses the first and sounds most like it.
+    unknown = h.select("town", F.col("heard").alias("street"), F.col("corner").alias("_c")).filter("_c IS NOT NULL").join(known.select(F.col("town").alias("_kt"), F.col("name").alias("_kn")), (F.col("town") == F.col("_kt")) & (F.col("_c") == F.col("_kn")), "left_anti")
+    unknown = unknown.select("town", "street", F.regexp_replace("_c", f" {_SFX}$", "").alias("heard"))
+    few = crossed.select("town", "street", F.col("other").alias("name"), F.regexp_replace("other", f" {_SFX}$", "").alias("core"))
+    anchor = best_of(unknown, few, ["town", "street"]).select(F.col("town").alias("yt"), F.col("street").alias("ys"), F.col("heard").alias("yh"), F.col("name").alias("anchored"))
     towns = known.groupBy(F.col("town").alias("_ct")).agg(F.avg("lat").alias("_clat"), F.avg("lon").alias("_clon"))
     j = h.join(point("a"), (F.col("town") == F.col("at")) & (F.col("heard") == F.col("an")), "left")
     j = j.join(point("b"), (F.col("town") == F.col("bt")) & (F.col("corner") == F.col("bn")), "left")
     j = j.join(meant, (F.col("town") == F.col("_ft")) & (F.col("core") == F.col("_fc")) & (F.col("type") == F.col("_fy")), "left")
-    j = j.join(point("f"), (F.col("town") == F.col("ft")) & (F.col("meant") == F.col("fn")), "left").join(towns, F.col("town") == F.col("_ct"), "left")
+    j = j.join(anchor, (F.col("town") == F.col("yt")) & (F.col("an") == F.col("ys")) & F.col("bn").isNull() & (F.regexp_replace("corner", f" {_SFX}$", "") == F.col("yh")), "left")
+    j = j.join(met, (F.col("town") == F.col("xt")) & (F.col("an") == F.col("xa")) & (F.coalesce("bn", "anchored") == F.col("xb")), "left").join(towns, F.col("town") == F.col("_ct"), "left")
     apart = geo.metres(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
     at = lambda how, precision, name, lat, lon: F.struct(F.lit(how).alias("how"), F.lit(precision).alias("precision"), name.alias("name"), lat.alias("lat"), lon.alias("lon"))
     c = F.col
     hit = F.coalesce(
         F.when(c("numbered") & c("an").isNotNull(), at("address", "exact", c("an"), c("alat"), c("alon"))),
+        F.when(c("xb").isNotNull(), at("crossing", "exact", F.concat_ws(" & ", "an", "xb"), c("xlat"), c("xlon"))),
         F.when(apart <= CORNER_M, at("corner", "approx", F.concat_ws(" & ", "an", "bn"), (c("alat") + c("blat")) / 2, (c("alon") + c("blon")) / 2)),
         F.when(c("an").isNotNull(), at("street", "approx", c("an"), c("alat"), c("alon"))),
-        F.when(c("fn").isNotNull(), at("corrected", "approx", c("fn"), c("flat"), c("flon"))),
+        F.when(c("sure"), at("corrected", "approx", c("meant"), c("flat"), c("flon"))),
+        F.when(~c("sure"), at("cluster", "approx", F.lit(None).cast("string"), c("flat"), c("flon"))),
         F.when(c("_ct").isNotNull(), at("town", "weak", c("town"), c("_clat"), c("_clon"))),
         at("none", None, F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("double")),
     )
@@ -85,21 +79,39 @@ def geocoded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SKEL = lambda c: f"left({c}, 1) || regexp_replace(substr({c}, 2), '[aeiouy]', '', 'g')"
-_SQL = f"""WITH {CALLS_SQL}, k0 AS (SELECT 'town' || (s_suppkey % 7) AS town, {_NAME} AS name, s_suppkey FROM supplier), k1 AS (SELECT town, name, min(s_suppkey) AS id FROM k0 GROUP BY 1, 2),
-k AS (SELECT town, name, regexp_replace(name, ' {_SFX}$', '') AS core, regexp_extract(name, '({_SFX})$', 1) AS type, CAST(42.2 AS DOUBLE) + CAST(id * 7919 % 1000 AS DOUBLE) / CAST(2500 AS DOUBLE) AS lat, CAST(-71.2 AS DOUBLE) + CAST(id * 104729 % 1000 AS DOUBLE) / CAST(2500 AS DOUBLE) AS lon FROM k1),
-h AS (SELECT event_id, {', '.join(f'{e} AS {n}' for n, e in _HEARD.items())} FROM calls), hh AS (SELECT *, core || ' ' || type AS heard FROM h),
-m AS (SELECT d.town, d.core, d.type, k.name AS meant, round(levenshtein(d.core, k.core) / CAST(greatest(length(d.core), length(k.core)) AS DOUBLE) + CAST(0.5 AS DOUBLE) * levenshtein({_SKEL('d.core')}, {_SKEL('k.core')}) / greatest(1, length({_SKEL('k.core')})) + CASE WHEN d.type = k.type THEN 0 ELSE CAST(0.3 AS DOUBLE) END, 6) AS score
-  FROM (SELECT DISTINCT town, core, type FROM hh) d JOIN k ON d.town = k.town AND left(d.core, 1) = left(k.core, 1) WHERE levenshtein(d.core, k.core) BETWEEN 1 AND 2),
+_D = "CAST({} AS DOUBLE)".format
+_M = lambda a, b: f"sqrt(pow(({b}lon - {a}lon) * CAST(111194.92664455873 AS DOUBLE) * cos(radians(({a}lat + {b}lat) / 2)), 2) + pow(({b}lat - {a}lat) * CAST(111194.92664455873 AS DOUBLE), 2))"
+_STREETS = f"""k0 AS (SELECT 'town' || (s_suppkey % 7) AS town, {_NAME} AS name, s_suppkey FROM supplier), k1 AS (SELECT town, name, min(s_suppkey) AS id FROM k0 GROUP BY 1, 2),
+k2 AS (SELECT *, regexp_replace(name, ' {_SFX}$', '') AS core, regexp_extract(name, '({_SFX})$', 1) AS type, {_D(42.2)} + CAST(id * 7919 % 1000 AS DOUBLE) / {_D(2500)} AS lat, {_D(-71.2)} + CAST(id * 104729 % 1000 AS DOUBLE) / {_D(2500)} AS lon FROM k1),
+k AS (SELECT *, lat + (id * 37 % 100 - 50) / {_D(200)} AS lat2, lon + (id * 91 % 100 - 50) / {_D(200)} AS lon2 FROM k2),
+x0 AS (SELECT a.town, a.name AS a, b.name AS b, a.lat, a.lon, a.lat2 - a.lat AS ra, a.lon2 - a.lon AS ro, b.lat2 - b.lat AS sa, b.lon2 - b.lon AS so, b.lat - a.lat AS ga, b.lon - a.lon AS go FROM k a JOIN k b ON a.town = b.town AND a.name < b.name),
+x1 AS (SELECT *, (ga * so - go * sa) / (ra * so - ro * sa) AS t, (ga * ro - go * ra) / (ra * so - ro * sa) AS u FROM x0 WHERE ra * so - ro * sa <> 0),
+x AS (SELECT town, a, b, lat + t * ra AS lat, lon + t * ro AS lon FROM x1 WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1)"""
+_COST = f"levenshtein(y.heard, z.core) / {_D('greatest(length(y.heard), length(z.core))')} + {_D(0.8)} * levenshtein({_SKEL('y.heard')}, {_SKEL('z.core')}) / greatest(1, length({_SKEL('y.heard')}))"
+_SQL = f"""WITH {CALLS_SQL}, {_STREETS},
+h AS (SELECT event_id, {', '.join(f'{e} AS {n}' for n, e in _HEARD.items())} FROM calls), hh AS (SELECT *, core || ' ' || type AS heard, regexp_replace(corner, ' {_SFX}$', '') AS corner_core FROM h),
+m AS (SELECT d.town, d.core, d.type, k.name AS meant, k.lat, k.lon, levenshtein({_SKEL('d.core')}, {_SKEL('k.core')}) AS bones,
+    round(levenshtein(d.core, k.core) / {_D('greatest(length(d.core), length(k.core))')} + {_D(0.5)} * levenshtein({_SKEL('d.core')}, {_SKEL('k.core')}) / greatest(1, length({_SKEL('k.core')})) + CASE WHEN d.type = k.type THEN 0 ELSE {_D(0.3)} END, 6) AS score
+  FROM (SELECT DISTINCT town, core, type FROM hh) d JOIN k ON d.town = k.town WHERE levenshtein(d.core, k.core) BETWEEN 1 AND 2),
 r AS (SELECT *, lead(score) OVER w AS nxt, row_number() OVER w AS p FROM m WINDOW w AS (PARTITION BY town, core, type ORDER BY score, meant)),
-f AS (SELECT town, core, type, meant FROM r WHERE p = 1 AND (nxt IS NULL OR nxt >= score * {MARGIN}) AND starts_with(meant, left(core, 2))),
+c AS (SELECT r.town, r.core, r.type, r.meant, r.lat, r.lon, r.nxt IS NULL OR r.nxt >= r.score * {MARGIN} OR (r.nxt >= r.score * {LOOSE_MARGIN} AND r.bones <= 1) AS sure, count(*) AS pool, bool_and({_M('r.', 'q.')} <= {POOL_M}) AS together, avg(q.lat) AS mlat, avg(q.lon) AS mlon
+  FROM r JOIN r q ON q.town = r.town AND q.core = r.core AND q.type = r.type AND q.score <= r.score * {POOL} WHERE r.p = 1 GROUP BY ALL),
+f AS (SELECT * FROM c WHERE sure OR (pool > 1 AND together)),
+z AS (SELECT town, a AS street, b AS other, lat, lon, regexp_replace(b, ' {_SFX}$', '') AS core FROM x UNION ALL SELECT town, b, a, lat, lon, regexp_replace(a, ' {_SFX}$', '') FROM x),
+y AS (SELECT DISTINCT town, heard AS street, corner_core AS heard FROM hh WHERE corner IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k WHERE k.town = hh.town AND k.name = hh.corner)),
+yc AS (SELECT y.*, z.other, round({_COST}, 6) AS cost, count(*) OVER (PARTITION BY y.town, y.street, y.heard) AS few FROM y JOIN z ON z.town = y.town AND z.street = y.street),
+an AS (SELECT * FROM yc WHERE true QUALIFY row_number() OVER (PARTITION BY town, street, heard ORDER BY cost, other) = 1 AND (cost = 0 OR (length(heard) >= 4 AND cost <= CASE WHEN few > 1 THEN {FEW} ELSE {ONLY} END))),
 t AS (SELECT town, avg(lat) AS lat, avg(lon) AS lon FROM k GROUP BY town),
-j AS (SELECT hh.*, a.name AS an, a.lat AS alat, a.lon AS alon, b.name AS bn, b.lat AS blat, b.lon AS blon, g.name AS fn, g.lat AS flat, g.lon AS flon, t.town AS ct, t.lat AS clat, t.lon AS clon,
-  sqrt(pow((b.lon - a.lon) * CAST(111194.92664455873 AS DOUBLE) * cos(radians((a.lat + b.lat) / 2)), 2) + pow((b.lat - a.lat) * CAST(111194.92664455873 AS DOUBLE), 2)) AS apart
-  FROM hh LEFT JOIN k a ON hh.town = a.town AND hh.heard = a.name LEFT JOIN k b ON hh.town = b.town AND hh.corner = b.name LEFT JOIN f ON f.town = hh.town AND f.core = hh.core AND f.type = hh.type LEFT JOIN k g ON g.town = f.town AND g.name = f.meant LEFT JOIN t ON t.town = hh.town),
-w AS (SELECT *, CASE WHEN numbered AND an IS NOT NULL THEN 'address' WHEN apart <= {CORNER_M} THEN 'corner' WHEN an IS NOT NULL THEN 'street' WHEN fn IS NOT NULL THEN 'corrected' WHEN ct IS NOT NULL THEN 'town' ELSE 'none' END AS how FROM j)
-SELECT event_id, town, how, CASE how WHEN 'address' THEN 'exact' WHEN 'town' THEN 'weak' WHEN 'none' THEN NULL ELSE 'approx' END AS precision,
-  CASE how WHEN 'address' THEN an WHEN 'corner' THEN an || ' & ' || bn WHEN 'street' THEN an WHEN 'corrected' THEN fn WHEN 'town' THEN town END AS name,
-  round(CASE how WHEN 'address' THEN alat WHEN 'corner' THEN (alat + blat) / 2 WHEN 'street' THEN alat WHEN 'corrected' THEN flat WHEN 'town' THEN clat END, 5) AS lat,
-  round(CASE how WHEN 'address' THEN alon WHEN 'corner' THEN (alon + blon) / 2 WHEN 'street' THEN alon WHEN 'corrected' THEN flon WHEN 'town' THEN clon END, 5) AS lon FROM w"""
-
-QUERIES: dict[str, Query] = {"geocoded": Query(geocoded, ("E5", "E7", "E8", "E9", "E10", "E11", "E13", "B7"), _SQL)}
+j AS (SELECT hh.*, a.name AS an, a.lat AS alat, a.lon AS alon, b.name AS bn, b.lat AS blat, b.lon AS blon, f.sure, f.meant, CASE WHEN f.sure THEN f.lat ELSE f.mlat END AS flat, CASE WHEN f.sure THEN f.lon ELSE f.mlon END AS flon, z.other AS xb, z.lat AS xlat, z.lon AS xlon, t.town AS ct, t.lat AS clat, t.lon AS clon, {_M('a.', 'b.')} AS apart
+  FROM hh LEFT JOIN k a ON hh.town = a.town AND hh.heard = a.name LEFT JOIN k b ON hh.town = b.town AND hh.corner = b.name LEFT JOIN f ON f.town = hh.town AND f.core = hh.core AND f.type = hh.type
+  LEFT JOIN an ON an.town = hh.town AND an.street = a.name AND b.name IS NULL AND an.heard = hh.corner_core LEFT JOIN z ON z.town = hh.town AND z.street = a.name AND z.other = coalesce(b.name, an.other) LEFT JOIN t ON t.town = hh.town),
+w AS (SELECT *, CASE WHEN numbered AND an IS NOT NULL THEN 'address' WHEN xb IS NOT NULL THEN 'crossing' WHEN apart <= {CORNER_M} THEN 'corner' WHEN an IS NOT NULL THEN 'street' WHEN sure THEN 'corrected' WHEN NOT sure THEN 'cluster' WHEN ct IS NOT NULL THEN 'town' ELSE 'none' END AS how FROM j)
+SELECT event_id, town, how, CASE WHEN how IN ('address', 'crossing') THEN 'exact' WHEN how = 'town' THEN 'weak' WHEN how = 'none' THEN NULL ELSE 'approx' END AS precision,
+  CASE how WHEN 'address' THEN an WHEN 'crossing' THEN an || ' & ' || xb WHEN 'corner' THEN an || ' & ' || bn WHEN 'street' THEN an WHEN 'corrected' THEN meant WHEN 'town' THEN town END AS name,
+  round(CASE how WHEN 'address' THEN alat WHEN 'crossing' THEN xlat WHEN 'corner' THEN (alat + blat) / 2 WHEN 'street' THEN alat WHEN 'corrected' THEN flat WHEN 'cluster' THEN flat WHEN 'town' THEN clat END, 5) AS lat,
+  round(CASE how WHEN 'address' THEN alon WHEN 'crossing' THEN xlon WHEN 'corner' THEN (alon + blon) / 2 WHEN 'street' THEN alon WHEN 'corrected' THEN flon WHEN 'cluster' THEN flon WHEN 'town' THEN clon END, 5) AS lon FROM w"""
+
+QUERIES: dict[str, Query] = {
+    "geocoded": Query(geocoded, ("E7", "E9", "E10", "E11", "B7", "B8", "B10"), _SQL),
+    "street_crossings": Query(street_crossings, ("J13", "E9"), f"WITH {_STREETS} SELECT town, a, b, round(lat, 6) AS lat, round(lon, 6) AS lon FROM x"),
+}
