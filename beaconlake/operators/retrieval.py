@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconlake.functions import text as tx
+from beaconlake.sources.shared import fresh_folder
 
 
 @dataclass(frozen=True)
@@ -56,18 +57,21 @@ def overlap_join(items: DataFrame, docs: DataFrame, item: str, doc: str, least:
     Words are distinct in each list.  A document that has ``need`` of an item's n words has one of its
     n - need + 1 rarest, so only those are keys: what every document says brings nobody together.
     """
-    held = docs.select(doc, F.explode("words").alias("_w"))
     need = F.ceil(F.greatest(F.lit(least), F.size("words")) * share - 1e-9).cast("int")
     asked = items.select(item, F.size("words").alias("_n"), need.alias("_need"), F.explode("words").alias("_v"))
-    known = held.join(asked.select("_v").distinct(), F.col("_w") == F.col("_v"), "left_semi")
-    common = known.groupBy(F.col("_w").alias("_c")).agg(F.count("*").alias("_df"))
+    said = asked.select(F.col("_v").alias("_s")).distinct()
+    # Of a document only the words that some item has; texts are read and cut once, and go into no join.
+    where = fresh_folder(docs.sparkSession, "postings")
+    docs.select(F.col(doc).alias("_doc"), F.explode("words").alias("_w")).join(said, F.col("_w") == F.col("_s"), "left_semi").write.parquet(where)
+    held = docs.sparkSession.read.parquet(where)
+    common = held.groupBy(F.col("_w").alias("_c")).agg(F.count("*").alias("_df"))
     placed = asked.join(common, F.col("_v") == F.col("_c"), "left").withColumn("_r", F.row_number().over(Window.partitionBy(item).orderBy(F.coalesce("_df", F.lit(0)), "_v")))
     keys = placed.filter("_df IS NOT NULL AND _need <= _n AND _r <= _n - _need + 1").select(item, "_v")
-    near = keys.join(held, F.col("_v") == F.col("_w")).select(item, doc).distinct()
-    of_items = items.select(F.col(item).alias("_item"), F.col("words").alias("_a"))
-    of_docs = docs.select(F.col(doc).alias("_doc"), F.col("words").alias("_b"))
-    both = near.join(of_items, F.col(item) == F.col("_item")).join(of_docs, F.col(doc) == F.col("_doc"))
-    hits = both.select(item, doc, F.size(F.array_intersect("_a", "_b")).cast("bigint").alias("hits"), F.size("_a").alias("_n"))
+    near = keys.join(held, F.col("_v") == F.col("_w")).select(F.col(item).alias("_item"), F.col("_doc").alias("_near")).distinct()
+    of_docs = held.groupBy("_doc").agg(F.collect_list("_w").alias("_b"))
+    both = near.join(of_docs, F.col("_near") == F.col("_doc")).join(items.select(item, F.col("words").alias("_a")), F.col("_item") == F.col(item))
+    # Computed inside a generator, so that the filter below doesn't compute it again.
+    hits = both.select(item, F.col("_doc").alias(doc), F.inline(F.array(F.struct(F.size(F.array_intersect("_a", "_b")).cast("bigint").alias("hits"), F.size("_a").alias("_n")))))
     part = F.col("hits") / F.greatest(F.lit(least), F.col("_n"))
     best = hits.filter(part >= share).withColumn("share", F.round(part, 6)).withColumn("_r", F.row_number().over(Window.partitionBy(item).orderBy(F.desc("hits"), doc)))
     return best.filter(F.col("_r") <= k).select(item, doc, "hits", "share")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beaconlake.functions import geo
+from beaconlake.operators import gazetteer
 from beaconlake.operators.streets import FEW, LOOSE_MARGIN, MARGIN, ONLY, POOL, POOL_M, best_of, both_ways, corrected, crossings
 from beaconlake.plans.calls import CALLS_SQL, STREETS, SUFFIXES, _pick, calls
 from beaconlake.plans.core import Query
@@ -111,7 +112,33 @@ SELECT event_id, town, how, CASE WHEN how IN ('address', 'crossing') THEN 'exact
   round(CASE how WHEN 'address' THEN alat WHEN 'crossing' THEN xlat WHEN 'corner' THEN (alat + blat) / 2 WHEN 'street' THEN alat WHEN 'corrected' THEN flat WHEN 'cluster' THEN flat WHEN 'town' THEN clat END, 5) AS lat,
   round(CASE how WHEN 'address' THEN alon WHEN 'crossing' THEN xlon WHEN 'corner' THEN (alon + blon) / 2 WHEN 'street' THEN alon WHEN 'corrected' THEN flon WHEN 'cluster' THEN flon WHEN 'town' THEN clon END, 5) AS lon FROM w"""
 
+_PLACES = f"SELECT DISTINCT name AS alias, 'p-' || name || town AS place, CASE length(name) % 3 WHEN 0 THEN 'hall' WHEN 1 THEN 'rail' ELSE 'road' END AS kind, town FROM k UNION ALL SELECT DISTINCT core, 'c-' || core || town, CASE length(core) % 4 WHEN 0 THEN 'town' WHEN 1 THEN 'rail' ELSE 'hall' END, town FROM k"
+_HEARD_TEXT = "CASE WHEN event_id % 6 = 0 THEN text || ' inbound' WHEN event_id % 6 = 1 THEN replace(text, ' street', '') ELSE text END"
+
+
+def gazetteer_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The place that each call names, with the town of its feed as scope for some."""
+    streets(spark, sf).createOrReplaceTempView("beaconlake_streets")
+    places = spark.sql(_PLACES.replace("FROM k", "FROM beaconlake_streets")).withColumns({"lat": F.lit(0.0), "lon": F.lit(0.0)})
+    towns = F.when(F.col("event_id") % 3 > 0, F.array(F.concat(F.lit("town"), F.col("event_id") % 7)))
+    texts = calls(spark, sf).select(F.col("event_id").alias("id"), F.expr(_HEARD_TEXT).alias("text"), towns.alias("towns"))
+    return gazetteer.scan(texts, places).select("id", "alias", "place", "kind", "town", "at", "scoped")
+
+
+_list = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+_SCAN = f"""WITH {CALLS_SQL}, {_STREETS}, places AS ({_PLACES}), t AS (SELECT event_id AS id, CASE WHEN event_id % 3 > 0 THEN 'town' || (event_id % 7) END AS scope,
+  list_filter(string_split(trim(regexp_replace(lower({_HEARD_TEXT}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM calls),
+g AS (SELECT id, scope, w, CAST(i AS INT) AS pos, n, array_to_string(w[i + 1 : i + n], ' ') AS alias FROM t, range(0, 40) r(i), range(1, {gazetteer.MOST_WORDS + 1}) q(n) WHERE i + n <= len(w)),
+m AS (SELECT g.*, p.place, p.kind, p.town, CASE WHEN pos > 0 THEN w[pos] END AS before, w[pos + n + 1] AS after, n > 1 AND split_part(g.alias, ' ', -1) IN {_list(gazetteer.STREET_TYPES)} AS typed, g.alias IN (SELECT alias FROM places WHERE kind = 'town') AS like_town,
+  coalesce(p.town = scope, false) AS scoped FROM g JOIN places p ON p.alias = g.alias),
+f AS (SELECT *, CASE WHEN scoped THEN {gazetteer.SCOPED} ELSE 0 END + CASE WHEN kind = 'town' THEN 0 ELSE {gazetteer.NAMED} END + length(alias) AS score FROM m
+  WHERE NOT (kind NOT IN ('road', 'town') AND (coalesce(after IN {_list(gazetteer.STREET_TYPES)}, false) OR ((n = 1 OR typed) AND coalesce(regexp_matches(before, '^[0-9]+$'), false))))
+  AND NOT (kind = 'rail' AND (typed OR like_town) AND NOT list_has_any(w, ['{"', '".join(gazetteer.RAIL_CUES)}'])) AND NOT (kind = 'town' AND NOT scoped AND scope IS NOT NULL)),
+e AS (SELECT *, max(CASE WHEN score >= {gazetteer.ENOUGH} THEN n END) OVER (PARTITION BY id) AS enough FROM f)
+SELECT id, alias, place, kind, town, pos AS "at", scoped FROM e WHERE enough IS NULL OR n >= enough QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, n DESC, pos, place) = 1"""
+
 QUERIES: dict[str, Query] = {
     "geocoded": Query(geocoded, ("E7", "E9", "E10", "E11", "B7", "B8", "B10"), _SQL),
     "street_crossings": Query(street_crossings, ("J13", "E9"), f"WITH {_STREETS} SELECT town, a, b, round(lat, 6) AS lat, round(lon, 6) AS lon FROM x"),
+    "gazetteer_scan": Query(gazetteer_scan, ("E12", "B6"), _SCAN),
 }

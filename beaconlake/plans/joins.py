@@ -117,7 +117,11 @@ def scene_attach(spark: SparkSession, sf: str) -> DataFrame:
         F.min("at_us").alias("from_us"), F.max("at_us").alias("to_us"), F.min("event_id").alias("scene"), F.min_by("lat", "event_id").alias("lat"), F.min_by("lon", "event_id").alias("lon")
     )
     loose = m.filter("call_type = 'click'").select("event_id", "at_us", "unit", "lat", "lon")
-    by_unit = loose.select("event_id", "at_us", "unit").join(scenes.select(F.col("unit"), "scene", "from_us", "to_us"), "unit").select("event_id", "at_us", "scene", "from_us", "to_us")
+    # A scene of a unit lasts a day at most and a line comes 15 hours from it at most, so both meet in a slot of a day.
+    slot = lambda at: F.floor(at / (1440 * MINUTE))
+    reach = F.sequence(slot(F.col("from_us") - 900 * MINUTE), slot(F.col("to_us") + 900 * MINUTE))
+    slotted = scenes.select("unit", "scene", "from_us", "to_us", F.explode(reach).alias("_slot"))
+    by_unit = loose.select("event_id", "at_us", "unit", slot(F.col("at_us")).alias("_slot")).join(slotted, ["unit", "_slot"]).select("event_id", "at_us", "scene", "from_us", "to_us")
     by_place = joins.near_pairs(loose, scenes, ["event_id", "at_us"], ["scene", "from_us", "to_us"], 150.0).drop("metres")
     tied = by_unit.unionByName(by_place).distinct()
     tied = tied.withColumn("gap", geo.interval_gap(F.col("from_us"), F.col("to_us"), F.col("at_us"), F.col("at_us"))).filter(F.col("gap") <= 900 * MINUTE)

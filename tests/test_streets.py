@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 
 import duckdb
+import pytest
 
-from beaconlake.operators import streets
+from beaconlake.operators import gazetteer, streets
 
 
 def test_every_name_within_the_edits_is_found(spark):
@@ -55,3 +56,23 @@ def test_the_name_among_a_few(spark):
     names = spark.createDataFrame([("x", "fox street", "fox"), ("x", "summer road", "summer"), ("y", "summer road", "summer")], "street string, name string, core string")
     asked = spark.createDataFrame([("x", "ox"), ("x", "fox"), ("x", "sumner"), ("y", "sumer"), ("y", "sonner"), ("y", "zzzzzz")], "street string, heard string")
     assert {(r.street, r.heard, r.name) for r in streets.best_of(asked, names, ["street"]).collect()} == {("x", "fox", "fox street"), ("x", "sumner", "summer road")} | {("y", "sumer", "summer road")}
+
+
+PLACES = [
+    ("elm hall", "hall", "hall", "ayr"), ("elm", "elm stop", "rail", "ayr"), ("ayr", "ayr", "town", "ayr"), ("ayr", "ayr stop", "rail", "ayr"), ("bury", "bury", "town", "bury"), ("oak street", "oak stop", "rail", "ayr"), ("9", "route nine", "road", "ayr"),
+    ("old elm hall yard", "yard", "hall", "bury"), ("dome", "dome", "hall", "ayr"), ("hall yard", "back yard", "hall", "ayr"),
+]
+
+
+@pytest.mark.parametrize("most", [gazetteer.MOST_NAMES, 1])
+def test_places_that_texts_name(spark, most):
+    """Longest first, guards, scope; by automaton and by join."""
+    cases = [
+        ("at Elm Hall now", ["ayr"], "hall"), ("fire at the dome street side", None, None), ("at 12 dome", None, None), ("at 12, near dome", None, "dome"), ("down in ayr", ["ayr"], "ayr"), ("down in bury", ["ayr"], None), ("down in bury", None, "bury"),
+        ("train held in ayr", ["ayr"], "ayr stop"), ("oak street line", ["ayr"], "oak stop"), ("oak street fire", ["ayr"], None), ("9 units", None, None), ("route 9 closed", None, "route nine"), ("old elm hall yard", ["ayr"], "back yard"), ("old elm hall yard", None, "yard"),
+        ("dome and elm hall", ["ayr"], "hall"), (None, None, None), ("", ["ayr"], None), ("elm hall hall yard", None, "back yard"),
+    ]
+    texts = spark.createDataFrame([(i, t, s) for i, (t, s, _) in enumerate(cases)], "id int, text string, towns array<string>").repartition(3)
+    places = spark.createDataFrame([(*p, 0.0, 0.0) for p in PLACES], "alias string, place string, kind string, town string, lat double, lon double")
+    got = {r.id: r.place for r in gazetteer.scan(texts, places, most_names=most).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(cases) if want}
