@@ -59,19 +59,22 @@ def overlap_join(items: DataFrame, docs: DataFrame, item: str, doc: str, least:
     """
     need = F.ceil(F.greatest(F.lit(least), F.size("words")) * share - 1e-9).cast("int")
     asked = items.select(item, F.size("words").alias("_n"), need.alias("_need"), F.explode("words").alias("_v"))
-    said = asked.select(F.col("_v").alias("_s")).distinct()
-    # Of a document only the words that some item has; texts are read and cut once, and go into no join.
-    where = fresh_folder(docs.sparkSession, "postings")
-    docs.select(F.col(doc).alias("_doc"), F.explode("words").alias("_w")).join(said, F.col("_w") == F.col("_s"), "left_semi").write.parquet(where)
-    held = docs.sparkSession.read.parquet(where)
-    common = held.groupBy(F.col("_w").alias("_c")).agg(F.count("*").alias("_df"))
-    placed = asked.join(common, F.col("_v") == F.col("_c"), "left").withColumn("_r", F.row_number().over(Window.partitionBy(item).orderBy(F.coalesce("_df", F.lit(0)), "_v")))
-    keys = placed.filter("_df IS NOT NULL AND _need <= _n AND _r <= _n - _need + 1").select(item, "_v")
-    near = keys.join(held, F.col("_v") == F.col("_w")).select(F.col(item).alias("_item"), F.col("_doc").alias("_near")).distinct()
-    of_docs = held.groupBy("_doc").agg(F.collect_list("_w").alias("_b"))
-    both = near.join(of_docs, F.col("_near") == F.col("_doc")).join(items.select(item, F.col("words").alias("_a")), F.col("_item") == F.col(item))
+    spark, where = docs.sparkSession, fresh_folder(docs.sparkSession, "overlap")
+    asked.select(F.col("_v").alias("_s")).distinct().withColumn("_id", F.monotonically_increasing_id()).write.parquet(f"{where}/words")  # numbered once, when written
+    said = spark.read.parquet(f"{where}/words")
+    # Of a document only the words that some item has, as numbers; texts are read and cut once, and go into no join.
+    docs.select(F.col(doc).alias("_doc"), F.explode("words").alias("_w")).join(said, F.col("_w") == F.col("_s")).select("_doc", "_id").write.parquet(f"{where}/postings")
+    held = spark.read.parquet(f"{where}/postings")
+    common = held.groupBy(F.col("_id").alias("_c")).agg(F.count("*").alias("_df"))
+    numbered = asked.join(said, F.col("_v") == F.col("_s")).drop("_s")
+    placed = numbered.join(common, F.col("_id") == F.col("_c"), "left").withColumn("_r", F.row_number().over(Window.partitionBy(item).orderBy(F.coalesce("_df", F.lit(0)), "_v")))
+    keys = placed.filter("_df IS NOT NULL AND _need <= _n AND _r <= _n - _need + 1").select(item, F.col("_id").alias("_k"))
+    near = keys.join(held, F.col("_k") == F.col("_id")).select(F.col(item).alias("_item"), F.col("_doc").alias("_near")).distinct()
+    of_docs = held.groupBy("_doc").agg(F.collect_list("_id").alias("_b"))
+    of_items = numbered.groupBy(item).agg(F.collect_list("_id").alias("_a"), F.first("_n").alias("_n"))
+    both = near.join(of_docs, F.col("_near") == F.col("_doc")).join(of_items, F.col("_item") == F.col(item))
     # Computed inside a generator, so that the filter below doesn't compute it again.
-    hits = both.select(item, F.col("_doc").alias(doc), F.inline(F.array(F.struct(F.size(F.array_intersect("_a", "_b")).cast("bigint").alias("hits"), F.size("_a").alias("_n")))))
+    hits = both.select(item, F.col("_doc").alias(doc), "_n", F.explode(F.array(F.size(F.array_intersect("_a", "_b")).cast("bigint"))).alias("hits"))
     part = F.col("hits") / F.greatest(F.lit(least), F.col("_n"))
     best = hits.filter(part >= share).withColumn("share", F.round(part, 6)).withColumn("_r", F.row_number().over(Window.partitionBy(item).orderBy(F.desc("hits"), doc)))
     return best.filter(F.col("_r") <= k).select(item, doc, "hits", "share")
