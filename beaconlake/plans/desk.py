@@ -247,7 +247,7 @@ def feed_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def loud_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Windows of four samples (lines of an order) whose root mean square is at the gate or above, with one window kept either side."""
+    """Windows of two samples (line numbers of an order) whose root mean square is at the gate or above, with one window kept either side."""
     s = table(spark, sf, "lineitem").select("l_orderkey", F.floor((F.col("l_linenumber") - 1) / 2).alias("w"), (F.col("l_discount") - 0.05).alias("x"))
     r = s.groupBy("l_orderkey", "w").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
     loud = r.filter(F.round("rms", 9) >= 0.03).groupBy("l_orderkey").agg(F.min("w").alias("first"), F.max("w").alias("last"))

@@ -230,7 +230,7 @@ QUERIES: dict[str, Query] = {
     ),
     "age_phrases": Query(age_phrases, ("F22",), f"SELECT o_orderkey, {_AGE('(o_orderkey * CAST(37.5 AS DOUBLE))')} AS age FROM orders"),
     "machine_memo": Query(
-        machine_memo, ("B21", "E14"),
+        machine_memo, ("B21",),
         f"WITH {M} SELECT unit, event_id, at_us, k FROM messages WHERE at_us <= {NOW} QUALIFY row_number() OVER (PARTITION BY unit ORDER BY at_us DESC, event_id DESC) = 1 AND at_us >= {NOW - 55 * HOUR}",
     ),
 }

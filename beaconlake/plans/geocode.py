@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconlake.functions import geo
-from beaconlake.operators import gazetteer
+from beaconlake.functions import fields, geo
+from beaconlake.operators import cache, gazetteer
 from beaconlake.operators.streets import FEW, LOOSE_MARGIN, MARGIN, ONLY, POOL, POOL_M, best_of, both_ways, corrected, crossings
 from beaconlake.plans.calls import CALLS_SQL, STREETS, SUFFIXES, _pick, calls
 from beaconlake.plans.core import Query
-from beaconlake.sources.tables import grid_lat, grid_lon, table
+from beaconlake.sources.tables import MESSAGES_SQL as M
+from beaconlake.sources.tables import grid_lat, grid_lon, messages, table
 
 CORNER_M = 800.0
 _SFX = "(?:street|road|avenue|lane|square)"
@@ -112,6 +113,48 @@ SELECT event_id, town, how, CASE WHEN how IN ('address', 'crossing') THEN 'exact
   round(CASE how WHEN 'address' THEN alat WHEN 'crossing' THEN xlat WHEN 'corner' THEN (alat + blat) / 2 WHEN 'street' THEN alat WHEN 'corrected' THEN flat WHEN 'cluster' THEN flat WHEN 'town' THEN clat END, 5) AS lat,
   round(CASE how WHEN 'address' THEN alon WHEN 'crossing' THEN xlon WHEN 'corner' THEN (alon + blon) / 2 WHEN 'street' THEN alon WHEN 'corrected' THEN flon WHEN 'cluster' THEN flon WHEN 'town' THEN clon END, 5) AS lon FROM w"""
 
+_FIELDS = {
+    "address": "CASE event_id % 8 WHEN 0 THEN addr || ', Ayr, MA' WHEN 1 THEN street WHEN 2 THEN street || ' and ' || street2 WHEN 3 THEN addr WHEN 4 THEN 'null' WHEN 5 THEN addr || ', harlow hill' WHEN 6 THEN street || ', bury, ayr , 02139' ELSE 'ayr, ma' END",
+    "street": "CASE event_id % 5 WHEN 0 THEN addr WHEN 1 THEN street WHEN 2 THEN 'N/A' END",
+    "cross": "CASE event_id % 7 WHEN 0 THEN street2 WHEN 1 THEN street || ' & ' || street2 WHEN 2 THEN 'x' END",
+    "town": "CASE WHEN event_id % 3 = 0 THEN 'Bury' WHEN event_id % 3 = 1 THEN 'unknown' END",
+    "sign": "CASE event_id % 4 WHEN 0 THEN unit WHEN 1 THEN CAST(event_id % 1000 AS STRING) WHEN 2 THEN '' END",
+}
+
+
+def field_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields as they come, each in its place; and whether the call sign is one to know a unit by."""
+    rows = calls(spark, sf).select("event_id", F.inline(F.array(F.struct(*[F.expr(e).alias(n) for n, e in _FIELDS.items()]))))
+    c = F.col
+    return rows.select("event_id", fields.repaired(c("address"), c("street"), c("cross"), c("town"), F.array(F.lit("ayr"), F.lit("bury"))).alias("r"), fields.strong_unit(c("sign")).alias("strong")).select("event_id", "r.*", "strong")
+
+
+_said = lambda c: f"CASE WHEN length(trim({c})) >= 3 AND lower(trim({c})) NOT IN ('null', 'none', 'unknown', 'n/a') THEN trim({c}) END"
+_two = r"regexp_matches({}, '(?i)\s+(?:and|&|/|at the corner of|corner of)\s+')".format
+_num = r"coalesce(regexp_matches({}, '^[0-9]{{1,5}}[A-Za-z]?\s'), false)".format
+_REPAIR = f"""WITH {CALLS_SQL}, f AS (SELECT event_id, {', '.join(f'{e} AS {n}' for n, e in _FIELDS.items())} FROM calls),
+a AS (SELECT event_id, {_said('address')} AS a0, {_said('street')} AS st, {_said('"cross"')} AS x, {_said('town')} AS tn, sign FROM f),
+t AS (SELECT *, regexp_extract(a0, '^(.+?)((?: *, *(?:(?i:ma|ayr|bury)|[0-9]{{5}}))*) *$', 1) AS left_, regexp_extract(a0, '^(.+?)((?: *, *(?:(?i:ma|ayr|bury)|[0-9]{{5}}))*) *$', 2) AS tail FROM a),
+b AS (SELECT *, nullif(coalesce(left_, ''), '') AS ad, list_filter(list_transform(string_split(coalesce(tail, ''), ','), lambda p: trim(p)), lambda p: lower(p) IN ('ayr', 'bury')) AS found FROM t),
+c AS (SELECT *, ad IS NOT NULL AND NOT {_num('ad')} AS bare FROM b), d AS (SELECT *, bare AND {_two('ad')} AND x IS NULL AS corner FROM c),
+e AS (SELECT event_id, sign, CASE WHEN corner THEN ad ELSE x END AS x1, CASE WHEN bare AND NOT corner AND st IS NULL THEN ad ELSE st END AS st1, CASE WHEN NOT bare THEN ad END AS ad1, coalesce(tn, found[-1]) AS town FROM d),
+g AS (SELECT *, ad1 IS NULL AND {_num('st1')} AS mirrored FROM e), h AS (SELECT *, CASE WHEN mirrored THEN st1 ELSE ad1 END AS ad2, CASE WHEN NOT mirrored THEN st1 END AS st2 FROM g),
+i AS (SELECT *, x1 IS NOT NULL AND NOT {_two('x1')} AND st2 IS NULL AND ad2 IS NULL AS single FROM h)
+SELECT event_id, ad2 AS address, CASE WHEN single THEN x1 ELSE st2 END AS street, CASE WHEN NOT single THEN x1 END AS "cross", town, coalesce(regexp_matches(sign, '[A-Za-z]') OR length(regexp_replace(sign, '[^0-9]', '', 'g')) >= 3, false) AS strong FROM i"""
+
+
+def lookup_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Lookups of what events asked for, three times as slow; every fifth name is not to be found."""
+    n = F.col("event_id") % 97
+    rows = messages(spark, sf).select("event_id", F.concat(F.lit("name "), n).alias("name"), F.floor(F.col("at_us") / 1000 * 3).cast("bigint").alias("at_ms"), (n % 5 > 0).alias("found"))
+    return cache.served(rows).select("event_id", "name", "found", "fetched")
+
+
+_CACHE = f"""WITH RECURSIVE {M}, l AS MATERIALIZED (SELECT event_id, 'name ' || (event_id % 97) AS name, CAST(floor(at_us / 1000.0 * 3) AS BIGINT) AS at_ms, event_id % 97 % 5 > 0 AS found FROM messages),
+o AS (SELECT name, found, min(at_ms) AS at_ms FROM l GROUP BY name, found UNION ALL SELECT o.name, o.found, min(l.at_ms) FROM o JOIN l ON l.name = o.name AND l.at_ms >= o.at_ms + CASE WHEN o.found THEN {cache.HIT_MS} ELSE {cache.MISS_MS} END GROUP BY o.name, o.found, o.at_ms)
+SELECT event_id, name, found, (name, at_ms) IN (SELECT (name, at_ms) FROM o) AS fetched FROM l"""
+
+
 _PLACES = f"SELECT DISTINCT name AS alias, 'p-' || name || town AS place, CASE length(name) % 3 WHEN 0 THEN 'hall' WHEN 1 THEN 'rail' ELSE 'road' END AS kind, town FROM k UNION ALL SELECT DISTINCT core, 'c-' || core || town, CASE length(core) % 4 WHEN 0 THEN 'town' WHEN 1 THEN 'rail' ELSE 'hall' END, town FROM k"
 _HEARD_TEXT = "CASE WHEN event_id % 6 = 0 THEN text || ' inbound' WHEN event_id % 6 = 1 THEN replace(text, ' street', '') ELSE text END"
 
@@ -141,4 +184,6 @@ QUERIES: dict[str, Query] = {
     "geocoded": Query(geocoded, ("E7", "E9", "E10", "E11", "B7", "B8", "B10"), _SQL),
     "street_crossings": Query(street_crossings, ("J13", "E9"), f"WITH {_STREETS} SELECT town, a, b, round(lat, 6) AS lat, round(lon, 6) AS lon FROM x"),
     "gazetteer_scan": Query(gazetteer_scan, ("E12", "B6"), _SCAN),
+    "lookup_cache": Query(lookup_cache, ("E14",), _CACHE),
+    "field_repair": Query(field_repair, ("E6", "F11"), _REPAIR),
 }

@@ -184,7 +184,7 @@ QUERIES: dict[str, Query] = {
         FROM messages e LEFT JOIN places p ON p.place_id = e.k LEFT JOIN n ON n.event_id = e.event_id WHERE e.call_type = 'purchase'""",
     ),
     "pair_candidates": Query(
-        pair_candidates, ("J13",),
+        pair_candidates, (),
         """WITH top AS (SELECT p_brand, p_partkey, p_size FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) <= 6)
         SELECT x.p_brand, x.p_partkey AS a, y.p_partkey AS b, round(42.2 + (x.p_partkey * 7919 % 1000) / CAST(2500 AS DOUBLE), 6) AS lat, round(-71.2 + (y.p_partkey * 104729 % 1000) / CAST(2500 AS DOUBLE), 6) AS lon,
                x.p_size + y.p_size AS total

@@ -94,7 +94,7 @@ _SCORED = _scored_sql()
 
 QUERIES: dict[str, Query] = {
     "archive_search": Query(
-        archive_search, ("C8", "C9", "F19", "G4", "B4", "W1", "G5", "O3"),
+        archive_search, ("C8", "G4", "B4", "W1", "G5", "O3"),
         f"""WITH {_SCORED}, m AS (SELECT *, CASE WHEN at_us - lag(at_us) OVER (PARTITION BY feed ORDER BY at_us, event_id) <= {12 * MINUTE} THEN 0 ELSE 1 END AS s FROM scored),
         b AS (SELECT *, CAST(sum(s) OVER (PARTITION BY feed ORDER BY at_us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS burst FROM m)
         SELECT feed, burst, max(b.score) AS best, count(*) AS n, max(tier) AS tier, count(DISTINCT unit) AS units, min(at_us) AS from_us, max(at_us) AS to_us, arg_max(street, (b.score, -event_id)) AS place,

@@ -123,7 +123,7 @@ QUERIES: dict[str, Query] = {
         SELECT heard, name, edits, row_number() OVER (PARTITION BY heard ORDER BY edits, name) AS place, count(*) OVER (PARTITION BY heard) = 1 OR (edits = 0) AS confident FROM j QUALIFY place <= 3""",
     ),
     "ngram_scan": Query(
-        ngram_scan, ("E12", "B6"),
+        ngram_scan, ("B6",),
         """WITH t AS (SELECT p_partkey AS id, string_split(lower(p_name || ' ' || p_type || ' ' || p_name), ' ') AS w FROM part),
         g AS (SELECT id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram FROM t, range(1, 4) a(n), range(1, 20) b(i) WHERE i + n - 1 <= len(w)),
         names AS (SELECT DISTINCT lower(p_name) AS name FROM part)
@@ -158,7 +158,7 @@ QUERIES: dict[str, Query] = {
         SELECT doc_id, claim, regexp_matches(text, '\\b(?:' || evidence || ')\\b') AS grounded FROM ascii_docs, c WHERE regexp_matches(text, '\\b(?:' || says || ')\\b')""",
     ),
     "masked_ids": Query(
-        masked_ids, ("F15", "F16"),
+        masked_ids, (),
         """WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[0-9]{3}[-. ][0-9]{3,4}[-. ]?[0-9]{0,4}') AS f FROM documents)
         SELECT doc_id, len(f) AS n_found, array_to_string(list_sort(list_transform(f, lambda v: left(sha256(regexp_replace(v, '[^0-9]', '', 'g')), 12))), ',') AS keys,
         length(regexp_replace(text, '[0-9]{3}[-. ][0-9]{3,4}[-. ]?[0-9]{0,4}', '[number]', 'g')) AS masked_chars FROM d""",
