@@ -196,7 +196,9 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     schema = "shard int, name string, records bigint, ids bigint, bytes bigint, wide boolean"
     manifest = spark.read.schema(schema).parquet(f"{folder}/manifest")
     before = F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # a row per shard
-    shards = manifest.withColumn("base", F.coalesce(before, F.lit(0).cast("bigint"))).repartition("name")
+    # A number of tasks of its own: the rows are few and small, the files they name are not.
+    tasks = max(1, min(manifest.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    shards = manifest.withColumn("base", F.coalesce(before, F.lit(0).cast("bigint"))).repartition(tasks, "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
