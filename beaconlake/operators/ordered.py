@@ -8,11 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def gap_bursts(df: DataFrame, by: str, at: str, gap: int, tie: str, out: str = "burst") -> DataFrame:
-    """Number the bursts of ``by`` from 1: a row joins its predecessor if at most ``gap`` later (inclusive)."""
-    w = Window.partitionBy(by).orderBy(at, tie)
-    starts = F.when(F.col(at) - F.lag(at).over(w) <= gap, 0).otherwise(1)
-    return df.withColumn("_start", starts).withColumn(out, F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
+def gap_bursts(df: DataFrame, by: str, at: str, gap: int, tie: str, out: str = "burst", chunk: int = 64) -> DataFrame:
+    """Number the bursts of ``by`` from 1: a row joins its predecessor if at most ``gap`` later (inclusive).
+
+    ``at`` is an integer.  Rows are marked in stretches of ``chunk`` gaps, so a source that never rests is many tasks; what a stretch
+    begins with comes from one row for each.  Rows without a time are one burst before all others.
+    """
+    stretch = df.withColumn("_c", F.coalesce(F.floor(F.col(at) / (chunk * gap)), F.lit(-(1 << 62))))
+    w = Window.partitionBy(by, "_c").orderBy(at, tie)
+    inner = F.when(F.lag(at).over(w).isNull() | (F.col(at) - F.lag(at).over(w) <= gap), 0).otherwise(1)
+    marked = stretch.withColumn("_inner", inner).withColumn("_upto", F.sum("_inner").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = stretch.withColumn("_inner", inner).groupBy(F.col(by).alias("_by"), F.col("_c").alias("_k")).agg(F.min(at).alias("_first"), F.max(at).alias("_last"), F.sum("_inner").alias("_starts"))
+    line = Window.partitionBy("_by").orderBy("_k")
+    opens = F.when(F.col("_first") - F.lag("_last").over(line) <= gap, 0).otherwise(1)
+    known = ends.withColumn("_opens", opens).select("_by", "_k", (F.sum(F.col("_starts") + F.col("_opens")).over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_starts")).alias("_base"))
+    joined = marked.join(known, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_c") == F.col("_k")))
+    return joined.withColumn(out, F.col("_base") + F.col("_upto")).select(*df.columns, out)
 
 
 def aged_bursts(df: DataFrame, by: str, at: str, gap: int, max_age: int, tie: str, out: str = "burst_start") -> DataFrame:

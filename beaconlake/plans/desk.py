@@ -69,23 +69,30 @@ def capped_log(spark: SparkSession, sf: str) -> DataFrame:
     return ordered.last_n(m, ["call_type"], [F.desc("at_us"), F.desc("event_id")], 25)
 
 
-def halved_lists(lists: Column, budget: int, rounds: int = 64) -> Column:
-    """An array of list lengths after halving the longest (the first of equals) until their sum is within ``budget``."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+def fitted(each: Column, budget: int, rounds: int = 40) -> Column:
+    """An array of structs with a list ``events``, the first halves of whose longest lists are cut until its JSON has at most ``budget`` characters.
+
+    Of lists of one length the first is cut; a list of one event stays.
+    """
+    sizes = lambda a: F.transform(a, lambda e: F.size(e["events"]))
 
     def step(a: Column, _: Column) -> Column:
-        longest = F.array_position(a, F.array_max(a)).cast("int")
-        return F.when(total(a) <= budget, a).otherwise(F.transform(a, lambda x, i: F.when(i + 1 == longest, F.floor(x / 2).cast("int")).otherwise(x)))
+        longest = F.array_position(sizes(a), F.array_max(sizes(a))).cast("int") - 1
+        cut = lambda e: e.withField("events", F.slice(e["events"], F.ceil(F.size(e["events"]) / 2).cast("int") + 1, F.size(e["events"])))
+        return F.when((F.length(F.to_json(a)) <= budget) | (F.array_max(sizes(a)) < 2), a).otherwise(F.transform(a, lambda e, i: F.when(i == longest, cut(e)).otherwise(e)))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), each, step)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), lists, step)
+
+BUDGET = 1200
 
 
 def trimmed_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Per day the event counts of its feeds, the longest halved until the day holds at most 150."""
-    n = messages(spark, sf).groupBy(F.floor(F.col("at_us") / DAY).alias("day"), "feed").agg(F.count("*").cast("int").alias("n"))
-    days = n.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("feed", "n"))).alias("each"))  # a row per feed
-    kept = halved_lists(F.transform("each", lambda e: e.n), 150)
-    return days.select("day", F.array_join(kept.cast("array<string>"), ",").alias("kept"))
+    """Per day the events of its feeds, the oldest of the longest cut until the day's JSON has at most BUDGET characters."""
+    n = messages(spark, sf).groupBy(F.floor(F.col("at_us") / DAY).alias("day"), "feed").agg(F.array_sort(F.collect_list(F.struct("at_us", "event_id"))).alias("e"))
+    days = n.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("feed", F.transform("e", lambda x: x["event_id"].cast("string")).alias("events")))).alias("each"))  # a row per feed
+    kept = days.select("day", F.explode(F.array(fitted(F.col("each"), BUDGET))).alias("kept"))
+    return kept.select("day", F.to_json("kept").alias("json"), F.length(F.to_json("kept")).alias("chars"))
 
 
 def change_gate(spark: SparkSession, sf: str) -> DataFrame:
@@ -288,7 +295,14 @@ QUERIES: dict[str, Query] = {
         SELECT o_custkey, max(n) AS timeline_total, count(*) AS kept, min(o_orderkey) AS least_key FROM r WHERE r <= CASE WHEN open THEN 10 ELSE 3 END GROUP BY 1""",
     ),
     "capped_log": Query(capped_log, ("K9",), f"WITH {M} SELECT call_type, event_id, at_us, row_number() OVER (PARTITION BY call_type ORDER BY at_us DESC, event_id DESC) AS back FROM messages WHERE at_us BETWEEN {NOW - 10 * DAY} AND {NOW} QUALIFY back <= 25"),
-    "trimmed_events": Query(trimmed_events, ("K6",)),
+    "trimmed_events": Query(
+        trimmed_events, ("K6",),
+        f"""WITH RECURSIVE {M}, f AS (SELECT at_us // {DAY} AS day, feed, list(CAST(event_id AS VARCHAR) ORDER BY at_us, event_id) AS events FROM messages GROUP BY ALL),
+        d AS (SELECT day, list({{'feed': feed, 'events': events}} ORDER BY feed) AS kept FROM f GROUP BY day),
+        r AS (SELECT day, kept, 0 AS pass FROM d UNION ALL SELECT day, list_transform(kept, lambda e, i: CASE WHEN i = list_position(sizes, list_max(sizes)) THEN {{'feed': e.feed, 'events': e.events[CAST(ceil(len(e.events) / CAST(2 AS DOUBLE)) AS BIGINT) + 1 :]}} ELSE e END), pass + 1
+          FROM (SELECT *, list_transform(kept, lambda e: len(e.events)) AS sizes FROM r) WHERE pass < 40 AND length(CAST(to_json(kept) AS VARCHAR)) > {BUDGET} AND list_max(sizes) > 1)
+        SELECT day, CAST(to_json(kept) AS VARCHAR) AS json, CAST(length(json) AS INT) AS chars FROM r QUALIFY row_number() OVER (PARTITION BY day ORDER BY pass DESC) = 1""",
+    ),
     "change_gate": Query(
         change_gate, ("B19",),
         f"""WITH {M}, s AS (SELECT unit, event_id, at_us, left(sha256('feed=' || feed || '|kind=' || call_type || '|live=' || CASE WHEN k >= 50 THEN 'true' ELSE 'false' END), 12) AS sig FROM messages),

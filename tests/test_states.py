@@ -259,18 +259,24 @@ def test_score(spark):
     assert points("biggest", row("x", k=3)) == 1 + 3 + 2 + 2 and points("what happened", row("x")) == 1
 
 
-def test_trimmed_lists(spark):
-    def plain(sizes, budget):
-        sizes = list(sizes)
-        while sum(sizes) > budget:
-            i = sizes.index(max(sizes))
-            sizes[i] //= 2
-        return sizes
-
-    cases = [[5, 9, 9], [100], [1, 1, 1], [40, 39, 38, 2]]
-    for sizes in cases:
-        got = spark.range(1).select(desk.halved_lists(F.array(*map(F.lit, sizes)), 20).alias("x")).first().x
-        assert got == plain(sizes, 20)
+def test_lists_cut_to_a_budget(spark):
+    import json
+
+    def plain(lists, budget):
+        lists = [{"feed": f, "events": list(e)} for f, e in lists]
+        size = lambda: len(json.dumps(lists, separators=(",", ":")))
+        while size() > budget and max(len(x["events"]) for x in lists) > 1:
+            longest = max(lists, key=lambda x: len(x["events"]))
+            longest["events"] = longest["events"][(len(longest["events"]) + 1) // 2 :]
+        return lists
+
+    cases = [[("a", range(5)), ("b", range(9)), ("c", range(9))], [("a", range(100))], [("a", "x"), ("b", "y")], [("a", range(40)), ("b", range(39)), ("c", [])]]
+    for lists in cases:
+        lists = [(f, [str(x) for x in e]) for f, e in lists]
+        for budget in (10, 90, 200):
+            df = spark.createDataFrame([([{"feed": f, "events": e} for f, e in lists],)], "each array<struct<feed:string,events:array<string>>>")
+            got = df.select(desk.fitted(F.col("each"), budget).alias("x")).first().x
+            assert [r.asDict() for r in got] == plain(lists, budget)
 
 
 def test_phrases_and_curves(spark):
@@ -326,3 +332,20 @@ def test_raw_fallback_and_bad_lines(spark, tmp_path):
         q.awaitTermination(120)
         rows = spark.read.parquet(f"{tmp_path}/{name}/pieces").select("seq", "by").collect()
         assert sorted((r.seq, r.by) for r in rows) == [(1, "rules" if name == "ok" else "raw-fallback"), (2, "rules" if name == "ok" else "raw-fallback")]
+
+
+def test_bursts_over_stretches(spark):
+    """Numbered as one walk over each source numbers them, with times at the edges of stretches, ties and nulls."""
+    rng = random.Random(9)
+    rows, at = [], 0
+    for i in range(300):
+        at += rng.choice([0, 1, 9, 10, 11, 100, 640])
+        rows.append((rng.choice(["f", "g", None]), at if rng.random() > 0.05 else None, i))
+    got = {r.tie: r.burst for r in ordered.gap_bursts(spark.createDataFrame(rows, "feed string, at bigint, tie int").repartition(5), "feed", "at", 10, "tie", chunk=3).collect()}
+    want = {}
+    for feed in ("f", "g", None):
+        last, n = None, 0
+        for _, at, tie in sorted((r for r in rows if r[0] == feed), key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+            n += n == 0 or (at is not None and (last is None or at - last > 10))
+            want[tie], last = n, at
+    assert got == want
