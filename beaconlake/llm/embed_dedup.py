@@ -207,5 +207,6 @@ def near_duplicates(
 
 
 def op1_embed_dedup(vectors: DataFrame) -> DataFrame:
+    """Contract columns of :func:`near_duplicates`, which states null and odd vectors, repeats and empty tables; null keys link with nothing."""
     found = near_duplicates(vectors)
     return found.select("vec_id", "n_links", F.col("component").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component")).alias("kept"))

@@ -301,4 +301,5 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
 
 
 def op3_line_dedup(docs: DataFrame) -> DataFrame:
+    """Columns of :func:`similar_lines`, which states nulls, empty and repeated texts, ties and empty tables, without the digest."""
     return similar_lines(docs).drop("digest")

@@ -146,4 +146,5 @@ def clean(docs: DataFrame, *, key: str = "doc_id", host: str = "source", text: s
 
 
 def op4_quality(docs: DataFrame) -> DataFrame:
+    """Contract columns of :func:`judge`, which states nulls, repeats and empty tables, and lost_words."""
     return judge(docs).select("doc_id", *_COUNTS, "base_failed", "kept", "lost_words")
