@@ -90,6 +90,33 @@ def trace(items: DataFrame, lines: DataFrame, item: str, line: list[str], k: int
     return scored.withColumn("_r", F.row_number().over(Window.partitionBy(item).orderBy(F.desc("score"), *line))).filter(F.col("_r") <= k).drop("_r")
 
 
+#: What a clock, a number and a word are worth, and what a line must reach.
+CLOCK, NUMBER, WORD, LEAST, LEAST_WORDS, MOST_LINES = 8, 5, 1, 5, 3, 12
+
+
+def evidence(text: Column) -> Column:
+    """Numbers of two digits or more and words of four letters or more in a text, the clocks in it left out."""
+    rest = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?<![0-9a-z])[0-9]{1,2}:[0-9]{2}\s*(?:[ap]\.?m\.?)?", " ")
+    return F.array_distinct(F.filter(F.split(rest, "[^a-z0-9]+"), lambda w: w.rlike("^[0-9]{2,}$") | (~w.rlike("^[0-9]*$") & (F.length(w) > 3))))
+
+
+def citations(prose: DataFrame, lines: DataFrame) -> DataFrame:
+    """What each piece of prose rests on: item, n, cited (ids of lines in order of time), first_at, last_at, score (of all).
+
+    ``prose``: item, scope, text; ``lines``: line, scope, at, minute (of the local day), text.  Only lines of the same scope are
+    looked at.  A line gains CLOCK if the prose names its minute, NUMBER for each number and WORD for each word they
+    share; LEAST points or LEAST_WORDS words make it a citation, the MOST_LINES best stay.
+    """
+    clock = lambda m: F.concat(F.lit("at "), m.cast("string"))
+    told = prose.select("item", "scope", F.explode(F.array_distinct(F.concat(evidence(F.col("text")), F.transform(tx.clock_minutes(F.col("text")), clock)))).alias("_w"))
+    said = lines.select("line", F.col("scope").alias("_scope"), "at", F.explode(F.concat(evidence(F.col("text")), F.array(clock(F.col("minute"))))).alias("_v"))
+    worth = F.when(F.col("_w").startswith("at "), CLOCK).when(F.col("_w").rlike("^[0-9]+$"), NUMBER).otherwise(WORD)
+    met = told.join(said, (F.col("scope") == F.col("_scope")) & (F.col("_w") == F.col("_v"))).groupBy("item", "line", "at").agg(F.sum(worth).alias("score"), F.count_if(worth == WORD).alias("_words"))
+    best = met.filter((F.col("score") >= LEAST) | (F.col("_words") >= LEAST_WORDS)).withColumn("_r", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "at", "line"))).filter(F.col("_r") <= MOST_LINES)
+    cited = F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])
+    return best.groupBy("item").agg(F.count("*").alias("n"), cited.alias("cited"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.sum("score").alias("score"))
+
+
 def fuzzy_candidates(heard: DataFrame, names: DataFrame, cap: int, k: int) -> DataFrame:
     """Names within ``cap`` edits of a heard word, blocked by first letter and length; the best ``k``.
 

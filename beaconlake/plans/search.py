@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from beaconlake.functions import scoring
 from beaconlake.functions import text as tx
-from beaconlake.operators import ordered, questions
+from beaconlake.operators import ordered, questions, retrieval
 from beaconlake.plans.calls import CALLS_SQL, calls
 from beaconlake.plans.core import Query
 
@@ -77,6 +77,25 @@ def search_context(spark: SparkSession, sf: str) -> DataFrame:
     return first.select("anchor", "event_id", "gap", "why")
 
 
+def cited_prose(spark: SparkSession, sf: str) -> DataFrame:
+    """What every fiftieth call, told again with its clock, rests on among the calls of its feed and day."""
+    c = calls(spark, sf).withColumn("scope", F.concat_ws("|", "feed", F.floor(F.col("at_us") / (1440 * MINUTE))))
+    minute = F.hour("at") * 60 + F.minute("at")
+    told = F.concat(F.lit("At "), F.date_format("at", "HH:mm"), F.lit(" a line said "), "text", F.lit(" near "), "street2")
+    prose = c.filter("event_id % 50 = 0").select(F.col("event_id").alias("item"), "scope", told.alias("text"))
+    found = retrieval.citations(prose, c.select(F.col("event_id").alias("line"), "scope", F.col("at_us").alias("at"), minute.alias("minute"), "text"))
+    return found.select("item", "n", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited"), "first_at", "last_at", "score")
+
+
+_EVIDENCE = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({}), '\\b[0-9]{{1,2}}:[0-9]{{2}}', ' ', 'g'), '[^a-z0-9]+'), lambda w: regexp_matches(w, '^[0-9]{{2,}}$') OR (NOT regexp_matches(w, '^[0-9]*$') AND length(w) > 3)))"
+_CITED = f"""WITH {CALLS_SQL}, c AS (SELECT *, feed || '|' || (at_us // {1440 * MINUTE}) AS scope, 'at ' || (hour("at") * 60 + minute("at")) AS clock FROM calls),
+p AS (SELECT event_id AS item, scope, unnest(list_append({_EVIDENCE.format("'At a line said ' || text || ' near ' || street2")}, clock)) AS w FROM c WHERE event_id % 50 = 0),
+l AS (SELECT event_id AS line, scope, at_us, unnest(list_append({_EVIDENCE.format('text')}, clock)) AS w FROM c),
+m AS (SELECT item, line, at_us, sum(CASE WHEN w LIKE 'at %' THEN 8 WHEN regexp_matches(w, '^[0-9]+$') THEN 5 ELSE 1 END) AS score, count(*) FILTER (NOT w LIKE 'at %' AND NOT regexp_matches(w, '^[0-9]+$')) AS words FROM p JOIN l USING (scope, w) GROUP BY ALL),
+b AS (SELECT * FROM m WHERE score >= 5 OR words >= 3 QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, at_us, line) <= 12)
+SELECT item, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY at_us, line) AS cited, min(at_us) AS first_at, max(at_us) AS last_at, CAST(sum(score) AS BIGINT) AS score FROM b GROUP BY item"""
+
+
 def _scored_sql() -> str:
     asked = questions.parse(QUESTION, PRESENT, PLACES, LANDMARKS, VOCABULARY)
     start, end = (int(t.timestamp() * 1e6) for t in (asked.span.start, asked.span.end))
@@ -93,6 +112,7 @@ def _scored_sql() -> str:
 _SCORED = _scored_sql()
 
 QUERIES: dict[str, Query] = {
+    "cited_prose": Query(cited_prose, ("B13", "J11"), _CITED),
     "archive_search": Query(
         archive_search, ("C8", "G4", "B4", "W1", "G5", "O3"),
         f"""WITH {_SCORED}, m AS (SELECT *, CASE WHEN at_us - lag(at_us) OVER (PARTITION BY feed ORDER BY at_us, event_id) <= {12 * MINUTE} THEN 0 ELSE 1 END AS s FROM scored),

@@ -6,7 +6,7 @@ from pathlib import Path
 
 from beaconlake.plans.registry import QUERIES
 
-NOT_BUILT = {"B13", "S18"}
+NOT_BUILT = {"S18"}
 
 
 def test_not_built_is_not_claimed():
