@@ -9,6 +9,8 @@ merge gap of what came before; towns and stretches are the unit of work.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -38,31 +40,92 @@ def _near(a: dict, b: dict) -> bool:
     return 111194.92664455873 * math.hypot(b["lat"] - a["lat"], (b["lon"] - a["lon"]) * math.cos(mid)) <= SAME_PLACE_M
 
 
+#: Width of a place's cell in degrees: a little more than SAME_PLACE_M.
+_WIDTH = SAME_PLACE_M / 111194.92664455873 * 1.001
+
+
+class _Lists:
+    """Scenes that a seed may be near, in order of time, by what they share with it: an address, a cell of places, a word.
+
+    The unseeded are in lists of their own, since they are never taken by their like.  What a seed took in
+    leaves each list that is read, so no list is read again and again where little of it is left.
+    """
+
+    def __init__(self, alive: list[dict]):
+        self.alive = alive
+        self.gone: set[int] = set()
+        self.lists: dict[tuple, list[int]] = {}
+        for j, r in enumerate(alive):
+            for key in self._homes(r):
+                self.lists.setdefault((bool(r["loose"]), *key), []).append(j)
+
+    @staticmethod
+    def _lone(r: dict) -> bool:
+        return r["lat"] is None or r["lon"] is None
+
+    @staticmethod
+    def _step(band: int) -> float:
+        """The width in longitude of the cells of a band of latitude, at least SAME_PLACE_M anywhere in it or beside it; near a pole none."""
+        top = (max(abs(band), abs(band + 1)) + 1) * _WIDTH
+        return _WIDTH / math.cos(math.radians(top)) if top < 89 else math.inf
+
+    def _homes(self, r: dict) -> list[tuple]:
+        keys: list[tuple] = [("address", r["address"])] if r["address"] else []
+        keys += [("word", w) for w in r["words"]]
+        if self._lone(r):
+            keys += [("lone", w) for w in r["words"]]
+        elif math.isfinite(r["lat"]) and math.isfinite(r["lon"]):
+            band = math.floor(r["lat"] / _WIDTH)
+            keys.append(("cell", band, math.floor(r["lon"] / self._step(band))))
+        return keys
+
+    def _around(self, r: dict) -> list[tuple]:
+        keys: list[tuple] = [("address", r["address"])] if r["address"] else []
+        keys += [("word" if self._lone(r) else "lone", w) for w in r["words"]]
+        if not self._lone(r) and math.isfinite(r["lat"]) and math.isfinite(r["lon"]):
+            band = math.floor(r["lat"] / _WIDTH)
+            for b in (band - 1, band, band + 1):
+                step = self._step(b)
+                reach = step if step < math.inf else 0.0
+                keys += [("cell", b, c) for c in range(math.floor((r["lon"] - reach) / step), math.floor((r["lon"] + reach) / step) + 1)]
+        return keys
+
+    def near(self, seed: dict, after: int, loose: bool) -> Iterator[int]:
+        """Scenes past number ``after`` that are near ``seed``, not yet gone and seeded or not, each list in order of time."""
+        for key in self._around(seed):
+            held = self.lists.get((loose, *key))
+            if not held:
+                continue
+            end = bisect_right(held, seed["to_ms"] + MERGE_MS, key=lambda j: self.alive[j]["from_ms"])
+            held[:end] = [j for j in held[:end] if j > after and j not in self.gone]
+            end = bisect_right(held, seed["to_ms"] + MERGE_MS, key=lambda j: self.alive[j]["from_ms"])
+            yield from [j for j in held[:end] if _near(seed, self.alive[j])]
+
+
 def sweep(rows: list[dict]) -> dict[str, str]:
     """Which scene each scene ends up in.  A loose one (a burst without a seed of its own) never takes in
     another loose one, and where it meets a seeded one it is that scene, with its name and seed."""
     alive = sorted(rows, key=lambda r: (r["from_ms"], r["scene"]))
     into = {r["scene"]: r["scene"] for r in alive}
-    gone: set[int] = set()
-    for i, first in enumerate(alive):
-        if i in gone:
+    lists = _Lists(alive)
+    for i, seed in enumerate(alive):
+        if i in lists.gone:
             continue
-        name, seed, loose, members = first["scene"], first, first["loose"], [first["scene"]]
-        again = True
-        while again:
-            again = False
-            for j in range(i + 1, len(alive)):
-                other = alive[j]
-                if j in gone or (loose and other["loose"]) or not _near(seed, other):
-                    continue
-                if loose and not other["loose"]:
-                    name, seed = other["scene"], other
-                members.append(other["scene"])
-                loose, again = False, True
-                gone.add(j)
-                break
-        for m in members:
-            into[m] = name
+        lists.gone.add(i)
+        members = [i]
+        if seed["loose"]:
+            first = min(lists.near(seed, i, False), default=None)
+            if first is None:
+                continue
+            seed = alive[first]
+            lists.gone.add(first)
+            members.append(first)
+        for loose in (False, True):
+            met = set(lists.near(seed, i, loose))
+            lists.gone |= met
+            members += met
+        for j in members:
+            into[alive[j]["scene"]] = seed["scene"]
     return into
 
 

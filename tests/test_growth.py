@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from time import perf_counter
 
-from beaconlake.operators import edits, model
+from beaconlake.operators import edits, model, scenes
 
 T0 = datetime(2024, 3, 5, 17, 0)
 
@@ -42,3 +42,18 @@ def test_undo_takes_the_first_of_equal_beats():
     assert edits._without([1, 2, 2, 3, 2], [2, 2]) == ([1, 3, 2], [])
     assert edits._without([2, 5], [5, 2, 7, 2, 5]) == ([2], [7, 5])  # the last that goes stays, as often as it is asked for
     assert edits._without([4], [5]) == ([4], [5])
+
+
+def test_sweep_of_a_busy_town():
+    """Scenes at many places are swept in time that grows with their number; the seeds are those of a plain sweep."""
+    rows = [{"scene": f"{i:06}", "from_ms": i * 1000, "to_ms": i * 1000, "lat": 42.0 + i % 60 * 0.01, "lon": -71.0, "address": None, "words": set(), "loose": False} for i in range(30_000)]
+    at = perf_counter()
+    into = scenes.sweep(rows)
+    assert perf_counter() - at < 10
+    heads, want = {}, {}
+    for r in rows:
+        head = heads.get(r["lat"])
+        if head is None or r["from_ms"] - head["to_ms"] > scenes.MERGE_MS:
+            head = heads[r["lat"]] = r
+        want[r["scene"]] = head["scene"]
+    assert into == want
