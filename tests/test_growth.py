@@ -6,6 +6,7 @@ from datetime import datetime
 from time import perf_counter
 
 from beaconlake.operators import edits, model, scenes
+from beaconlake.plans import desk
 
 T0 = datetime(2024, 3, 5, 17, 0)
 
@@ -57,3 +58,10 @@ def test_sweep_of_a_busy_town():
             head = heads[r["lat"]] = r
         want[r["scene"]] = head["scene"]
     assert into == want
+
+
+def test_alert_cells_keep_short_words(spark, sf):
+    """Only stop words leave a headline's key, not every word of three letters or fewer."""
+    keys = {r.alert_key for r in desk.alert_cells(spark, sf).filter("alert_key LIKE '%|nowhere|%'").collect()}
+    words = {w for k in keys for w in k.split("|")[2].split("-")}
+    assert {w for w in words if w and len(w) <= 3} and not words & {"the", "a", "at", "on", "of", "near"}
