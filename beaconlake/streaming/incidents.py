@@ -7,12 +7,14 @@ a line that says so or 90 minutes after its last one, and archived three hours l
 Messages wait until the watermark has passed them and are then heard in order of (time, id), so the
 outcome depends on neither batches nor restarts.  Waiting messages, incidents and the unit of each
 are maps in the state store: a batch reads a key's open incidents and writes those that changed.
+Messages wait in slots of time, many in one value, and one slot at a time is heard.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -25,10 +27,14 @@ PLACE_MS, REACH_M = 120 * MINUTE, {"exact": 200.0, "approx": 90.0}
 VENUE_MS, VENUE_UNTYPED_MS = 25 * MINUTE, 4 * MINUTE
 CLEAR_MS, ARCHIVE_MS = 90 * MINUTE, 180 * MINUTE
 
+#: Time in one slot of waiting messages, and how many are sorted into slots at once.
+SLOT_MS, AT_ONCE = 10 * MINUTE, 50_000
+
 MESSAGE = "feed string, units array<string>, call_type string, role string, clear boolean, inherited boolean, lat double, lon double, precision string, matched string, venue string, spot string"
 SCENE = "first_ms bigint, last_ms bigint, ended_ms bigint, feed string, kind string, lat double, lon double, precision string, matched string, venue string, spot string, units array<string>, n int"
 OUT = "town string, event string, message string, incident string, how string, at_ms bigint, kind string, messages int, units int"
 _MESSAGE, _SCENE, _OUT = ([c.split(" ")[0] for c in schema.split(", ")] for schema in (MESSAGE, SCENE, OUT))
+_WAITING = "messages array<struct<" + ", ".join(f"{n}: {k}" for n, k in (c.split(" ") for c in f"at_ms bigint, message string, {MESSAGE}".split(", "))) + ">>"
 _BETTER = {None: 0, "weak": 1, "approx": 2, "exact": 3}
 
 
@@ -46,6 +52,10 @@ class Town:
         self.gone: set[str] = set()
         self.moved_units: set[str] = set()
         self.out: list[dict] = []
+        # Incidents that are not cleared, in order of their begin, and times at which one may be due, not after it is.
+        self.open = dict(sorted(((n, s) for n, s in scenes.items() if s["ended_ms"] is None), key=lambda x: (x[1]["first_ms"], x[0])))
+        self.wakes = [(self.due(s), n) for n, s in scenes.items()]
+        heapify(self.wakes)
 
     def _tell(self, event: str, name: str | None, at: int, **more) -> None:
         s = self.scenes.get(name, {})
@@ -55,6 +65,7 @@ class Town:
         """Clear an incident and free its units."""
         scene = self.scenes[name]
         scene["ended_ms"] = at
+        del self.open[name]
         self.changed.add(name)
         for u in scene["units"]:
             if self.units.get(u) == name:
@@ -64,10 +75,15 @@ class Town:
 
     def pass_time(self, now: int) -> None:
         """Clear and archive, in order of time, what is due strictly before ``now``."""
-        while due := min(((t, name) for name, s in self.scenes.items() if (t := self.due(s)) < now), default=None):
-            at, name = due
-            if self.scenes[name]["ended_ms"] is None:
+        while self.wakes and self.wakes[0][0] < now:
+            at, name = heappop(self.wakes)
+            if name not in self.scenes:
+                continue
+            if self.due(self.scenes[name]) > at:
+                heappush(self.wakes, (self.due(self.scenes[name]), name))
+            elif self.scenes[name]["ended_ms"] is None:
                 self.end(name, at)
+                heappush(self.wakes, (self.due(self.scenes[name]), name))
             else:
                 self._tell("archived", name, at)
                 del self.scenes[name]
@@ -90,12 +106,9 @@ class Town:
         """Whether both say where in the venue they are, and differ."""
         return bool(scene["spot"] and m["spot"] and scene["spot"] != m["spot"])
 
-    def _open(self) -> list[tuple[str, dict]]:
-        return sorted(((n, s) for n, s in self.scenes.items() if s["ended_ms"] is None), key=lambda x: (x[1]["first_ms"], x[0]))
-
     def _by_venue(self, m: dict) -> str | None:
         best = None
-        for name, s in self._open():
+        for name, s in self.open.items():
             age = m["at_ms"] - s["last_ms"]
             fits = age < VENUE_MS and s["kind"] in (None, m["call_type"]) if m["call_type"] else age < VENUE_UNTYPED_MS and s["feed"] == m["feed"]
             if s["venue"] == m["venue"] and fits and not self._elsewhere(s, m):
@@ -105,7 +118,7 @@ class Town:
 
     def _by_place(self, m: dict) -> tuple[str | None, str]:
         best = None
-        for name, s in self._open():
+        for name, s in self.open.items():
             if s["precision"] == "exact" and not s["venue"] and m["at_ms"] - s["last_ms"] < PLACE_MS:
                 if s["matched"] and s["matched"] == m["matched"]:
                     return name, "address"
@@ -127,6 +140,10 @@ class Town:
         if name is None and self._starts(m, placed):
             name, how = f"i-{m['message']}", "new"
             self.scenes[name] = {"first_ms": m["at_ms"], "last_ms": m["at_ms"], "ended_ms": None, "units": [], "n": 0} | {c: None for c in ("kind", "spot")} | {c: m[c] for c in ("feed", "lat", "lon", "precision", "matched", "venue")}
+            self.open.pop(name, None)
+            self.open[name] = self.scenes[name]
+            self.gone.discard(name)
+            heappush(self.wakes, (self.due(self.scenes[name]), name))
         if name is None:
             self._tell("message", None, m["at_ms"], message=m["message"], how="loose")
             return
@@ -167,28 +184,63 @@ class _Correlator(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at_ms bigint, message string", MESSAGE)
+        self.waiting = handle.getMapState("waiting", "slot bigint, chunk bigint", _WAITING)
+        self.chunks = handle.getValueState("chunks", "chunks bigint")
         self.scenes = handle.getMapState("scenes", "incident string", SCENE)
         self.units = handle.getMapState("units", "unit string", "incident string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first = None
+        first, slots, n = None, {}, 0
+        chunk = self.chunks.get()[0] if self.chunks.exists() else 0
         for r in rows:
-            self.waiting.updateValue((r.at_ms, r.message), tuple(r[c] for c in _MESSAGE))
+            slots.setdefault(r.at_ms // SLOT_MS, []).append((r.at_ms, r.message, *(r[c] for c in _MESSAGE)))
             first = r.at_ms if first is None else min(first, r.at_ms)
+            n += 1
+            if n % AT_ONCE == 0:
+                self._wait(slots, chunk)
+                slots, chunk = {}, chunk + 1
         if first is not None:
+            self._wait(slots, chunk)
+            self.chunks.update((chunk + 1,))
             self.handle.registerTimer(first + 1)
         return iter(())
 
+    def _wait(self, slots: dict[int, list[tuple]], chunk: int) -> None:
+        for slot, messages in slots.items():
+            self.waiting.updateValue((slot, chunk), (messages,))
+
+    def _due(self, keys: list[tuple[int, int]], now: int) -> tuple[list[tuple], int | None]:
+        """Messages of a slot before ``now``, each once, in order; the others wait on, and the time of their first."""
+        waiting = {}
+        for k in keys:
+            for m in self.waiting.getValue(k)[0]:
+                waiting[m[0], m[1]] = tuple(m)
+            self.waiting.removeKey(k)
+        later = [m for (at, _), m in waiting.items() if at >= now]
+        if later:
+            self.waiting.updateValue(keys[-1], (later,))
+        return sorted((m for (at, _), m in waiting.items() if at < now), key=lambda m: m[:2]), min((m[0] for m in later), default=None)
+
+    @staticmethod
+    def _told(town: Town, key: tuple) -> Iterable[Row]:
+        told, town.out = town.out, []
+        return (Row(**{c: row.get(c) for c in _OUT} | {"town": key[0]}) for row in told)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(((tuple(k), v) for k, v in self.waiting.iterator()), key=lambda x: x[0])
-        due = [(k, v) for k, v in waiting if k[0] < now]
+        slots: dict[int, list[tuple[int, int]]] = {}
+        for k in sorted(tuple(k) for k in self.waiting.keys()):
+            slots.setdefault(k[0], []).append(k)
         scenes = {k[0]: dict(zip(_SCENE, v)) | {"units": list(v[_SCENE.index("units")])} for k, v in self.scenes.iterator()}
         town = Town(scenes, {k[0]: v[0] for k, v in self.units.iterator()}, self.ranks)
-        for (at, message), v in due:
-            town.hear(dict(zip(_MESSAGE, v)) | {"at_ms": at, "message": message})
-            self.waiting.removeKey((at, message))
+        wakes = [slot * SLOT_MS + 1 for slot in slots if slot * SLOT_MS >= now]
+        for slot in [slot for slot in slots if slot * SLOT_MS < now]:
+            due, later = self._due(slots[slot], now)
+            for m in due:
+                town.hear(dict(zip(("at_ms", "message", *_MESSAGE), m)))
+            if later is not None:
+                wakes.append(later + 1)
+            yield from self._told(town, key)
         town.pass_time(now)
         for name in town.changed - town.gone:
             self.scenes.updateValue((name,), tuple(scenes[name][c] for c in _SCENE))
@@ -200,11 +252,9 @@ class _Correlator(StatefulProcessor):
                 self.units.updateValue((u,), (town.units[u],))
             elif self.units.containsKey((u,)):
                 self.units.removeKey((u,))
-        later = [waiting[len(due)][0][0] + 1] if len(due) < len(waiting) else []
-        if wake := min(later + [town.due(s) + 1 for s in scenes.values()], default=None):
+        if wake := min(wakes + [town.due(s) + 1 for s in scenes.values()], default=None):
             self.handle.registerTimer(max(wake, now + 1))
-        for row in town.out:
-            yield Row(**{c: row.get(c) for c in _OUT} | {"town": key[0]})
+        yield from self._told(town, key)
 
     def close(self) -> None:
         pass

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 from time import perf_counter
+from types import SimpleNamespace
+
+from pyspark.sql import Row
 
 from beaconlake.operators import edits, model, scenes
 from beaconlake.plans import desk
+from beaconlake.streaming import incidents
 
 T0 = datetime(2024, 3, 5, 17, 0)
 
@@ -65,3 +69,50 @@ def test_alert_cells_keep_short_words(spark, sf):
     keys = {r.alert_key for r in desk.alert_cells(spark, sf).filter("alert_key LIKE '%|nowhere|%'").collect()}
     words = {w for k in keys for w in k.split("|")[2].split("-")}
     assert {w for w in words if w and len(w) <= 3} and not words & {"the", "a", "at", "on", "of", "near"}
+
+
+class Held:
+    """A map of the state store that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def updateValue(self, key, value):
+        self.held[key], self.calls = value, self.calls + 1
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held[key]
+
+    def containsKey(self, key):
+        return key in self.held
+
+    def removeKey(self, key):
+        del self.held[key]
+        self.calls += 1
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+    def exists(self):
+        return False
+
+    def update(self, value):
+        pass
+
+
+def test_waiting_messages_share_the_values_of_the_store(spark):
+    """A thousand messages of an hour are a few values of the state store, and are heard once each in order of time."""
+    maps = {name: Held() for name in ("waiting", "scenes", "units", "chunks")}
+    handle = SimpleNamespace(getMapState=lambda name, *_: maps[name], getValueState=lambda name, *_: maps[name], registerTimer=lambda at: None)
+    town = incidents._Correlator({})
+    town.init(handle)
+    base = dict.fromkeys(incidents._MESSAGE)
+    rows = [Row(**base | {"at_ms": i % 60 * 60_000, "message": f"m{i:04}", "units": ["E1"], "call_type": "fire"}) for i in range(1000)]
+    list(town.handleInputRows(("t",), iter(rows + rows[:5]), None))
+    told = list(town.handleExpiredTimer(("t",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 3_600_000), None))
+    assert [r.message for r in told] == [m for _, m in sorted((r.at_ms, r.message) for r in rows)]
+    assert maps["waiting"].calls <= 30 and not maps["waiting"].held
