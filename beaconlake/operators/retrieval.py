@@ -103,18 +103,62 @@ def evidence(text: Column) -> Column:
 def citations(prose: DataFrame, lines: DataFrame) -> DataFrame:
     """What each piece of prose rests on: item, n, cited (ids of lines in order of time), first_at, last_at, score (of all).
 
-    ``prose``: item, scope, text; ``lines``: line, scope, at, minute (of the local day), text.  Only lines of the same scope are
-    looked at.  A line gains CLOCK if the prose names its minute, NUMBER for each number and WORD for each word they
-    share; LEAST points or LEAST_WORDS words make it a citation, the MOST_LINES best stay.
+    ``prose``: item, scope, text; ``lines``: line, scope, at, minute (of the local day), text; items and lines are keys.  Only lines
+    of the same scope are looked at.  A line gains CLOCK if the prose names its minute, NUMBER for each number and WORD for each
+    word they share; LEAST points or LEAST_WORDS words make it a citation, the MOST_LINES best stay.
+
+    Texts with the same evidence score alike, so sets of evidence are compared and not lines: of each set a scope's first lines are
+    enough, of each set of prose in a scope the best of those, and besides these only the lines of a minute that a clock names.
     """
-    clock = lambda m: F.concat(F.lit("at "), m.cast("string"))
-    told = prose.select("item", "scope", F.explode(F.array_distinct(F.concat(evidence(F.col("text")), F.transform(tx.clock_minutes(F.col("text")), clock)))).alias("_w"))
-    said = lines.select("line", F.col("scope").alias("_scope"), "at", F.explode(F.concat(evidence(F.col("text")), F.array(clock(F.col("minute"))))).alias("_v"))
-    worth = F.when(F.col("_w").startswith("at "), CLOCK).when(F.col("_w").rlike("^[0-9]+$"), NUMBER).otherwise(WORD)
-    met = told.join(said, (F.col("scope") == F.col("_scope")) & (F.col("_w") == F.col("_v"))).groupBy("item", "line", "at").agg(F.sum(worth).alias("score"), F.count_if(worth == WORD).alias("_words"))
-    best = met.filter((F.col("score") >= LEAST) | (F.col("_words") >= LEAST_WORDS)).withColumn("_r", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "at", "line"))).filter(F.col("_r") <= MOST_LINES)
+    spark, where = lines.sparkSession, fresh_folder(lines.sparkSession, "citations")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{where}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{where}/{name}")
+
+    def first(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
+        return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= MOST_LINES).drop("_r")
+
+    key = F.concat_ws(" ", F.array_sort(evidence(F.col("text")))).alias("_key")
+    told = written(prose.select("item", "scope", key, F.array_distinct(tx.clock_minutes(F.col("text"))).alias("_clocks")), "told")
+    said = written(lines.select("line", "scope", "at", "minute", key), "said")
+    sets = written(told.select("_key").union(said.select("_key")).distinct().withColumn("_id", F.monotonically_increasing_id()), "sets")  # numbered once, when written
+    told = written(told.join(sets, "_key").select("item", "scope", "_clocks", F.col("_id").alias("_a")), "items")
+    said = said.join(sets, "_key").select("line", "scope", "at", "minute", F.col("_id").alias("_b"))
+    said = written(first(said, ["scope", "_b", "minute"], "at", "line"), "lines")
+    early = written(first(said, ["scope", "_b"], "at", "line"), "early")
+    asking, heard = told.select("scope", "_a").distinct(), early.select("scope", "_b").distinct()
+
+    # Pairs of sets that share a word, of all scopes together or in each, whichever are fewer.
+    worded = sets.select("_id", F.explode(F.filter(F.split("_key", " "), lambda w: w != "")).alias("_w"))
+    by_word = lambda df, c: df.join(worded, F.col(c) == F.col("_id")).drop("_id")
+    sides = by_word(asking, "_a"), by_word(heard, "_b")
+    plain = tuple(side.drop("scope").distinct() for side in sides)
+
+    def met(pair: tuple[DataFrame, DataFrame], on: list[str]) -> int:
+        n = [side.groupBy(*on).agg(F.count("*").cast("double").alias(f"_n{i}")) for i, side in enumerate(pair)]
+        return n[0].join(n[1], on).agg(F.sum(F.col("_n0") * F.col("_n1"))).first()[0] or 0
+
+    scoped = met(sides, ["scope", "_w"]) < met(plain, ["_w"])
+    at_home = ["scope"] if scoped else []
+    worth = F.when(F.col("_w").rlike("^[0-9]+$"), NUMBER).otherwise(WORD)
+    left, right = sides if scoped else plain
+    pairs = left.join(right, [*at_home, "_w"]).groupBy(*at_home, "_a", "_b").agg(F.sum(worth).alias("_points"), F.count_if(worth == WORD).alias("_words"))
+    pairs = written(pairs, "pairs")
+
+    strong = pairs.filter((F.col("_points") >= LEAST) | (F.col("_words") >= LEAST_WORDS)).drop("_words")
+    order = F.desc("_points"), "at", "line"
+    opening = early.withColumn("_o", F.row_number().over(Window.partitionBy("scope", "_b").orderBy("at", "line"))).filter("_o = 1").select("scope", "_b", "at", "line")
+    among = opening.join(strong, [*at_home, "_b"]).join(asking, ["scope", "_a"], "left_semi")
+    # A set's place among the sets is that of its first line.
+    best = first(among, ["scope", "_a"], *order).select("scope", "_a", "_b", "_points")
+    best = first(best.join(early, ["scope", "_b"]), ["scope", "_a"], *order)
+    by_text = told.join(best, ["scope", "_a"]).select("item", "line", "at", (F.col("_points") + F.when(F.array_contains("_clocks", F.col("minute")), CLOCK).otherwise(0)).alias("score"))
+    named = told.select("item", "scope", "_a", F.explode("_clocks").alias("minute")).join(said, ["scope", "minute"])
+    by_clock = named.join(pairs, [*at_home, "_a", "_b"], "left").select("item", "line", "at", (F.lit(CLOCK) + F.coalesce("_points", F.lit(0))).alias("score"))
+    cites = first(by_text.unionByName(by_clock).distinct(), ["item"], F.desc("score"), "at", "line")
     cited = F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])
-    return best.groupBy("item").agg(F.count("*").alias("n"), cited.alias("cited"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.sum("score").alias("score"))
+    return cites.groupBy("item").agg(F.count("*").alias("n"), cited.alias("cited"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.sum("score").alias("score"))
 
 
 def fuzzy_candidates(heard: DataFrame, names: DataFrame, cap: int, k: int) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from datetime import datetime
+from glob import glob
+from random import Random
 from time import perf_counter
 from types import SimpleNamespace
 
 from pyspark.sql import Row
 
-from beaconlake.operators import edits, model, scenes
+from beaconlake.operators import edits, model, retrieval, scenes
 from beaconlake.plans import desk
 from beaconlake.streaming import incidents
 
@@ -116,3 +118,30 @@ def test_waiting_messages_share_the_values_of_the_store(spark):
     told = list(town.handleExpiredTimer(("t",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 3_600_000), None))
     assert [r.message for r in told] == [m for _, m in sorted((r.at_ms, r.message) for r in rows)]
     assert maps["waiting"].calls <= 30 and not maps["waiting"].held
+
+
+def test_citations_compare_sets_of_evidence(spark):
+    """As a plain comparison of every piece of prose with every line of its scope; lines that say the same are compared once."""
+    rng = Random(5)
+    words = ["alder", "fire", "at", "engine", "smoke", "12", "409", "ladder", "7"]
+    say = lambda: " ".join(rng.choices(words, k=rng.randrange(6)))
+    prose = [(i, rng.choice("xyz"), " ".join([say(), *(f"{m // 60}:{m % 60:02}" for m in rng.sample(range(600, 612), rng.randrange(3)))])) for i in range(40)]
+    lines = [(i, rng.choice("xyz"), rng.randrange(90), 600 + rng.randrange(12), say()) for i in range(800)]
+    told = {i: (scope, set(t.split()) & {"alder", "fire", "engine", "smoke", "ladder", "12", "409"}, {int(w[:2]) * 60 + int(w[3:]) for w in t.split() if ":" in w}) for i, scope, t in prose}
+    want = {}
+    for i, (scope, a, clocks) in told.items():
+        met = []
+        for line, s, at, minute, t in lines:
+            both = a & set(t.split())
+            score, plain = sum(5 if w.isdigit() else 1 for w in both) + 8 * (minute in clocks), sum(not w.isdigit() for w in both)
+            if s == scope and (score >= 5 or plain >= 3):
+                met.append((-score, at, line))
+        if met:
+            best = sorted(met)[:12]
+            want[i] = (len(best), [n for _, _, n in sorted(best, key=lambda x: x[1:])], -sum(x[0] for x in best))
+    before = set(glob(f"{spark.conf.get('spark.checkpoint.dir')[7:]}/citations-*"))
+    got = retrieval.citations(spark.createDataFrame(prose, "item int, scope string, text string"), spark.createDataFrame(lines, "line int, scope string, at bigint, minute int, text string"))
+    assert {r["item"]: (r.n, r.cited, r.score) for r in got.collect()} == want
+    (folder,) = set(glob(f"{spark.conf.get('spark.checkpoint.dir')[7:]}/citations-*")) - before
+    sets = len({frozenset(a) for _, a, _ in told.values()}), len({frozenset(set(t.split()) - {"at", "7"}) for *_, t in lines})
+    assert spark.read.parquet(f"{folder}/pairs").count() <= sets[0] * sets[1]
