@@ -9,8 +9,9 @@ from time import perf_counter
 from types import SimpleNamespace
 
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
-from beaconlake.operators import edits, model, retrieval, scenes
+from beaconlake.operators import edits, joins, model, retrieval, scenes
 from beaconlake.plans import desk
 from beaconlake.streaming import incidents
 
@@ -145,3 +146,20 @@ def test_citations_compare_sets_of_evidence(spark):
     (folder,) = set(glob(f"{spark.conf.get('spark.checkpoint.dir')[7:]}/citations-*")) - before
     sets = len({frozenset(a) for _, a, _ in told.values()}), len({frozenset(set(t.split()) - {"at", "7"}) for *_, t in lines})
     assert spark.read.parquet(f"{folder}/pairs").count() <= sets[0] * sets[1]
+
+
+def test_topk_meets_as_many_rows_as_it_may_take(spark):
+    """Against a plain search, with ties and repeats of times; an anchor meets 2 (k + 1) numbered rows, however dense they lie."""
+    rng = Random(3)
+    rows = [(i, rng.choice(["f", "g", None]), rng.choice([None, *[rng.randrange(40)] * 20])) for i in range(600)]
+    frame = spark.createDataFrame(rows, "id int, feed string, at bigint")
+    got = {(r.anchor, r.id, r.gap, r.place) for r in joins.interval_topk(frame.filter("id % 7 = 0"), frame, "feed", "at", "id", 3, 20).collect()}
+    want = set()
+    for a, feed, at in rows:
+        if a % 7 == 0 and None not in (feed, at):
+            near = sorted((abs(t - at), i) for i, f, t in rows if f == feed and t is not None and i != a and abs(t - at) <= 3)
+            want |= {(a, i, gap, n + 1) for n, (gap, i) in enumerate(near[:20])}
+    assert got == want
+    dense = spark.range(3000).selectExpr("id", "'f' AS feed", "id AS at")
+    found = joins.interval_topk(dense.filter("id % 10 = 0"), dense, "feed", "at", "id", 10_000, 3)
+    assert found.count() == 900
