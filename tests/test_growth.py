@@ -8,10 +8,11 @@ from random import Random
 from time import perf_counter
 from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from beaconlake.operators import edits, joins, model, retrieval, scenes
+from beaconlake.operators import edits, joins, model, retrieval, scenes, tracks
 from beaconlake.plans import desk
 from beaconlake.streaming import incidents
 
@@ -172,3 +173,16 @@ def test_rows_of_one_point_meet_places_once(spark):
     assert joins.near_points(rows.selectExpr("id", "CAST(lat AS DOUBLE) AS lat", "lon"), places, 200.0).count() == 3
     found = joins.nearest_place(rows.selectExpr("id", "CAST(lat AS DOUBLE) AS lat", "lon"), places, "place", 200.0).groupBy("place").agg(F.count("*").alias("n"), F.round(F.max("metres")).alias("m"))
     assert {(r.place, r.n, r.m) for r in found.collect()} == {(7, 2500, 0.0), (5, 2500, 111.0)}
+
+
+def test_runs_go_through_one_call(spark):
+    """Runs one after another, cut by batches anywhere, are walked as each by itself; runs cost no call each."""
+    rng = Random(4)
+    runs = []
+    for r in range(30):
+        at = sorted(rng.randrange(400_000) for _ in range(rng.randrange(1, 9)))
+        runs.append(pd.DataFrame({"key": f"k{r}", "seq": range(len(at)), "at_ms": at, "lat": [42 + rng.randrange(4) * 0.002 for _ in at], "lon": -71.0, "_s": [1] + [0] * (len(at) - 1)}))
+    whole = pd.concat(runs, ignore_index=True)
+    want = [v for r in runs for v in tracks.walk(r).verdict]
+    got = [v for pdf in tracks.walk_all(iter([whole[:7], whole[7:8], whole[8:100], whole[100:]])) for v in pdf.verdict]
+    assert got == want and len(set(want)) > 3
