@@ -6,6 +6,8 @@ so of spans that overlap the first in priority is masked whole and the others ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,13 +35,32 @@ def key(value: Column, salt: str = "") -> Column:
     return F.substring(F.sha2(F.concat(F.lit(salt), F.upper(F.regexp_replace(value, "[^A-Za-z0-9]", ""))), 256), 1, 16)
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def found(text: Column, salt: str = "", extractors: dict[str, str] = EXTRACTORS) -> Column:
+    """struct<rest, one array of keys for each kind>: the text with ``[kind]`` in place of what was found, and the keys in order; a null text is empty.
+
+    Each text goes through each pattern once for the keys and, if there are any, once more for the tag.
+    """
+
+    def step(kind: str, pattern: str, before: list[str]) -> Callable[[Column], Column]:
+        rest = lambda s: F.when(F.size(s["hits"]) > 0, F.regexp_replace(s["rest"], pattern, f"[{kind}]")).otherwise(s["rest"])
+        done = lambda s: F.struct(rest(s).alias("rest"), *(s["s"][k].alias(k) for k in before), F.transform(s["hits"], lambda v: key(v, salt)).alias(kind))
+        return lambda s: _once(F.struct(s.alias("s"), s["rest"].alias("rest"), F.regexp_extract_all(s["rest"], F.lit(pattern), F.lit(0)).alias("hits")), done)
+
+    state, kinds = F.struct(F.coalesce(text, F.lit("")).alias("rest")), list(extractors)
+    for i, kind in enumerate(kinds):
+        state = _once(state, step(kind, extractors[kind], kinds[:i]))
+    return state
+
+
 def masked(text: Column, salt: str = "", extractors: dict[str, str] = EXTRACTORS) -> tuple[Column, dict[str, Column]]:
-    """The text with ``[kind]`` in place of what was found, and the keys of each kind in order; a null text is empty."""
-    rest, keys = F.coalesce(text, F.lit("")), {}
-    for kind, pattern in extractors.items():
-        keys[kind] = F.transform(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), lambda v: key(v, salt))
-        rest = F.regexp_replace(rest, pattern, f"[{kind}]")
-    return rest, keys
+    """:func:`found` as columns: the text and the keys of each kind."""
+    state = found(text, salt, extractors)
+    return state["rest"], {kind: state[kind] for kind in extractors}
 
 
 def masked_spelled(text: Column, salt: str = "") -> tuple[Column, Column]:

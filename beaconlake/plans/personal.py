@@ -19,17 +19,16 @@ _SAID = "text || CASE event_id % 6 WHEN 0 THEN ' dob ' || (event_id % 12 + 1) ||
 def personal_masked(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with how much of each kind was found, keys to link by and a hash of the masked text."""
     d = table(spark, sf, "documents")
-    rest, keys = personal.masked(F.col("text"))
-    made = d.select("doc_id", rest.alias("rest"), *(k.alias(f"k_{kind}") for kind, k in keys.items()))
+    made = d.select("doc_id", F.explode(F.array(personal.found(F.col("text")))).alias("m")).select("doc_id", "m.rest", *(F.col(f"m.{kind}").alias(f"k_{kind}") for kind in KINDS))
     every = F.array_join(F.array_sort(F.concat(*(f"k_{k}" for k in KINDS))), ",")
     return made.select("doc_id", *(F.size(f"k_{k}").alias(f"n_{k}") for k in KINDS), F.sha2(every, 256).alias("keys_sha256"), F.sha2("rest", 256).alias("masked_sha256"))
 
 
 def personal_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of talk, masked, with the keys of what was in them."""
-    rest, keys = personal.masked(F.col("said"), "beacon")
     rows = calls(spark, sf).select("event_id", F.explode(F.array(F.expr(_SAID))).alias("said"))
-    return rows.select("event_id", rest.alias("masked"), F.array_join(F.concat(*keys.values()), ",").alias("keys"))
+    made = rows.select("event_id", F.explode(F.array(personal.found(F.col("said"), "beacon"))).alias("m"))
+    return made.select("event_id", F.col("m.rest").alias("masked"), F.array_join(F.concat(*(f"m.{kind}" for kind in KINDS)), ",").alias("keys"))
 
 
 def _masked_sql(column: str, rows: str, carried: str, salt: str) -> str:

@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from beaconlake.functions import personal
+from beaconlake.plans import personal as plans
 
 
 def key(value, salt=""):
@@ -41,3 +42,12 @@ def test_spelled_runs_are_masked(spark):
     rest, keys = personal.masked_spelled(F.col("t"))
     got = {r.i: (r.rest, list(r["keys"])) for r in df.select("i", rest.alias("rest"), keys.alias("keys")).collect()}
     assert got == {i: (want, [key(v) for v in values]) for i, (_, want, values) in enumerate(cases)}
+
+
+def test_each_pattern_is_asked_once(spark, tmp_path):
+    """The text that an extractor leaves is worked out once and not anew by every later one: a pattern is in the plan for its keys and its tag only."""
+    spark.createDataFrame([(1, "dob 4/5/1980, license S1234567, last name Corvane"), (2, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = plans.personal_masked(spark, str(tmp_path))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(p) for p in personal.EXTRACTORS.values()] == [2] * len(personal.EXTRACTORS)
+    assert {r.doc_id: (r.n_birth, r.n_licence, r.n_card, r.n_name) for r in made.collect()} == {1: (1, 1, 0, 1), 2: (0, 0, 0, 0)}
