@@ -13,7 +13,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from beaconlake.operators import edits, joins, model, retrieval, scenes, tracks
-from beaconlake.plans import desk
+from beaconlake.plans import desk, search
 from beaconlake.streaming import incidents
 
 T0 = datetime(2024, 3, 5, 17, 0)
@@ -200,3 +200,10 @@ def test_lines_meet_two_intervals_each(spark):
         got.setdefault(r["id"], []).append((gap(r.f, r.t, r["at"]), r.f, r.scene))
     want = {i: min((gap(f, t, at), f, s) for p, s, f, t in spans if p == place) for i, place, at in lines if place != "r"}
     assert {i: min(v) for i, v in got.items()} == want and max(map(len, got.values())) == 2
+
+
+def test_words_are_cut_only_if_asked_for(spark, sf):
+    """The stems of all words, which cost most of a search, are made for a question that asks for words, and for no other."""
+    plan = lambda q: search.scored_calls(spark, sf, q)._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten" not in plan(search.QUESTION) and "flatten" in plan("any fires by corvane last month?")
+    assert search.scored_calls(spark, sf, "any fires by corvane last month?").count() > 0
