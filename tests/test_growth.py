@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 from glob import glob
 from random import Random
@@ -207,3 +208,22 @@ def test_words_are_cut_only_if_asked_for(spark, sf):
     plan = lambda q: search.scored_calls(spark, sf, q)._jdf.queryExecution().optimizedPlan().toString()
     assert "flatten" not in plan(search.QUESTION) and "flatten" in plan("any fires by corvane last month?")
     assert search.scored_calls(spark, sf, "any fires by corvane last month?").count() > 0
+
+
+def test_context_meets_the_next_calls_of_an_anchor(spark, monkeypatch):
+    """As a plain search with ties, by street and by unit; calls that lie dense at one street are not all met."""
+    rng = Random(6)
+    kinds = "event_id bigint, at_us bigint, street string, unit string"
+    rows = [(i, rng.randrange(40) * search.MINUTE * 30, rng.choice("st"), rng.choice("uvwxyz")) for i in range(400)]
+    hits = [(*r, float(rng.randrange(5, 11))) for r in rows if r[0] % 5 == 0]
+    monkeypatch.setattr(search, "calls", lambda *_: spark.createDataFrame(rows, kinds))
+    monkeypatch.setattr(search, "scored_calls", lambda *_: spark.createDataFrame(hits, kinds + ", score double"))
+    frame = search.search_context(spark, "")
+    want = {}
+    for a, t, street, unit, score in hits:
+        if score >= 6:
+            near = sorted((abs(at - t), i, "street" if s == street else "unit") for i, at, s, u in rows if i != a and abs(at - t) <= 360 * search.MINUTE and (s == street or u == unit))
+            for gap, i, why in near[:30]:
+                want[i] = min(want.get(i, (0, 0, 0, "")), (-score, a, gap, why))
+    assert {(r.event_id, r.anchor, r.gap, r.why) for r in frame.collect()} == {(i, a, gap, why) for i, (_, a, gap, why) in want.items()}
+    assert not re.search(r"Join Inner, .*_street|Join Inner, .*_unit", frame._jdf.queryExecution().optimizedPlan().toString())  # calls of a street and a slot are no pairs
