@@ -104,19 +104,36 @@ def scan(texts: DataFrame, places: DataFrame, key: str = "id", most_names: int =
     some = [r.alias for r in names.limit(most_names + 1).collect()]
     found = _by_automaton(worded, some) if len(some) <= most_names else _by_join(worded, names)
     towns = places.filter("kind = 'town'").select(F.col("alias").alias("_ta")).distinct().withColumn("_like_town", F.lit(True))
-    known = places.join(towns, F.col("alias") == F.col("_ta"), "left").select(F.col("alias").alias("_alias"), "place", "kind", F.col("town"), "lat", "lon", F.coalesce("_like_town", F.lit(False)).alias("_like_town"))
+    known = places.join(towns, F.col("alias") == F.col("_ta"), "left").select("alias", "place", "kind", "town", "lat", "lon", F.coalesce("_like_town", F.lit(False)).alias("_like_town"))
+    # A place found by name is one row with all places of that name, of which it takes the best, so rows are as many as names in texts.
+    known = known.groupBy(F.col("alias").alias("_alias"), "_like_town").agg(F.collect_list(F.struct("place", "kind", "town", "lat", "lon")).alias("_places"))
+    known = F.broadcast(known) if len(some) <= most_names and places.limit(most_names + 1).count() <= most_names else known
     hits = found.select("_key", "_towns", "_words", F.inline("_found")).join(known, F.col("alias") == F.col("_alias"))
     before, after = F.get("_words", F.col("at") - 1), F.get("_words", F.col("at") + F.col("n"))
     typed = _is(F.element_at(F.split("alias", " "), -1), STREET_TYPES) & (F.col("n") > 1)
-    spot = ~F.col("kind").isin("road", "town")
     address = ((F.col("n") == 1) | typed) & F.coalesce(before.rlike("^[0-9]+$"), F.lit(False))
-    no_train = (F.col("kind") == "rail") & (typed | F.col("_like_town")) & ~F.arrays_overlap("_words", F.array(*map(F.lit, RAIL_CUES)))
-    no_road = (F.col("kind") == "road") & F.col("alias").rlike("[0-9]") & ~_is(before, ROAD_CUES) & ~_is(after, DIRECTIONS)
-    scoped = F.coalesce(F.array_contains("_towns", F.col("town")), F.lit(False))
-    elsewhere = (F.col("kind") == "town") & ~scoped & (F.size("_towns") > 0)
-    fit = hits.filter(~(spot & (_is(after, STREET_TYPES) | address)) & ~no_train & ~no_road & ~elsewhere)
-    score = F.when(scoped, SCOPED).otherwise(0) + F.when(F.col("kind") == "town", 0).otherwise(NAMED) + F.length("alias")
-    fit = fit.withColumns({"scoped": scoped, "_score": score}).withColumn("_enough", F.max(F.when(F.col("_score") >= ENOUGH, F.col("n"))).over(Window.partitionBy("_key")))
-    fit = fit.filter(F.col("_enough").isNull() | (F.col("n") >= F.col("_enough")))
-    best = F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("_score"), F.desc("n"), "at", "place"))
+    no_rail = (typed | F.col("_like_town")) & ~F.arrays_overlap("_words", F.array(*map(F.lit, RAIL_CUES)))
+    no_road = F.col("alias").rlike("[0-9]") & ~_is(before, ROAD_CUES) & ~_is(after, DIRECTIONS)
+    told = {"_spotless": _is(after, STREET_TYPES) | address, "_no_rail": no_rail, "_no_road": no_road, "_some": F.size("_towns") > 0, "_long": F.length("alias")}
+    hits = hits.withColumns(told)
+
+    def scoped(p: Column) -> Column:
+        return F.coalesce(F.array_contains("_towns", p["town"]), F.lit(False))
+
+    def fits(p: Column) -> Column:
+        spot = ~p["kind"].isin("road", "town")
+        elsewhere = (p["kind"] == "town") & ~scoped(p) & F.col("_some")
+        return ~(spot & F.col("_spotless")) & ~((p["kind"] == "rail") & F.col("_no_rail")) & ~((p["kind"] == "road") & F.col("_no_road")) & ~elsewhere
+
+    def rated(p: Column) -> Column:
+        score = F.when(scoped(p), SCOPED).otherwise(0) + F.when(p["kind"] == "town", 0).otherwise(NAMED) + F.col("_long")
+        return F.struct((-score).alias("score"), p["place"].alias("place"), *(p[c].alias(c) for c in ("kind", "town", "lat", "lon")), scoped(p).alias("scoped"))
+
+    hits = hits.withColumn("_best", F.array_min(F.transform(F.filter("_places", fits), rated))).filter("_best IS NOT NULL")
+    fit = hits.select("_key", "alias", "n", "at", "_best.*").withColumnRenamed("score", "_low")
+    # One order for both windows, so that rows are sorted once.
+    line = Window.partitionBy("_key").orderBy("_low", F.desc("n"), "at", "place")
+    enough = F.max(F.when(F.col("_low") <= -ENOUGH, F.col("n"))).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    fit = fit.withColumn("_enough", enough).filter(F.col("_enough").isNull() | (F.col("n") >= F.col("_enough")))
+    best = F.row_number().over(line)
     return fit.withColumn("_r", best).filter("_r = 1").select(F.col("_key").alias(key), "alias", "place", "kind", "town", "lat", "lon", "at", "scoped")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from beaconlake.operators import edits, joins, model, retrieval, scenes, tracks
+from beaconlake.operators import edits, gazetteer, joins, model, retrieval, scenes, tracks
 from beaconlake.plans import desk, search
 from beaconlake.streaming import incidents
 
@@ -227,3 +227,12 @@ def test_context_meets_the_next_calls_of_an_anchor(spark, monkeypatch):
                 want[i] = min(want.get(i, (0, 0, 0, "")), (-score, a, gap, why))
     assert {(r.event_id, r.anchor, r.gap, r.why) for r in frame.collect()} == {(i, a, gap, why) for i, (_, a, gap, why) in want.items()}
     assert not re.search(r"Join Inner, .*_street|Join Inner, .*_unit", frame._jdf.queryExecution().optimizedPlan().toString())  # calls of a street and a slot are no pairs
+
+
+def test_a_name_of_many_places_is_one_row(spark):
+    """A name takes the best of its places, in scope or the least, before rows are ranked, and they are sorted once."""
+    places = spark.createDataFrame([("elm hall", f"p{i:03}", "hall", f"t{i % 60}", 0.0, 0.0) for i in range(300)], "alias string, place string, kind string, town string, lat double, lon double")
+    texts = spark.createDataFrame([(i, "smoke at elm hall", [f"t{i}"] if i < 70 else None) for i in range(90)], "id int, text string, towns array<string>")
+    found = gazetteer.scan(texts, places)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Sort [_key") == 1
+    assert {(r["id"], r.place, r.scoped) for r in found.collect()} == {(i, f"p{i:03}" if i < 60 else "p000", i < 60) for i in range(90)}
