@@ -31,6 +31,8 @@ from beaconlake.llm.scratch import Scratch
 ENTRY = struct.Struct("<qQQII")
 _ENTRY_TYPE = np.dtype([("key", "<i8"), ("offset", "<u8"), ("before", "<u8"), ("n", "<u4"), ("flags", "<u4")])
 _BLOCK = 256
+#: Chunks that are encoded in a run, and in a call of the library.
+_RUN, _CALL = 64, 1 << 13
 #: Fixed values of the published format: the CRC-32C polynomial (reflected) and the mask.
 _POLYNOMIAL, _MASK = 0x82F63B78, 0xA282EAD8
 
@@ -98,13 +100,32 @@ class LibraryTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.largest = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
-        self.memo = ChunkMemo(self._encode)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.largest = max(vocabulary.values(), default=0)
+        #: Of each id, whether its token begins with a space, as byte-level vocabularies write it.
+        self.opens = np.zeros(self.largest + 1, dtype=bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.memo = ChunkMemo(self._encode, self._encode_spaced)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in made]
 
+    def _encode_spaced(self, chunks: list[str]) -> list[bytes]:
+        """Packed ids of chunks with a space before each, many in a call: in a byte-level vocabulary only the first id of a chunk begins with a space."""
+        out = []
+        for at in range(0, len(chunks), _CALL):
+            part = chunks[at : at + _CALL]
+            runs = [" " + " ".join(part[k : k + _RUN]) for k in range(0, len(part), _RUN)]
+            ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
+            border = np.flatnonzero(self.opens[ids])
+            if len(border) != len(part) or border[0]:  # another kind of vocabulary
+                out += self._encode([" " + s for s in part])
+                continue
+            raw, border = ids.tobytes(), (4 * np.append(border, len(ids))).tolist()
+            out += [raw[a:b] for a, b in zip(border, border[1:])]
+        return out
+
 
 _tokenizers: dict[str, LibraryTokenizer] = {}
 
