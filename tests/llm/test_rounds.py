@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import weakref
+
 import numpy as np
 
 from beaconlake.llm import setjoin
@@ -48,3 +50,16 @@ def test_a_brief_bitmap_never_rules_out_a_link():
         brief = [setjoin.bitmap(x, setjoin.BRIEF, 64) for x in (a, b)]
         assert setjoin.overlap_bound(*brief, len(a), len(b)) >= len(np.intersect1d(a, b))
     assert len(setjoin.bitmap(np.arange(300, dtype=np.uint64), setjoin.BRIEF, 64)) == 64
+
+def test_free_lets_go_of_cycles(spark):
+    """A DataFrame that only a cycle holds keeps its shuffle files until Python collects it too."""
+
+    class Held:
+        pass
+
+    held = Held()
+    held.df, held.self = spark.range(3).groupBy("id").count(), held
+    left = weakref.ref(held.df)
+    del held
+    Scratch(spark, "t").free()
+    assert left() is None
