@@ -3,7 +3,9 @@
 A scene takes in later ones whose seed (what it was when it was formed) lies near its own in time
 and place; what it took in does not extend its reach, so that a chain of neighbours is not one
 event.  Scenes are swept in order inside the stretches of a town in which one begins within the
-merge gap of what came before; towns and stretches are the unit of work.
+merge gap of what came before; towns and stretches are the unit of work.  A sweep reads a stretch in
+order of time, as far as its seed reaches, and gives a scene on as soon as it has its place, so a task
+holds the scenes of a reach, however long the stretch is.
 """
 
 from __future__ import annotations
@@ -11,14 +13,18 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MERGE_MS = 40 * 60_000
 SAME_PLACE_M = 150.0
 OUT = "town string, scene string, into string"
+#: Rows that are given on at once, and entries of lists that come before those of scenes that are gone are thrown out.
+ROWS, ENTRIES = 10_000, 4096
 
 
 def stretches(scenes: DataFrame, gap: int = MERGE_MS) -> DataFrame:
@@ -44,20 +50,37 @@ def _near(a: dict, b: dict) -> bool:
 _WIDTH = SAME_PLACE_M / 111194.92664455873 * 1.001
 
 
-class _Lists:
+class _Ahead:
     """Scenes that a seed may be near, in order of time, by what they share with it: an address, a cell of places, a word.
 
-    The unseeded are in lists of their own, since they are never taken by their like.  What a seed took in
-    leaves each list that is read, so no list is read again and again where little of it is left.
+    The unseeded are in lists of their own, since they are never taken by their like.  Scenes are read when a seed
+    reaches them; what is no longer alive leaves each list that is read, and all lists from time to time.
     """
 
-    def __init__(self, alive: list[dict]):
-        self.alive = alive
-        self.gone: set[int] = set()
-        self.lists: dict[tuple, list[int]] = {}
-        for j, r in enumerate(alive):
-            for key in self._homes(r):
-                self.lists.setdefault((bool(r["loose"]), *key), []).append(j)
+    def __init__(self, rows: Iterator[dict]):
+        self.rows = iter(rows)
+        self.following = next(self.rows, None)
+        self.read = 0
+        self.alive: dict[int, dict] = {}
+        self.lists: dict[tuple, list[tuple[int, int]]] = {}
+        self.entries, self.most = 0, ENTRIES
+
+    def more(self) -> bool:
+        """Read one scene, if there is one."""
+        r = self.following
+        if r is None:
+            return False
+        self.following = next(self.rows, None)
+        self.alive[self.read] = r
+        for key in self._homes(r):
+            self.lists.setdefault((bool(r["loose"]), *key), []).append((r["from_ms"], self.read))
+            self.entries += 1
+        self.read += 1
+        if self.entries > self.most:
+            self.lists = {key: left for key, held in self.lists.items() if (left := [x for x in held if x[1] in self.alive])}
+            self.entries = sum(map(len, self.lists.values()))
+            self.most = 2 * self.entries + ENTRIES
+        return True
 
     @staticmethod
     def _lone(r: dict) -> bool:
@@ -90,43 +113,56 @@ class _Lists:
                 keys += [("cell", b, c) for c in range(math.floor((r["lon"] - reach) / step), math.floor((r["lon"] + reach) / step) + 1)]
         return keys
 
-    def near(self, seed: dict, after: int, loose: bool) -> Iterator[int]:
-        """Scenes past number ``after`` that are near ``seed``, not yet gone and seeded or not, each list in order of time."""
+    def near(self, seed: dict, loose: bool) -> Iterator[int]:
+        """Scenes alive that are near ``seed``, seeded or not, each list in order of time."""
+        until = seed["to_ms"] + MERGE_MS
+        while self.following is not None and self.following["from_ms"] <= until:
+            self.more()
         for key in self._around(seed):
             held = self.lists.get((loose, *key))
             if not held:
                 continue
-            end = bisect_right(held, seed["to_ms"] + MERGE_MS, key=lambda j: self.alive[j]["from_ms"])
-            held[:end] = [j for j in held[:end] if j > after and j not in self.gone]
-            end = bisect_right(held, seed["to_ms"] + MERGE_MS, key=lambda j: self.alive[j]["from_ms"])
-            yield from [j for j in held[:end] if _near(seed, self.alive[j])]
-
-
-def sweep(rows: list[dict]) -> dict[str, str]:
-    """Which scene each scene ends up in.  A loose one (a burst without a seed of its own) never takes in
-    another loose one, and where it meets a seeded one it is that scene, with its name and seed."""
-    alive = sorted(rows, key=lambda r: (r["from_ms"], r["scene"]))
-    into = {r["scene"]: r["scene"] for r in alive}
-    lists = _Lists(alive)
-    for i, seed in enumerate(alive):
-        if i in lists.gone:
+            end = bisect_right(held, (until, self.read))
+            held[:end] = left = [x for x in held[:end] if x[1] in self.alive]
+            yield from [j for _, j in left if _near(seed, self.alive[j])]
+
+
+def swept(rows: Iterator[dict]) -> Iterator[tuple[dict, str]]:
+    """Each scene of a stretch, given in order of time and name, with the scene that it ends up in.  A loose one (a burst
+    without a seed of its own) never takes in another loose one, and where it meets a seeded one it is that scene, with its name and seed."""
+    ahead, i = _Ahead(rows), 0
+    while i < ahead.read or ahead.more():
+        seed = ahead.alive.pop(i, None)
+        i += 1
+        if seed is None:
             continue
-        lists.gone.add(i)
-        members = [i]
+        members = [seed]
         if seed["loose"]:
-            first = min(lists.near(seed, i, False), default=None)
+            first = min(ahead.near(seed, False), default=None)
             if first is None:
+                yield seed, seed["scene"]
                 continue
-            seed = alive[first]
-            lists.gone.add(first)
-            members.append(first)
+            seed = ahead.alive.pop(first)
+            members.append(seed)
         for loose in (False, True):
-            met = set(lists.near(seed, i, loose))
-            lists.gone |= met
-            members += met
-        for j in members:
-            into[alive[j]["scene"]] = seed["scene"]
-    return into
+            members += [ahead.alive.pop(j) for j in sorted(set(ahead.near(seed, loose)))]
+        for r in members:
+            yield r, seed["scene"]
+
+
+def sweep(rows: list[dict]) -> dict[str, str]:
+    """Which scene each scene ends up in, in any order."""
+    return {r["scene"]: into for r, into in swept(iter(sorted(rows, key=lambda r: (r["from_ms"], r["scene"]))))}
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            r["words"] = set(r["words"] or ())
+            for c in ("lat", "lon"):
+                if r[c] is not None and math.isnan(r[c]):
+                    r[c] = None
+            yield r
 
 
 def merged(scenes: DataFrame) -> DataFrame:
@@ -135,11 +171,17 @@ def merged(scenes: DataFrame) -> DataFrame:
     A null town is a town of its own.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-        for r in rows:
-            r["words"] = set(r["words"]) if r["words"] is not None else set()
-        into = sweep(rows)
-        return pd.DataFrame({"town": pdf.town, "scene": pdf.scene, "into": [into[s] for s in pdf.scene]})
-
-    return stretches(scenes).groupBy("town", "stretch").applyInPandas(run, OUT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*out)], names=["town", "scene", "into"])
+        for _, rows in groupby(_records(batches), key=itemgetter("town", "stretch")):
+            for r, into in swept(rows):
+                out.append((r["town"], r["scene"], into))
+                if len(out) >= ROWS:
+                    yield made()
+                    out = []
+        if out:
+            yield made()
+
+    rows = stretches(scenes).select("town", "stretch", "scene", "from_ms", "to_ms", "lat", "lon", "address", "words", "loose")
+    return rows.repartition("town", "stretch").sortWithinPartitions("town", "stretch", "from_ms", "scene").mapInArrow(run, OUT)
